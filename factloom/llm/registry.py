@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import elias_fano, token_counts
+from . import elias_fano, hilbert_pack, media_tar, pareto_mix, prefix_targets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,16 +17,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_media_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_tar.media_table(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bit_depth")
+
+
+def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    saying = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(saying).alias("text"))
+    return prefix_targets.read_back(prefix_targets.prefix_targets(turns.unionByName(extra)))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_token_counts, op8_elias_fano_ids)}
+    return {f.__name__: f for f in (op2_media_tar, op4_prefix_targets, op5_token_counts, op7_hilbert_pack, op8_elias_fano_ids, op10_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
