@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import elias_fano, hilbert_pack, media_tar, pareto_mix, prefix_targets, token_counts
+from . import chosen_path, elias_fano, hilbert_pack, media_tar, pareto_mix, prefix_targets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,12 +40,17 @@ def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chosen_path.near_components(_table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_media_tar, op4_prefix_targets, op5_token_counts, op7_hilbert_pack, op8_elias_fano_ids, op10_pareto_mix)}
+    return {f.__name__: f for f in (op2_media_tar, op4_prefix_targets, op5_token_counts, op7_hilbert_pack, op8_elias_fano_ids, op9_chosen_path, op10_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
