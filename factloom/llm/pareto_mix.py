@@ -20,6 +20,7 @@ from . import store
 
 WEIGHTS = (3.0, 1.0, 2.0)
 _BUCKETS = 1024
+BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -52,7 +53,9 @@ def sample_copies(rows: DataFrame, targets: DataFrame, most: int = 2) -> DataFra
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     t = targets.select(F.col("source").alias("src"), "source_size", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("f"))
     t = t.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    q = rows.join(t, F.col("source").eqNullSafe(F.col("src"))).drop("src")
+    # a row a source: sent to all tasks while they are few, else joined by source with skew left to the engine
+    hint = F.broadcast if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else lambda d: d
+    q = rows.join(hint(t), F.col("source").eqNullSafe(F.col("src"))).drop("src")
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("f")) / F.col("f"))
     q = q.withColumn("rank", F.when(F.col("f") > 0, odds / (1 + odds)))
     q = q.withColumn("b1", F.floor(F.col("rank") * _BUCKETS)).withColumn("b2", F.floor(F.col("rank") * _BUCKETS * _BUCKETS))
@@ -65,9 +68,9 @@ def sample_copies(rows: DataFrame, targets: DataFrame, most: int = 2) -> DataFra
         return sums.where(F.col("upto") > F.col("need")).groupBy("source").agg(F.min_by(F.struct(F.col(bucket).alias("edge"), (F.col("upto") - F.col("words")).alias("before")), F.col(bucket)).alias("e")).select(F.col("source").alias("src"), F.col("e.edge").alias(f"edge_{bucket}"), F.col("e.before").alias(f"before_{bucket}"))
 
     drawn = q.where("rank is not null")
-    first = boundary(drawn, "b1", None)
+    first = hint(boundary(drawn, "b1", None))
     q = q.join(first, q["source"].eqNullSafe(first["src"]), "left").drop("src")
-    second = boundary(q.where("b1 = edge_b1"), "b2", "before_b1")
+    second = hint(boundary(q.where("b1 = edge_b1"), "b2", "before_b1"))
     q = q.join(second, q["source"].eqNullSafe(second["src"]), "left").drop("src")
     narrow = q.where("b1 = edge_b1 and b2 = edge_b2")
     order = Window.partitionBy("source").orderBy("rank", "row").rowsBetween(Window.unboundedPreceding, -1)
