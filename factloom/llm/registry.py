@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, crf_quality, elias_fano, hilbert_pack, media_tar, pareto_mix, prefix_targets, token_counts
+from . import chosen_path, crf_quality, elias_fano, flat_graph, hilbert_pack, media_tar, pareto_mix, prefix_targets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op2_media_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tar.media_table(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bit_depth")
 
 
+def op3_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     saying = "</s>[INST] ok [/INST]"
@@ -54,7 +58,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_media_tar, op4_prefix_targets, op5_token_counts, op7_hilbert_pack, op8_elias_fano_ids, op9_chosen_path, op10_pareto_mix)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_media_tar, op3_flat_graph, op4_prefix_targets, op5_token_counts, op7_hilbert_pack, op8_elias_fano_ids, op9_chosen_path, op10_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
