@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, crf_quality, elias_fano, flat_graph, hilbert_pack, media_tar, pareto_mix, prefix_targets, token_counts
+from . import chosen_path, crf_quality, elias_fano, flat_graph, hilbert_pack, media_tar, pareto_mix, pfp_dedup, prefix_targets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp_dedup.kept_digests(_table(spark, sf_dir, "documents"), 100)
+
+
 def op7_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_pack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,7 +62,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_media_tar, op3_flat_graph, op4_prefix_targets, op5_token_counts, op7_hilbert_pack, op8_elias_fano_ids, op9_chosen_path, op10_pareto_mix)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_media_tar, op3_flat_graph, op4_prefix_targets, op5_token_counts, op6_prefix_free_parsing, op7_hilbert_pack, op8_elias_fano_ids, op9_chosen_path, op10_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
