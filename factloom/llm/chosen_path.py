@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
 from . import textbytes as tb
 from .components import connected_components
+from .marks import marked
 
 POSITIONS = 64
 LEAF = 64
@@ -127,6 +128,8 @@ def forest(classes: int, similarity: float = 0.8, miss: float = 1e-7) -> tuple[i
 
 
 def _sketch(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """row, doc_id, digest of the text, number of shingles, key of the set, sketch and minwise values of every document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.text_column(batch.column(1))
@@ -135,11 +138,11 @@ def _sketch(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
                 key, sig, bits = signatures(h, sizes)
                 blob = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((np.arange(j - i + 1) * 4 * POSITIONS).astype(np.int32)), pa.py_buffer(sig.tobytes())])
                 longs = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key[:, 0], key[:, 1], bits[:, 0], bits[:, 1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), *longs, blob], names=["doc_id", "n_shingles", "k0", "k1", "s0", "s1", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(sizes.astype(np.int64)), *longs, blob], names=["doc_id", "digest", "n_shingles", "k0", "k1", "s0", "s1", "sig"])
 
-    source = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("b"))
+    source = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("b"), F.xxhash64(docs[text]).alias("digest"))
     kind = source.schema[0].dataType.simpleString()
-    rows = source.mapInArrow(run, f"doc_id {kind}, n_shingles long, k0 long, k1 long, s0 long, s1 long, sig binary")
+    rows = source.mapInArrow(run, f"doc_id {kind}, digest long, n_shingles long, k0 long, k1 long, s0 long, s1 long, sig binary")
     return store.materialize(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "path-rows")
 
 
@@ -279,7 +282,7 @@ def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id, n_shingles, component_id and kept of every document; one row of each component is kept."""
+    """row, doc_id, digest, n_shingles, component_id and kept of every document; one row of each component is kept."""
     spark = docs.sparkSession
     rows = _sketch(docs, words, doc_id, text)
     full = rows.where("n_shingles > 0")
@@ -333,11 +336,26 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     named = store.materialize(named, "path-named")
     first = store.materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("chosen")), "path-first")
     labels = store.materialize(named.select("k0", "k1", "component").join(first, "component").drop("component"), "path-labels")
-    joined = full.select("row", "doc_id", "n_shingles", "k0", "k1").join(labels, ["k0", "k1"]).select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("chosen")).alias("kept"))
-    alone = rows.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    joined = full.select("row", "doc_id", "digest", "n_shingles", "k0", "k1").join(labels, ["k0", "k1"]).select("row", "doc_id", "digest", "n_shingles", "component_id", (F.col("row") == F.col("chosen")).alias("kept"))
+    alone = rows.where("n_shingles = 0").select("row", "doc_id", "digest", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return joined.unionByName(alone)
 
 
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without all but one of each component; documents without words all stay."""
+    found = near_components(docs, words, percent, doc_id, text)
+    verdict = found.groupBy("doc_id", "digest").agg(F.sum(F.col("kept").cast("int")).alias("keep"), F.count("*").alias("n")).where("keep < n")
+    verdict = store.materialize(verdict.select(F.col("doc_id").alias("v_id"), F.col("digest").alias("v_digest"), "keep"), "path-dropped")
+    keyed = docs.select(docs[doc_id].alias("v_id"), F.xxhash64(docs[text]).alias("v_digest"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    hit = marked(verdict, "v_id", "v_digest")(keyed)
+    v = verdict.toDF("d_id", "d_digest", "keep")
+    touched = keyed.where(hit).join(v, keyed["v_id"].eqNullSafe(v["d_id"]) & (keyed["v_digest"] == v["d_digest"]), "left")
+    # a row whose equals in id and text are kept fewer times than they occur stays that often
+    again = F.row_number().over(Window.partitionBy("v_id", "v_digest").orderBy(F.lit(0)))
+    stays = touched.where("keep is null or keep > 0").withColumn("nth", again).where("keep is null or nth <= keep")
+    return stays.select("doc.*").unionByName(keyed.where(~hit).select("doc.*"))
+
+
 def _odd_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of the classes outside a node's main component with all its classes, where the sketches allow it."""
     m = members.join(nodes.select("node", "main"), "node")

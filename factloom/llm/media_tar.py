@@ -1,9 +1,9 @@
 """Media columns: content-addressed payloads in tar shards, with digest, shard, offset and length in the rows.
 
 A text's UTF-8 bytes, filled with blanks to a positive multiple of 192, are the samples of an 8-bit grey image 192 wide,
-stored losslessly as PNG under its payload's SHA-256. Tasks drop payloads they have already met, one shuffle by digest
-brings the rest together, and each task streams its sorted members into ustar shards of bounded size; a shard appears
-under its name only when whole. Metadata columns come from range reads of a member's tar header and first PNG chunk;
+stored losslessly as PNG under its payload's SHA-256. Tasks stream members into ustar shards of bounded size; a shard
+appears under its name only when whole. Payloads that occur once are written where they are read; only those that may
+occur again are moved, one of each task, and brought together by digest. Metadata columns come from range reads of a member's tar header and first PNG chunk;
 features come from reading one member at a time.
 
 Null texts are empty and become one blank line of samples. Equal texts share one stored member, also where they are a
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from . import textbytes as tb
+from .marks import MARK_BITS, bitmap, is_set
 
 WIDTH = 192
 SHARD_BYTES = 256 << 20
@@ -78,55 +79,87 @@ def tar_header(name: str, size: int) -> bytes:
     return bytes(head)
 
 
+def repeated_marks(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every key (column h) that occurs more than once has its bit set."""
+    return bitmap(keys.groupBy("h").count().where("count > 1").select(F.pmod("h", F.lit(MARK_BITS)).alias("at")))
+
+
+class _Shards:
+    """Streams the members of one task into shards of bounded size and notes where they went."""
+
+    def __init__(self, prefix: str, shard_bytes: int):
+        self.prefix, self.shard_bytes, self.found = prefix, shard_bytes, []
+
+    def write(self, members: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+        k = 0
+        while member := next(members, None):
+            uri = f"{self.prefix}-{k:04d}.tar"
+            store.write_file(uri, self._shard(uri, member, members))
+            k += 1
+            yield index_batch(self.found)
+            self.found.clear()
+
+    def _shard(self, uri: str, member: tuple[str, bytes] | None, rest: Iterator[tuple[str, bytes]]) -> Iterator[bytes]:
+        at = 0
+        while member:
+            name, media = member
+            self.found.append((name, uri, at + 512, len(media), None))
+            yield tar_header(f"{name}.png", len(media)) + media + bytes(-len(media) % 512)
+            at += 512 + len(media) + -len(media) % 512
+            member = next(rest, None) if at < self.shard_bytes else None
+        yield bytes(1024)
+
+
+def index_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["digest", "shard", "offset", "length", "media"])
+
+
 def write_shards(payloads: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Stores the column ``payload`` (binary); returns digest, shard, offset and length of every distinct one."""
+    """Stores the column ``payload`` (binary); returns digest, shard, offset and length of every distinct one.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
-        for batch in batches:
-            data, offsets = tb.text_column(batch.column(0))
-            for i, j in tb.slices(offsets):
-                digests, media = [], []
-                for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True):
+    Payloads that occur once are written by the task that reads them. Those that may occur again, by a bitmap of fixed
+    size, are met once a task and brought together by digest before they are written."""
+    keyed = payloads.select(F.xxhash64("payload").alias("h"), "payload")
+    marks = repeated_marks(keyed.select("h"))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[str] = set()
+        shared: list[tuple] = []
+
+        def members() -> Iterator[tuple[str, bytes]]:
+            for batch in batches:
+                data, offsets = tb.text_column(batch.column(1))
+                at = batch.column(0).to_numpy(zero_copy_only=False) % MARK_BITS
+                again = is_set(marks, at)
+                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     payload = data[a:b].tobytes()
-                    digest = hashlib.sha256(payload).digest()
-                    if digest not in met:
+                    digest = hashlib.sha256(payload).hexdigest()
+                    if not again[k]:
+                        yield digest, encode_png(payload)
+                    elif digest not in met:
                         met.add(digest)
-                        digests.append(digest.hex())
-                        media.append(encode_png(payload))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
+                        shared.append((digest, None, None, None, encode_png(payload)))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found, last = TaskContext.get().partitionId(), [], None
+        yield from _Shards(f"{folder}/own-{TaskContext.get().partitionId():06d}", shard_bytes).write(members())
+        for k in range(0, len(shared), 1000):
+            yield index_batch(shared[k : k + 1000])
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def members() -> Iterator[tuple[str, bytes]]:
-            nonlocal last
+            last = None
             for batch in batches:
                 for digest, media in zip(batch.column(0), batch.column(1), strict=True):
                     if (name := digest.as_py()) != last:
                         last = name
                         yield name, media.as_py()
 
-        def shard(uri: str, first: tuple[str, bytes] | None, rest: Iterator[tuple[str, bytes]]) -> Iterator[bytes]:
-            at, member = 0, first
-            while member:
-                name, media = member
-                found.append((name, uri, at + 512, len(media)))
-                yield tar_header(f"{name}.png", len(media)) + media + bytes(-len(media) % 512)
-                at += 512 + len(media) + -len(media) % 512
-                member = next(rest, None) if at < shard_bytes else None
-            yield bytes(1024)
-
-        rest, k = members(), 0
-        while member := next(rest, None):
-            uri = f"{folder}/shard-{part:06d}-{k:04d}.tar"
-            store.write_file(uri, shard(uri, member, rest))
-            k += 1
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["digest", "shard", "offset", "length"])
-            found.clear()
+        yield from _Shards(f"{folder}/shared-{TaskContext.get().partitionId():06d}", shard_bytes).write(members())
 
-    unique = payloads.select("payload").mapInArrow(encode, "digest string, media binary")
-    return unique.repartition("digest").sortWithinPartitions("digest").mapInArrow(write, "digest string, shard string, offset long, length long")
+    schema = "digest string, shard string, offset long, length long, media binary"
+    first = store.materialize(keyed.mapInArrow(own, schema), "media-own")
+    rest = first.where("shard is null").select("digest", "media").repartition("digest").sortWithinPartitions("digest").mapInArrow(gathered, schema)
+    return first.where("shard is not null").drop("media").unionByName(rest.drop("media"))
 
 
 def read_headers(index: DataFrame) -> DataFrame:

@@ -22,16 +22,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 from . import textbytes as tb
+from .marks import marked
 
 TRIGGER = 32
-MARK_BITS = 1 << 23
 HOT_PHRASES = 20_000
 _LOW = 14  # bits of a place below the start: trigger and last string, 7 bits each
 _START = 31
@@ -130,22 +129,6 @@ def _scan_phrases(keyed: DataFrame, length: int) -> DataFrame:
     return phrases.repartition("g").sortWithinPartitions("g", "x", "d", "place").mapInArrow(settle, f"{_KIND}, kind long")
 
 
-def _marked(ids: DataFrame):
-    """A filter on d that lets all of ``ids`` pass, and few others while they are few: a bitmap of fixed size."""
-    at = F.pmod(F.xxhash64("d"), F.lit(MARK_BITS)).alias("at")
-    words = ids.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    marks = np.zeros(MARK_BITS // 64, np.int64)
-    for word, bits in words.collect():  # MARK_BITS / 64 rows at most
-        marks[word] = bits
-
-    @F.pandas_udf("boolean")
-    def marked(place: pd.Series) -> pd.Series:
-        p = place.to_numpy()
-        return pd.Series((marks[p >> 6] >> (p & 63)) & 1 == 1)
-
-    return lambda frame: marked(F.pmod(F.xxhash64(frame["d"]), F.lit(MARK_BITS)))
-
-
 def _open_phrases(keyed: DataFrame, scanned: DataFrame, length: int) -> DataFrame:
     """g, d, place and bytes of the phrases whose order is open, read again from the texts."""
 
@@ -167,7 +150,7 @@ def _open_phrases(keyed: DataFrame, scanned: DataFrame, length: int) -> DataFram
 
     wanted = scanned.where("kind = 1").groupBy("d", F.shiftright("place", _START + _LOW).alias("th")).agg(F.collect_list("place").alias("places"))
     wanted = store.materialize(wanted, "pfp-open")
-    texts = keyed.select("d", "th", "b").where(_marked(wanted)(keyed))
+    texts = keyed.select("d", "th", "b").where(marked(wanted, "d")(keyed))
     joined = texts.join(wanted, ["d", "th"]).select("d", "b", "places")
     return joined.mapInArrow(cut, f"g long, {_KIND}, body binary")
 
@@ -314,9 +297,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     runs = repeated_runs(keyed, length)
-    marked = _marked(runs)(keyed)
-    touched = keyed.where(marked).join(runs, ["d", "th"], "left").select("row", "b", "runs")
-    clean = keyed.where(~marked).select("row", "b", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    hit = marked(runs, "d")(keyed)
+    touched = keyed.where(hit).join(runs, ["d", "th"], "left").select("row", "b", "runs")
+    clean = keyed.where(~hit).select("row", "b", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
     schema = f"row {keyed.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     return touched.mapInArrow(finish, schema).unionByName(clean.mapInArrow(finish, schema))
 
