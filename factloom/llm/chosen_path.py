@@ -4,9 +4,10 @@ A document is its set of word shingles; documents with the same set form a class
 minwise values. In each tree a node picks one or two positions from its own key, and its classes move to the children
 named by their values there, so similar classes stay together along some path. Nodes of bounded size are compared
 exhaustively; larger ones compare all classes with one of theirs (a star) and branch on while they hold classes that the
-links found so far do not connect. Trees differ by their root key and their number follows from the wanted recall.
+links found so far do not connect and comparing those would take too many steps. Trees differ by their root key and their number follows from the wanted recall.
 Comparisons first match two bits of each minwise value, then every pair that could still connect two components is
-confirmed on full sets; nothing is dropped for its node's size.
+confirmed on full sets, those of a large node block by block in the task that holds both blocks' sets; nothing is dropped
+for its node's size.
 
 The depth to which all nodes branch before they are counted follows from the number of classes, so that unrelated
 documents seldom share a node. Texts are split at bytes 0x20 and 0x09-0x0D after lower-casing A-Z. Null and empty texts
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,9 @@ from .marks import marked
 
 POSITIONS = 64
 LEAF = 64
+BLOCK = 2048  # classes of a large node compared in one task
+NODE_BLOCKS = 256  # pairs of blocks of one large node; beyond, it branches first
+COLUMNS = 8192
 MATCHES = 36  # of 64; at similarity 0.8 54 agree on average, with a deviation under 3
 SET_BYTES = 6
 _EVEN = 0x5555555555555555
@@ -281,6 +287,123 @@ def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _blocks(members: DataFrame, extra: list[str]) -> DataFrame:
+    """Rows of large nodes dealt to blocks: every class outside the node's main component meets all of the node's classes.
+
+    ``seeks`` marks the former where they stand for that. A node of one block has each class once."""
+    n_all, n_odd = F.ceil(F.col("all") / BLOCK), F.ceil(F.col("odd") / BLOCK)
+    own_all, own_odd = F.pmod(F.xxhash64("id"), n_all), F.pmod(F.xxhash64(F.lit(1), "id"), n_odd)
+    odd = F.col("component") != F.col("main")
+    columns = ["node", "id", "component", "s0", "s1", *extra]
+    met = members.select(*columns, own_all.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_odd - 1)).alias("j"), (odd & (n_all == 1)).alias("seeks"))
+    seek = members.where(odd & (n_all > 1)).select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)).alias("i"), own_odd.alias("j"), F.lit(True).alias("seeks"))
+    return met.unionByName(seek).select(F.xxhash64("node", "i", "j").alias("block"), *columns[1:], "seeks")
+
+
+def _may_match(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For every row of p and q (two sketch words each) whether they could be similar."""
+    x0, x1 = p[:, None, 0] ^ q[None, :, 0], p[:, None, 1] ^ q[None, :, 1]
+    even = np.uint64(_EVEN)
+    apart = np.bitwise_count((x0 | (x0 >> np.uint64(1))) & even) + np.bitwise_count((x1 | (x1 >> np.uint64(1))) & even)
+    return apart <= 64 - MATCHES
+
+
+def similar_rows(p: list[np.ndarray], q: list[np.ndarray], percent: int) -> np.ndarray:
+    """Exact: whether each set of p and of q is similar enough. Shared elements are counted by products of 0/1 columns."""
+    size_p, size_q = (np.array([len(x) for x in y], np.int64) for y in (p, q))
+    flat_p, flat_q = np.concatenate([*p, np.zeros(0, np.uint64)]), np.concatenate([*q, np.zeros(0, np.uint64)])
+    shared = np.intersect1d(flat_p, flat_q)
+    both = np.zeros((len(p), len(q)), np.float32)
+    at_p, at_q = np.searchsorted(shared, flat_p), np.searchsorted(shared, flat_q)
+    in_p, in_q = (at < len(shared) for at in (at_p, at_q))
+    in_p[in_p] = shared[at_p[in_p]] == flat_p[in_p]
+    in_q[in_q] = shared[at_q[in_q]] == flat_q[in_q]
+    row_p, row_q = np.repeat(np.arange(len(p)), size_p)[in_p], np.repeat(np.arange(len(q)), size_q)[in_q]
+    at_p, at_q = at_p[in_p], at_q[in_q]
+    for k in range(0, len(shared), COLUMNS):
+        one, two = np.zeros((len(p), COLUMNS), np.float32), np.zeros((len(q), COLUMNS), np.float32)
+        own = (at_p >= k) & (at_p < k + COLUMNS)
+        one[row_p[own], at_p[own] - k] = 1
+        own = (at_q >= k) & (at_q < k + COLUMNS)
+        two[row_q[own], at_q[own] - k] = 1
+        both += one @ two.T
+    n = both.astype(np.int64)
+    return 100 * n >= percent * (size_p[:, None] + size_q[None, :] - n)
+
+
+def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
+    """Runs ``work`` on the whole rows of each block; a block has a bounded number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[not held or held[-1].column(0)[-1].as_py() != key[0]], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            at = 0
+            for k in [*starts.tolist(), len(key)]:
+                if k > at:
+                    held.append(batch.slice(at, k - at))
+                if k < len(key) and held:
+                    yield work(pa.Table.from_batches(held))
+                    held = []
+                at = k
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
+
+
+def _words(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], 1)
+
+
+def _involved(blocks: DataFrame) -> DataFrame:
+    """block and id of the classes that could match one of another component."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        w, ids, part = _words(table), table.column("id").to_numpy(), table.column("component").to_numpy()
+        seek, hit = np.flatnonzero(table.column("seeks").to_numpy(zero_copy_only=False)), np.zeros(len(ids), bool)
+        for k in range(0, len(seek), 256):
+            s = seek[k : k + 256]
+            ok = _may_match(w[s], w) & (part[s][:, None] != part[None, :])
+            hit |= ok.any(0)
+            hit[s] |= ok.any(1)
+        found = np.unique(ids[hit])
+        return pa.RecordBatch.from_arrays([pa.array(found)], names=["id"])
+
+    return store.materialize(_by_block(blocks, work, "id long").distinct(), "path-involved")
+
+
+def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of a block's classes, by exact comparison; as few as that takes."""
+
+    def work(table: pa.Table) -> pa.RecordBatch:
+        w, ids = _words(table), table.column("id").to_numpy()
+        part = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        sets = [unpack(x) for x in table.column("set").to_pylist()]
+        seek, out = np.flatnonzero(table.column("seeks").to_numpy(zero_copy_only=False)), []
+        for k in range(0, len(seek), 128):
+            s = seek[k : k + 128]
+            ok = _may_match(w[s], w) & (part[s][:, None] != part[None, :])
+            cols = np.flatnonzero(ok.any(0))
+            if not len(cols):
+                continue
+            if ok.sum() * 8 > len(s) + len(cols):
+                good = ok[:, cols] & similar_rows([sets[r] for r in s], [sets[c] for c in cols], percent)
+                rows, at = np.nonzero(good)
+                pairs = zip(s[rows].tolist(), cols[at].tolist(), strict=True)
+            else:
+                pairs = [(int(s[r]), int(c)) for r, c in zip(*np.nonzero(ok), strict=True) if similar_rows([sets[s[r]]], [sets[c]], percent)[0, 0]]
+            for a, b in pairs:
+                if part[a] != part[b]:
+                    out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+                    part[part == part[a]] = part[b]
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return store.materialize(_by_block(blocks, work, "a long, b long").distinct(), "path-links")
+
+
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row, doc_id, digest, n_shingles, component_id and kept of every document; one row of each component is kept."""
     spark = docs.sparkSession
@@ -288,47 +411,38 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     full = rows.where("n_shingles > 0")
     classes = store.materialize(full.groupBy("k0", "k1").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("id"), F.min("doc_id").alias("doc_id"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("sig").alias("sig")), "path-classes")
     depth, trees = forest(classes.count(), percent / 100)
-    links, parts = None, spark.createDataFrame([], "id long, component long")
-    sets, nodes, level = None, _nodes(classes, depth, trees), 0
-    nodes_by_rule: DataFrame | None = None
-    while True:
+    nodes, parts = _nodes(classes, depth, trees), spark.createDataFrame([], "id long, component long")
+    links: list[DataFrame] = []
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return _set_table(docs, classes.join(ids, "id").select("id", "doc_id", "k0", "k1"), words, doc_id, text)
+
+    def connect(found: DataFrame) -> DataFrame:
+        links.append(found)
+        return store.materialize(connected_components(reduce(DataFrame.unionByName, links)), "path-parts")
+
+    for level in count():
         found = store.materialize(_compare(nodes), "path-pairs")
         pairs = store.materialize(_across(found.where("kind = 0").select("a", "b").distinct(), parts), "path-candidates")
         if not pairs.isEmpty():
             ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-            own = _set_table(docs, classes.join(ends, "id").select("id", "doc_id", "k0", "k1"), words, doc_id, text)
-            sets = own
-            nearest = pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b"))
-            confirmed = _confirm(nearest, sets, percent)
-            links = confirmed if links is None else links.unionByName(confirmed)
-            parts = store.materialize(connected_components(links), "path-parts")
-            rest = store.materialize(_across(pairs.join(nearest, ["a", "b"], "left_anti"), parts), "path-rest")
-            if not rest.isEmpty():
-                links = links.unionByName(_confirm(rest, sets, percent))
-                parts = store.materialize(connected_components(links), "path-parts")
+            parts = connect(_confirm(pairs, sets_of(ends), percent))
         large = found.where("kind = 1").select(F.col("a").alias("node")).distinct()
         if large.isEmpty():
             break
-        # a large node is done when its classes are one component; else those outside its most common one are compared
-        # with all of it while they are few, and the node branches on while they are many
+        # a large node is done when its classes are one component; else those outside its largest one are compared with
+        # all of it in blocks, or the node branches first where that is too many blocks
         members = nodes.join(large, "node").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         members = store.materialize(members, "path-members")
         per = members.groupBy("node", "component").agg(F.count("*").alias("n"))
-        state = per.groupBy("node").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all")
-        state = store.materialize(state, "path-state")
-        if state.isEmpty():
-            break
-        level += 1
-        few = state.where((F.col("all") - F.col("most") <= LEAF) | F.lit(level > 12))
-        many = state.join(few.select("node"), "node", "left_anti")
-        nodes_by_rule = _odd_pairs(members, few)
-        odd = store.materialize(_across(nodes_by_rule, parts), "path-odd")
-        if not odd.isEmpty():
-            ends = odd.select(F.col("a").alias("id")).union(odd.select(F.col("b").alias("id"))).distinct()
-            sets = _set_table(docs, classes.join(ends, "id").select("id", "doc_id", "k0", "k1"), words, doc_id, text)
-            confirmed = _confirm(odd, sets, percent)
-            links = confirmed if links is None else links.unionByName(confirmed)
-            parts = store.materialize(connected_components(links), "path-parts")
+        state = per.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("odd")).where("odd > 0")
+        state = store.materialize(state.withColumn("few", (F.ceil(F.col("odd") / BLOCK) * F.ceil(F.col("all") / BLOCK) <= NODE_BLOCKS) | F.lit(level >= 12)), "path-state")
+        open_ = store.materialize(members.join(state.where("few"), "node"), "path-open")
+        involved = _involved(_blocks(open_, []))
+        if not involved.isEmpty():
+            kept = open_.join(involved, "id", "left_semi").join(sets_of(involved), "id")
+            parts = connect(_block_links(_blocks(kept, ["set"]), percent))
+        many = state.where("not few")
         if many.isEmpty():
             break
         nodes = store.materialize(_branch_on(members.join(many.select("node"), "node").join(classes.select("id", "sig"), "id")), "path-deeper")
@@ -356,20 +470,6 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
     return stays.select("doc.*").unionByName(keyed.where(~hit).select("doc.*"))
 
 
-def _odd_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of the classes outside a node's main component with all its classes, where the sketches allow it."""
-    m = members.join(nodes.select("node", "main"), "node")
-    a = m.where("component <> main").select("node", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    b = m.select("node", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
-
-    def apart(x: str, y: str):
-        d = F.col(x).bitwiseXOR(F.col(y))
-        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(_EVEN)))
-
-    similar = 64 - (apart("a0", "b0") + apart("a1", "b1")) >= MATCHES
-    return a.join(b, "node").where((F.col("ca") != F.col("cb")) & similar).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
 def _branch_on(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
