@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 10_000
+BLOCK = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -15,14 +17,18 @@ def dot(a: Column, b: Column) -> Column:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, payload: str | None = None) -> DataFrame:
     """(query_id, vec_id, cosine, rank): the k nearest vectors, within equal ``payload`` if one is named.
 
-    Queries are sent to all tasks after their number is checked; every task keeps its best k a query before the shuffle."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q"), *([F.col(payload).alias("q_payload")] if payload else [])))
+    Queries are counted and sent to all tasks in blocks of at most about ``BLOCK``; every task keeps its best k of a query
+    before the shuffle."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    q = queries.select("query_id", F.col("embedding").alias("q"), *([F.col(payload).alias("q_payload")] if payload else []))
     condition = F.col("vec_id") != F.col("query_id")
     if payload:
         condition = condition & (F.col(payload) == F.col("q_payload"))
     cosine = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    pairs = vectors.join(q, condition).select("query_id", "vec_id", cosine.alias("cosine"))
-    best = lambda part: Window.partitionBy(*part, "query_id").orderBy(F.desc("cosine"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best([]))).where(F.col("rank") <= k)
+    best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+
+    def nearest(block: DataFrame) -> DataFrame:
+        pairs = vectors.join(F.broadcast(block), condition).select("query_id", "vec_id", cosine.alias("cosine"))
+        return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [nearest(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)])

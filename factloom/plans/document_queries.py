@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import batching, chunks, parsing, prefilter, records, responses, vectors
 from ..sources import ingest
-from ..sources.staging import materialize
+from ..sources.staging import folder, materialize
 from ..streaming import streams
 from . import adapters as a
 from .queries import DRAFTS_JSON, QUERIES, SQL, joined, query  # noqa: F401
@@ -165,6 +163,12 @@ def score_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("run_id", "chunk_index", F.round("prefilter_score", 6).alias("prefilter_score"), "decision", "selected_for_llm")
 
 
+@query()
+def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored(spark, sf_dir)
+    return s.select("run_id", "chunk_index", F.round("prefilter_score", 6).alias("prefilter_score"), *(F.round(F.element_at("feature_breakdown", k), 6).alias(k) for k in ("structural", "exact_match", "pattern", "context_boost", "lexical")))
+
+
 #: Scores that need no text, so that decision and selection have SQL.
 _SCORE = f"SELECT *, CAST((length(chunk_text) * 37 + chunk_index * 11) % 1000 AS DOUBLE) / 1000 AS prefilter_score FROM ({_TURNS})"
 _DECIDED = f"decided AS (SELECT *, CASE WHEN prefilter_score >= 0.7 THEN 'keep' WHEN prefilter_score >= 0.3 THEN 'gray' ELSE 'reject' END AS decision FROM ({a.duck(_SCORE)}))"
@@ -242,6 +246,12 @@ def glue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glued(spark, sf_dir).select("run_id", "batch_index", "batch_id", F.sha2("text", 256).alias("text_sha"), "estimated_tokens")
 
 
+@query(f"{_R}{_PACKED} SELECT run_id, batch_index, batch_id FROM glued")
+def batch_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = packed(spark, sf_dir).groupBy("run_id", "batch_index").agg(F.collect_list("chunk_id").alias("ids"))
+    return c.select("run_id", "batch_index", batching.batch_hash(F.col("ids")).alias("batch_id"))
+
+
 @query(f"{_R}{_PACKED} SELECT run_id, batch_index, sha256('Chunk ID: ' || batch_id || chr(10) || 'Section path: ' || path || chr(10) || 'Estimated tokens: ' || estimated_tokens || chr(10) || 'Prompt version: v1' || chr(10) || 'Schema version: v1' || chr(10) || chr(10) || 'Extract actions from the chunk below.' || chr(10) || 'Return JSON only.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text) AS user_sha FROM glued")
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.build_prompts(glued(spark, sf_dir), "Extract.").select("run_id", "batch_index", F.sha2("user_text", 256).alias("user_sha"))
@@ -314,11 +324,11 @@ def document_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.document_title(marked_blocks(spark, sf_dir))
 
 
-@query("SELECT doc_id, trim(text, ' ' || chr(10)) AS text, 'paragraph' AS block_type FROM documents WHERE trim(text, ' ' || chr(10)) <> '' AND doc_id % 3 = 0")
+@query("SELECT doc_id, trim(text, ' ' || chr(10)) AS text, 'paragraph' AS block_type FROM documents WHERE trim(text, ' ' || chr(10)) <> '' AND lang <> 'en'")
 def parse_fallback_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    none = parsing.parse_markdown_blocks(d.where("doc_id % 3 <> 0"))
-    return parsing.with_fallback(none, d).where("doc_id % 3 = 0").select("doc_id", "text", "block_type")
+    parsed = parsing.parse_markdown_blocks(d.where("lang = 'en'"))  # as if the parser knew one language alone
+    return parsing.with_fallback(parsed, d).join(d.where("lang <> 'en'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "block_type")
 
 
 @query("SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) - 1 AS unit_index, 'part/' || (turn % 2) || '/' || role AS path, turn FROM conversations")
@@ -344,7 +354,7 @@ def write_chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, strlen(text) AS size FROM documents")
 def table_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(materialize(spark.range(1)).inputFiles()[0].rsplit("/", 2)[0], f"table-{uuid.uuid4().hex}")
+    path = folder(spark, "table")
     ingest.save_table(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length("text").cast("long").alias("size"), "lang"), path, ["lang"])
     return ingest.load_table(spark, path).select("doc_id", "size")
 
@@ -354,17 +364,17 @@ def table_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COS = "list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-@query(f"SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id < 50 QUALIFY rank <= 5")
+@query(f"SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5")
 def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    queries = e.where("vec_id < 50").withColumnRenamed("vec_id", "query_id")  # the query set of the operator
+    queries = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")  # the query set of the operator
     return vectors.vector_top_k(e, queries, 5, "label").select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def _streamed(stream: DataFrame, mode: str) -> DataFrame:
     """All that a stream gives until its input is used up."""
     name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(prefix="stream-")).start()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", folder(stream.sparkSession, "stream-checkpoint")).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
@@ -394,8 +404,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     docs = streams.read_stream(spark, f"{sf_dir}/documents.parquet*", schema)
-    base = materialize(spark.range(1)).inputFiles()[0].rsplit("/", 2)[0]
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = folder(spark, "stream")
 
     def process(batch: DataFrame) -> DataFrame:
         blocks = parsing.parse_markdown_blocks(batch)

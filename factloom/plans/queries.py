@@ -331,6 +331,72 @@ def scenario_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.scenario_counts(process_paths(spark, sf_dir, "ALL"), process_model(spark, sf_dir))
 
 
+# --- pieces of normalisation ----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey, {_case(a.ALIASES['object'], _slug('p_name'), _slug('p_name'))} AS canonical FROM part")
+def resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", normalize.resolve_aliases(t.slugify(F.col("p_name")), a.ALIASES["object"]).alias("canonical"))
+
+
+_HELD = "lower(c_mktsegment) IN ('machinery', 'widget')"
+
+
+@query(f"SELECT c_custkey, CASE WHEN {_HELD} THEN 'unknown_actor' ELSE lower(c_mktsegment) END AS final, CASE WHEN {_HELD} THEN concat('primary_actor ''', lower(c_mktsegment), ''' is reserved; using fallback ''unknown_actor''') ELSE '' END AS warning FROM customer")
+def apply_reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value, note = normalize.normalize_field(F.col("c_mktsegment"), "primary_actor", normalize.NormalizeConfig(reserved=frozenset(a.RESERVED)))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", value.alias("final"), F.coalesce(note, F.lit("")).alias("warning"))
+
+
+@query(f"SELECT p_partkey, lower(p_type) || '_' || {_slug('p_name')} AS action_canonical, {_slug('p_name')} || '__' || {_slug('p_brand')} AS input_state_key FROM part")
+def build_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = normalize.build_keys(F.lower("p_type"), t.slugify(F.col("p_name")), F.lit("actor"), t.slugify(F.col("p_brand")), F.lit("state"))
+    return p.select("p_partkey", *(k[c].alias(c) for c in ("action_canonical", "input_state_key")))
+
+
+def _plain(e: str) -> str:
+    for char, plain in t.LETTERS.items():
+        e = f"replace({e}, '{char}', '{plain}')"
+    return f"translate({e}, '{t.SIMPLE_FROM}', '{t.SIMPLE_TO}')"
+
+
+@query(f"SELECT doc_id, sha256({_plain('lower(text)')}) AS plain_sha FROM documents")
+def transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.sha2(t.transliterate(F.lower("text")), 256).alias("plain_sha"))
+
+
+# --- files ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT lang, count(*) AS n_docs, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY 1")
+def read_raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.folder(spark, "raw")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d.select("text", "lang").write.partitionBy("lang").text(path)
+    files = ingest.read_raw_documents(spark, path, "*.txt")
+    read = files.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(F.sum("size").alias("size"))
+    return read.join(d.groupBy("lang").agg(F.count("*").alias("n_docs")), "lang")
+
+
+@query("SELECT n_name || ' ' || s_name AS action, n_name || ' supplied' AS final_states FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def read_action_model_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model file a region: its suppliers' actions, its nations' states."""
+    path = staging.folder(spark, "models")
+    n, s = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("nation", "supplier"))
+    action, state = F.concat(F.lit("a"), F.col("s_suppkey").cast("string")), F.concat(F.lit("o"), F.col("n_nationkey").cast("string"))
+    actions = F.array_sort(F.collect_list(F.struct(action.alias("action_id"), F.col("n_name").alias("action_actor"), F.col("s_name").alias("action_action"), F.lit("").alias("action_place"))))
+    links = F.array_sort(F.collect_list(F.struct(action.alias("connection_out"), F.concat(state, F.lit("s1")).alias("connection_in"))))
+    of_region = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(actions.alias("model_actions"), links.alias("model_connections"))
+    states = F.array(F.struct(F.lit("s1").alias("state_id"), F.lit("supplied").alias("state_name")))
+    objects = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(state.alias("object_id"), F.col("n_name").alias("object_name"), states.alias("resource_state")))).alias("model_objects"))
+    of_region.join(objects, "n_regionkey").write.partitionBy("n_regionkey").json(path)
+    m = graph.model_v2_to_v1(*ingest.read_action_model_v2(spark, path))
+    return m.select("action", joined(F.col("final_states")).alias("final_states"))
+
+
 #: Answers made of events: valid lists, and each way to be wrong; with the verdict in SQL.
 _ANSWER = """SELECT event_id, CASE event_id % 9 WHEN 0 THEN '[]' WHEN 1 THEN concat('[{{"verb": "', event_type, '", "primary_object": null}}]') WHEN 2 THEN concat('[{{"verb": "a"}}, {{"action_label": "', event_type, '"}}]')
  WHEN 3 THEN props WHEN 4 THEN '  ' WHEN 5 THEN concat('[{{"verb": "', event_type) WHEN 6 THEN '["text"]' WHEN 7 THEN '[{{"verb": "a", "odd": "b"}}]' ELSE concat('[{{"verb": ', CAST(user_id AS STRING), '}}]') END AS raw_response FROM {events}"""

@@ -109,6 +109,24 @@ def chunk_manifest(chunks: DataFrame) -> DataFrame:
     return g.select("doc_id", F.to_json(F.transform("c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["section_path"].alias("section_path"), x["estimated_tokens"].alias("estimated_tokens")))).alias("json"))
 
 
-def write_json_per_document(rows: DataFrame, path: str) -> None:
-    """Writes (doc_id, json) rows as text, a folder a document."""
-    rows.write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_json(rows: DataFrame, path: str, buckets: int = 256) -> None:
+    """Writes (doc_id, json) rows as JSON lines in a bounded number of folders, dealt by doc_id."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+    rows.select("doc_id", "json", bucket.alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
+
+
+def read_action_model_v2(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Actions, object states and connections of nested model files, as ``model_v2_to_v1`` takes them.
+
+    ``model`` tells files apart; connections keep their place in their file."""
+    schema = (
+        "model_actions array<struct<action_id:string,action_actor:string,action_action:string,action_place:string>>,"
+        "model_objects array<struct<object_id:string,object_name:string,resource_state:array<struct<state_id:string,state_name:string>>>>,"
+        "model_connections array<struct<connection_out:string,connection_in:string>>"
+    )
+    raw = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.input_file_name().alias("model"), "*")
+    actions = raw.select("model", F.explode("model_actions").alias("a")).select("model", "a.action_id", F.col("a.action_actor").alias("actor"), F.col("a.action_action").alias("action"), F.col("a.action_place").alias("place"))
+    objects = raw.select("model", F.explode("model_objects").alias("o")).select("model", "o.object_id", "o.object_name", F.explode("o.resource_state").alias("s"))
+    states = objects.select("model", "object_id", "object_name", "s.state_id", "s.state_name")
+    links = raw.select("model", F.posexplode("model_connections").alias("pos", "c")).select("model", "pos", F.col("c.connection_out").alias("out_id"), F.col("c.connection_in").alias("in_id"))
+    return actions, states, links
