@@ -32,6 +32,7 @@ from .marks import marked
 
 TRIGGER = 32
 HOT_PHRASES = 20_000
+PARSE_BYTES = 1 << 19  # the hashes of a slice take about a hundred times its bytes
 _LOW = 14  # bits of a place below the start: trigger and last string, 7 bits each
 _START = 31
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -91,7 +92,7 @@ def _scan_phrases(keyed: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             d, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = tb.text_column(batch.column(2))
-            for i, j in tb.slices(offsets):
+            for i, j in tb.slices(offsets, PARSE_BYTES):
                 own, at, first, last, g, x = trigger_phrases(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
                 base = (offsets[i:j] - offsets[i])[own]
                 place = pack_place(th[i:j][own], first - base, at - base, last - base)
@@ -138,7 +139,7 @@ def _open_phrases(keyed: DataFrame, scanned: DataFrame, length: int) -> DataFram
             places, where = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
             of = np.repeat(np.arange(batch.num_rows), np.diff(where))
             d = batch.column(0).to_numpy(zero_copy_only=False)[of]
-            for i, j in tb.slices(np.concatenate([[0], np.cumsum(unpack_place(places)[3] - unpack_place(places)[1] + length)])):
+            for i, j in tb.slices(np.concatenate([[0], np.cumsum(unpack_place(places)[3] - unpack_place(places)[1] + length)]), PARSE_BYTES):
                 _, first, at, last = unpack_place(places[i:j])
                 base = offsets[:-1][of[i:j]]
                 size = last - first + length
@@ -187,7 +188,7 @@ def _settle_strings(phrases: DataFrame, length: int) -> DataFrame:
                 tail = np.flatnonzero(seen & np.concatenate([~seen[1:] | (row[1:] != row[:-1]), [True]]))
                 yield pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(place[head]), pa.array(start[head]), pa.array(start[tail]), pa.nulls(len(head), pa.int64())], names=names)
 
-        def parts(table: pa.RecordBatch, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+        def parts(table: pa.RecordBatch, rows: int = 4000) -> Iterator[pa.RecordBatch]:
             """The rows in parts of about ``rows``, whole triggers each."""
             g = table.column(0).to_numpy(zero_copy_only=False)
             ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)) if len(g) else np.zeros(0, np.int64)
@@ -198,8 +199,8 @@ def _settle_strings(phrases: DataFrame, length: int) -> DataFrame:
                 at = k
 
         def loose(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for k in range(0, table.num_rows, 10_000):
-                d, place, start, _, key = strings(table.slice(k, 10_000))
+            for k in range(0, table.num_rows, 4000):
+                d, place, start, _, key = strings(table.slice(k, 4000))
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(place), pa.array(start), pa.array(start), pa.array(key.view(np.int64))], names=names)
 
         for batch in batches:
