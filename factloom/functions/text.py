@@ -21,10 +21,11 @@ def is_blank(text: Column) -> Column:
 
 
 def transliterate(text: Column) -> Column:
-    """Lower-case letters of Latin and Cyrillic script as ASCII."""
+    """Lower-case letters of Latin and Cyrillic script as ASCII; texts that are ASCII pass by."""
+    plain_text = text
     for char, plain in LETTERS.items():
-        text = F.replace(text, F.lit(char), F.lit(plain))
-    return F.translate(text, SIMPLE_FROM, SIMPLE_TO)
+        plain_text = F.replace(plain_text, F.lit(char), F.lit(plain))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(plain_text, SIMPLE_FROM, SIMPLE_TO))
 
 
 def slugify(text: Column) -> Column:
