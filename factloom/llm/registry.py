@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, crf_quality, elias_fano, flat_graph, hilbert_pack, media_tar, pareto_mix, pfp_dedup, prefix_targets, token_counts
+from . import chosen_path, crf_quality, elias_fano, flat_graph, hilbert_pack, media_tar, pareto_mix, pfp_dedup, prefix_targets, sql, store, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return store.small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
