@@ -20,17 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 from .components import connected_components
 
-SHARD = 1000
+SHARD = 1500
 PIVOTS = 16
+TOO_NEAR = 0.8
 DEGREE, CANDIDATES, BEAM, ALPHA = 24, 64, 32, 1.2
 MARGIN = 0.15
 AUDIT = 128
+EXPAND = 8192
 
 
 def classes_of(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -67,6 +69,9 @@ def deal_shards(classes: DataFrame, seed: int, shard: int = SHARD) -> DataFrame:
         # about four times as many rows as pivots, by chance, so that choosing them gathers a bounded number of rows
         drawn = members.where(F.pmod(draw, F.lit(1 << 30)) < F.lit(float(4 * PIVOTS * (1 << 30))) / F.col("size"))
         pivots = drawn.groupBy("gid").agg(F.slice(F.array_sort(F.collect_list(F.struct(draw.alias("draw"), F.col("id").alias("pivot"), F.col("v").alias("pv")))), 1, PIVOTS).alias("p"))
+        # one pivot for vectors that are near each other, so that a dense group stays in one shard while it fits
+        spread = F.aggregate("p", F.slice("p", 1, 1), lambda kept, x: F.when(F.exists(kept, lambda y: _cosine(y["pv"], x["pv"]) >= TOO_NEAR), kept).otherwise(F.concat(kept, F.array(x))))
+        pivots = pivots.withColumn("s", spread).withColumn("p", F.when(F.size("s") > 1, F.col("s")).otherwise(F.col("p")))
         pivots = store.materialize(pivots.select("gid", F.explode("p").alias("p")).select("gid", "p.pivot", "p.pv"), "graph-pivots")
         waiting = store.materialize(_nearest(members.select("gid", "id", "v"), pivots), "graph-level")
     else:
@@ -74,14 +79,16 @@ def deal_shards(classes: DataFrame, seed: int, shard: int = SHARD) -> DataFrame:
     return store.materialize(done, "graph-shards")
 
 
-def _nearest(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Every member under its nearest pivot of its group, and under the second one if that is about as near."""
+def _cosine(a: Column, b: Column) -> Column:
+    def dot(p: Column, q: Column) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    cosine = dot(F.col("v"), F.col("pv")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("pv"), F.col("pv")))
-    m = members.join(pivots, "gid").select("gid", "id", "pivot", cosine.alias("c"))
+def _nearest(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Every member under its nearest pivot of its group, and under the second one if that is about as near."""
+    m = members.join(pivots, "gid").select("gid", "id", "pivot", _cosine(F.col("v"), F.col("pv")).alias("c"))
     two = m.groupBy("gid", "id").agg(F.max(F.struct("c", "pivot")).alias("one"), F.collect_list(F.struct("c", "pivot")).alias("all"))
     second = F.array_max(F.filter("all", lambda x: x["pivot"] != F.col("one.pivot")))
     chosen = F.filter(F.array(F.col("one"), second), lambda x: x.isNotNull() & (x["c"] >= F.col("one.c") - MARGIN))
@@ -183,8 +190,11 @@ def search_all(x: np.ndarray, lists: np.ndarray, threshold: float) -> tuple[np.n
         # range expansion: every node in range passes the search on to its neighbours
         q, nodes = (np.concatenate(y) for y in zip(*inside, strict=True))
         while len(q):
-            qs, found, c = meet(q, nodes)
-            q, nodes = qs[c >= threshold], found[c >= threshold]
+            more: list[tuple[np.ndarray, np.ndarray]] = []
+            for k in range(0, len(q), EXPAND):  # a dense shard has very many pairs in range at once
+                qs, found, c = meet(q[k : k + EXPAND], nodes[k : k + EXPAND])
+                more.append((qs[c >= threshold], found[c >= threshold]))
+            q, nodes = (np.concatenate(y) for y in zip(*more, strict=True))
     q, nodes = (np.concatenate(y) for y in zip(*inside, strict=True))
     return q, nodes
 
