@@ -19,6 +19,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier does not reject."""
+    store.small_batches(spark)
     model = crf_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = crf_quality.score(docs, model, keep=tuple(docs.columns))
     return scored.where("score >= 0.3").select(*docs.columns)

@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of 8 MB at most in this session: whole texts go through Python, and rows may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

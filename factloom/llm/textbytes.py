@@ -6,6 +6,7 @@ slice and the longest single text, never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15 | 1)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -65,6 +66,15 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker kept for later tasks does not hold on to its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold at most ``limit`` bytes together; a longer text stands alone."""
     i, n = 0, len(offsets) - 1
@@ -73,6 +83,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+    release()
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -18,8 +18,8 @@ import numpy as np
 
 from . import textbytes as tb
 
-_SLOT_BITS = 21
-_POOL = 1 << 24
+_SLOT_BITS = 20
+_POOL = 1 << 23
 _JOIN = 64
 
 _GRAPHIC = np.zeros(256, bool)
