@@ -2,11 +2,14 @@
 
 Vectors are compared only within a label. Equal vectors form a class. Classes are dealt to overlapping cluster shards of
 bounded size: a group above the bound is split around pivots drawn from it, and a class between two pivots goes to both,
-until every group fits. A task builds the graph of a shard - each class linked to near ones, but not to one that a nearer
+until every group fits. A group above the bound whose pivots are all near each other, or that splitting hardly made
+smaller, is dense: splitting it would part neighbours, so all its pairs are compared, in blocks of bounded size spread over
+tasks. For the others a task builds the graph of a shard - each class linked to near ones, but not to one that a nearer
 neighbour already covers - and the adjacency lists of all shards are united. Every class then searches the united graph
 in its shards: greedily from the shard's medoid with a beam, then on through all neighbours in range. Found pairs are
-confirmed by their cosine in double precision and hold for both ends. An audit compares a bounded set of classes with all
-rows of their labels and, while its recall is below the target, shards around other pivots are added to the graph.
+confirmed by their cosine in double precision and hold for both ends. An audit compares a bounded set of classes in shards
+with all rows of their labels and, while its recall is below the target, shards around other pivots are added to the graph.
+If the last audit is still below it, every label is compared in blocks, whole.
 
 Vectors that are null, empty, zero or hold null or not finite components, and vectors without label or id, link with
 nothing and keep their own id as component (null stays null). Vectors of one label but different lengths are never
@@ -29,6 +32,8 @@ from .components import connected_components
 SHARD = 1500
 PIVOTS = 16
 TOO_NEAR = 0.8
+HARDLY = 0.9
+BLOCK = 1024
 DEGREE, CANDIDATES, BEAM, ALPHA = 24, 64, 32, 1.2
 MARGIN = 0.15
 AUDIT = 128
@@ -54,28 +59,31 @@ def _units(column: pa.Array) -> np.ndarray:
 
 
 def deal_shards(classes: DataFrame, seed: int, shard: int = SHARD) -> DataFrame:
-    """gid, id, v of every class in each of its shards."""
-    waiting = classes.select(F.xxhash64(F.lit(seed), "grp").alias("gid"), "id", "v")
+    """gid, id, v of every class in each of its shards; ``dense`` marks groups above the bound that must not be split."""
+    waiting = classes.select(F.xxhash64(F.lit(seed), "grp").alias("gid"), "id", "v", F.lit(None).cast("long").alias("above"))
     done: DataFrame | None = None
     for level in range(24):
-        sizes = store.materialize(waiting.groupBy("gid").agg(F.count("*").alias("size")), "graph-sizes")
-        small = waiting.join(sizes.where(F.col("size") <= shard), "gid").select("gid", "id", "v")
-        done = small if done is None else done.unionByName(small)
-        big = sizes.where(F.col("size") > shard)
+        sizes = store.materialize(waiting.groupBy("gid").agg(F.count("*").alias("size"), F.max("above").alias("above")), "graph-sizes")
+        stuck = (F.col("size") > shard) & F.coalesce(F.col("size") > HARDLY * F.col("above"), F.lit(False))
+        settled = sizes.where((F.col("size") <= shard) | stuck).select("gid", stuck.alias("dense"))
+        own = waiting.join(settled, "gid").select("gid", "id", "v", "dense")
+        done = own if done is None else done.unionByName(own)
+        big = sizes.where((F.col("size") > shard) & ~stuck).select("gid", "size")
         if big.isEmpty():
             break
-        members = waiting.join(big, "gid")
+        members = waiting.drop("above").join(big, "gid")
         draw = F.xxhash64(F.lit(seed), F.lit(level), "id")
         # about four times as many rows as pivots, by chance, so that choosing them gathers a bounded number of rows
         drawn = members.where(F.pmod(draw, F.lit(1 << 30)) < F.lit(float(4 * PIVOTS * (1 << 30))) / F.col("size"))
         pivots = drawn.groupBy("gid").agg(F.slice(F.array_sort(F.collect_list(F.struct(draw.alias("draw"), F.col("id").alias("pivot"), F.col("v").alias("pv")))), 1, PIVOTS).alias("p"))
-        # one pivot for vectors that are near each other, so that a dense group stays in one shard while it fits
+        # one pivot for vectors that are near each other, so that a dense group stays together; one in all: all of it is dense
         spread = F.aggregate("p", F.slice("p", 1, 1), lambda kept, x: F.when(F.exists(kept, lambda y: _cosine(y["pv"], x["pv"]) >= TOO_NEAR), kept).otherwise(F.concat(kept, F.array(x))))
-        pivots = pivots.withColumn("s", spread).withColumn("p", F.when(F.size("s") > 1, F.col("s")).otherwise(F.col("p")))
-        pivots = store.materialize(pivots.select("gid", F.explode("p").alias("p")).select("gid", "p.pivot", "p.pv"), "graph-pivots")
-        waiting = store.materialize(_nearest(members.select("gid", "id", "v"), pivots), "graph-level")
+        pivots = pivots.withColumn("p", spread).select("gid", F.explode("p").alias("p"), (F.size("p") == 1).alias("dense")).select("gid", "p.pivot", "p.pv", "dense")
+        pivots = store.materialize(pivots, "graph-pivots")
+        done = done.unionByName(members.join(pivots.where("dense").select("gid", "dense"), "gid").select("gid", "id", "v", "dense"))
+        waiting = store.materialize(_nearest(members, pivots.where("not dense")), "graph-level")
     else:
-        done = done.unionByName(waiting.select(F.xxhash64("gid", F.pmod(F.xxhash64("id"), F.lit(64))).alias("gid"), "id", "v"))
+        done = done.unionByName(waiting.select(F.xxhash64("gid", F.pmod(F.xxhash64("id"), F.lit(64))).alias("gid"), "id", "v", F.lit(False).alias("dense")))
     return store.materialize(done, "graph-shards")
 
 
@@ -87,13 +95,13 @@ def _cosine(a: Column, b: Column) -> Column:
 
 
 def _nearest(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Every member under its nearest pivot of its group, and under the second one if that is about as near."""
+    """Every member under its nearest pivot of its group, and under the second one if that is about as near; ``above`` is the group's size."""
     m = members.join(pivots, "gid").select("gid", "id", "pivot", _cosine(F.col("v"), F.col("pv")).alias("c"))
     two = m.groupBy("gid", "id").agg(F.max(F.struct("c", "pivot")).alias("one"), F.collect_list(F.struct("c", "pivot")).alias("all"))
     second = F.array_max(F.filter("all", lambda x: x["pivot"] != F.col("one.pivot")))
     chosen = F.filter(F.array(F.col("one"), second), lambda x: x.isNotNull() & (x["c"] >= F.col("one.c") - MARGIN))
     placed = two.select("gid", "id", F.explode(F.transform(chosen, lambda x: x["pivot"])).alias("pivot"))
-    return placed.join(members, ["gid", "id"]).select(F.xxhash64("gid", "pivot").alias("gid"), "id", "v")
+    return placed.join(members, ["gid", "id"]).select(F.xxhash64("gid", "pivot").alias("gid"), "id", "v", F.col("size").alias("above"))
 
 
 def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
@@ -133,7 +141,7 @@ def build(shards: DataFrame) -> DataFrame:
         lists = pruned_graph(_units(table.column("v")))
         return pa.table({"id": ids, "nbrs": pa.array([ids[k] for k in lists], pa.list_(pa.int64()))})
 
-    lists = shards.groupBy("gid").applyInArrow(run, "id long, nbrs array<long>")
+    lists = shards.where("not dense").groupBy("gid").applyInArrow(run, "id long, nbrs array<long>")
     return store.materialize(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "graph-lists")
 
 
@@ -217,10 +225,31 @@ def search(shards: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
         pairs = np.unique(np.stack([np.maximum(ids[q], ids[found]), np.minimum(ids[q], ids[found])], 1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    joined = shards.join(lists, "id").select("gid", "id", "v", "nbrs")
+    joined = shards.where("not dense").join(lists, "id").select("gid", "id", "v", "nbrs")
     return store.materialize(joined.groupBy("gid").applyInArrow(run, "a long, b long").distinct(), "graph-pairs")
 
 
+def block_pairs(groups: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), b < a, in range of all pairs within each group (gid, id, v); a task holds two blocks of a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, own, x = table.column("id").to_numpy(), table.column("own").to_numpy(), _units(table.column("v"))
+        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        if own.min() == own.max() and table.column("lo")[0] != table.column("hi")[0]:  # the other block is empty
+            left = left[:0]
+        p, q = np.nonzero(x[left] @ x[right].T >= threshold)
+        p, q = ids[left[p]], ids[right[q]]
+        if own.min() == own.max():
+            p, q = p[p > q], q[p > q]
+        return pa.table({"a": np.maximum(p, q), "b": np.minimum(p, q)})
+
+    blocks = groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = groups.join(store.materialize(blocks, "graph-blocks"), "gid").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")))
+    rows = rows.select("gid", "id", "v", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("gid", "id", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return store.materialize(rows.groupBy("gid", "lo", "hi").applyInArrow(run, "a long, b long").distinct(), "graph-pairs")
+
+
 def exact_pairs(classes: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
     """Pairs of each of a bounded set of classes with all classes of its label, by comparing blocks."""
 
@@ -249,11 +278,12 @@ def exact_pairs(classes: DataFrame, queries: DataFrame, threshold: float) -> Dat
     return out.distinct()
 
 
-def audit_recall(classes: DataFrame, pairs: DataFrame, threshold: float, seed: int = 5) -> float:
-    """Share of the exact pairs of ``AUDIT`` classes that were found; classes with pairs first, else by chance."""
+def audit_recall(classes: DataFrame, pairs: DataFrame, threshold: float, seed: int = 5, among: DataFrame | None = None) -> float:
+    """Share of the exact pairs of ``AUDIT`` classes (of ``among``) that were found; classes with pairs first, else by chance."""
+    among = classes if among is None else among
     linked = pairs.select(F.col("a").alias("id")).distinct()
-    half = classes.join(linked, "id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "id")).limit(AUDIT // 2)
-    queries = half.unionByName(classes.orderBy(F.xxhash64(F.lit(seed + 1), "id")).limit(AUDIT // 2)).dropDuplicates(["id"])
+    half = among.join(linked, "id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "id")).limit(AUDIT // 2)
+    queries = half.unionByName(among.orderBy(F.xxhash64(F.lit(seed + 1), "id")).limit(AUDIT // 2)).dropDuplicates(["id"])
     exact = store.materialize(exact_pairs(classes, store.materialize(queries.select("id", "grp", "v"), "graph-audit"), threshold), "graph-exact")
     total = exact.count()
     return exact.join(pairs, ["a", "b"], "left_semi").count() / total if total else 1.0
@@ -269,8 +299,14 @@ def near_links(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.98
         shards = more if shards is None else store.materialize(shards.unionByName(more), "graph-shards")
         lists = own if lists is None else store.materialize(lists.unionByName(own).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "graph-lists")
         pairs = search(shards, lists, threshold)
-        if audit_recall(classes, pairs, threshold) >= recall:
+        dense = shards.where("dense")
+        if not dense.isEmpty():
+            pairs = store.materialize(pairs.unionByName(block_pairs(dense, threshold)).distinct(), "graph-pairs")
+        # what was compared in blocks is exact; its many pairs would hide what searches lose
+        if audit_recall(classes, pairs, threshold, among=classes.join(shards.where("not dense"), "id", "left_semi")) >= recall:
             break
+    else:
+        pairs = block_pairs(classes.select(F.col("grp").alias("gid"), "id", "v"), threshold)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = classes.select("id", "n")
     linked = both.join(sizes.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "id")

@@ -171,6 +171,31 @@ def test_search_reaches_recall_over_many_shards(spark):
     assert flat_graph.audit_recall(classes, pairs, 0.93) >= 0.9
 
 
+def test_links_of_a_dense_group_over_several_shards(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=32)
+    v = centre + 0.42 * np.linalg.norm(centre) / np.sqrt(32) * rng.normal(size=(4 * flat_graph.SHARD, 32))
+    t = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near.sum() > len(v)
+    got = {r.vec_id: r.n_links for r in flat_graph.near_links(t).collect()}
+    assert [got[i] for i in range(len(v))] == near.sum(1).tolist()
+
+
+def test_a_failed_audit_leads_to_the_exact_comparison(spark, monkeypatch):
+    rows = [(i, [1.0, 0.001 * (i % 5), float(i // 5)], 0) for i in range(20)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    monkeypatch.setattr(flat_graph, "search", lambda *_: spark.createDataFrame([], "a long, b long"))
+    got = {r.vec_id: r.n_links for r in flat_graph.near_links(t, rounds=1).collect()}
+    assert near.any() and [got[i] for i in range(len(x))] == near.sum(1).tolist()
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 
