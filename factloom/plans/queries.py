@@ -280,12 +280,14 @@ def model_v2_to_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumns({c: joined(F.col(c)) for c in ("init_states", "final_states")})
 
 
-#: Processes of orders: an order's lines, by number, each move it from one step to the next.
+#: Processes of orders: an order's lines, by number, each move it from one step to the next. All lines; _PROCESS, which only
+#: the SQL below still reads, has lines 1 to 4.
+_STEPS = "SELECT o_custkey AS run_id, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS action, concat('s', CAST(l_linenumber - 1 AS STRING)) AS before_state, concat('s', CAST(l_linenumber AS STRING)) AS after_state, l_linenumber AS line, CAST(1 + max(l_suppkey) % 10 AS INT) AS b_value FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey GROUP BY 1, 2, 3, 4, 5"
 _PROCESS = "SELECT o_custkey AS run_id, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS action, concat('s', CAST(l_linenumber - 1 AS STRING)) AS before_state, concat('s', CAST(l_linenumber AS STRING)) AS after_state, l_linenumber AS line, CAST(1 + max(l_suppkey) % 10 AS INT) AS b_value FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_linenumber <= 4 GROUP BY 1, 2, 3, 4, 5"
 
 
 def process_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.select(spark, sf_dir, _PROCESS).selectExpr("run_id", "action", "case when line = 1 then cast(array() as array<string>) else array(before_state) end as init_states", "array(after_state) as final_states", "b_value")
+    return a.select(spark, sf_dir, _STEPS).selectExpr("run_id", "action", "case when line = 1 then cast(array() as array<string>) else array(before_state) end as init_states", "array(after_state) as final_states", "b_value")
 
 
 _PATHS = f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY action) AS pos FROM ({_PROCESS})),
@@ -294,8 +296,10 @@ _PATHS = f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY run_
 
 
 def process_paths(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    model = process_model(spark, sf_dir)
-    return paths.enumerate_paths(model, model.where("substring(action, 2, 1) = '4'").select("run_id", F.col("action").alias("target")), mode, save=staging.materialize)
+    """Paths to the actions of each run's last line."""
+    steps = a.select(spark, sf_dir, _STEPS)
+    targets = steps.join(steps.groupBy("run_id").agg(F.max("line").alias("line")), ["run_id", "line"]).select("run_id", F.col("action").alias("target"))
+    return paths.enumerate_paths(process_model(spark, sf_dir), targets, mode, save=staging.materialize)
 
 
 @query(f"{_PATHS} SELECT run_id, target, row_number() OVER (PARTITION BY run_id, target ORDER BY trail, path) AS path_index, array_to_string(path, '>') AS path, false AS truncated FROM p WHERE done")
