@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters without a canonical decomposition and their ASCII spelling.
-LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "щ": "shch", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "ю": "iu", "я": "ia", "ъ": "", "ь": ""}
-SIMPLE_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿабвгдеёзийклмнопрстуфыэ"
-SIMPLE_TO = "aaaaaaceeeeiiiinooooouuuuyyabvgdeeziiklmnoprstufye"
+#: Letters whose ASCII spelling does not follow from their decomposition.
+LETTERS = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ħ": "h", "ŋ": "ng",
+    "а": "a", "б": "b", "в": "v", "г": "g", "ґ": "g", "д": "d", "е": "e", "є": "ie", "ж": "zh", "з": "z", "и": "i", "і": "i",
+    "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh",
+    "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+#: Blocks whose lower-case letters are spelt: Latin, Greek and Cyrillic; and the combining marks, which are left out.
+SCRIPTS = ((0xC0, 0x250), (0x370, 0x500), (0x1E00, 0x2000))
+MARKS = (0x300, 0x370)
+#: What counts as white space at the ends of a text.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _spellings() -> dict[str, str]:
+    """ASCII spelling of every lower-case letter of ``SCRIPTS``: its own, or that of what it decomposes to without marks."""
+    found = dict(LETTERS)
+    for c in (chr(k) for block in SCRIPTS for k in range(*block)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c not in found and c.lower() == c and c.isalpha() and base != c and all(x in LETTERS or x.isascii() for x in base):
+            found[c] = "".join(LETTERS.get(x, x) for x in base)
+    return found
+
+
+SPELLINGS = _spellings()
+#: Letters that become several; the others, and after them the marks, go through one ``translate``.
+SEVERAL = {c: v for c, v in SPELLINGS.items() if len(v) > 1}
+_SINGLE = {c: v for c, v in SPELLINGS.items() if len(v) == 1}
+SIMPLE_FROM = "".join(_SINGLE) + "".join(c for c, v in SPELLINGS.items() if not v) + "".join(map(chr, range(*MARKS)))
+SIMPLE_TO = "".join(_SINGLE.values())
 
 
 def strip(text: Column) -> Column:
     """Without white space, of any script, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
@@ -21,18 +51,24 @@ def is_blank(text: Column) -> Column:
 
 
 def transliterate(text: Column) -> Column:
-    """Lower-case letters of Latin and Cyrillic script as ASCII; texts that are ASCII pass by."""
+    """Lower-case letters of Latin, Greek and Cyrillic script as ASCII, without marks; texts that are ASCII pass by."""
     plain_text = text
-    for char, plain in LETTERS.items():
+    for char, plain in SEVERAL.items():
         plain_text = F.replace(plain_text, F.lit(char), F.lit(plain))
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(plain_text, SIMPLE_FROM, SIMPLE_TO))
 
 
 def slugify(text: Column) -> Column:
-    """A snake_case key: runs of white space and punctuation, and whatever is not a-z or 0-9, become one underscore."""
-    s = F.regexp_replace(F.lower(strip(text)), r"(?U)[\s\-.,;:!/()]+", "_")
-    s = F.regexp_replace(F.regexp_replace(s, "[^a-z0-9_]", "_"), "_+", "_")
-    return F.btrim(s, F.lit("_"))
+    """A snake_case key: whatever is not a-z or 0-9 in lower case becomes one underscore a run, and none stays at the ends."""
+    return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The frame with columns that are computed once a row.
+
+    A projection alone is merged into the ones above it, which repeats its expressions at every use, and filters are pushed
+    through it; neither happens to the row that a generator makes."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
 def estimate_tokens(text: Column) -> Column:

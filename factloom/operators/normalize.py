@@ -37,9 +37,9 @@ def apply_reserved(slug: Column, reserved: frozenset[str]) -> Column:
 
 
 def settle_field(raw: Column, slug: Column, resolved: Column, name: str, config: NormalizeConfig) -> tuple[Column, Column]:
-    """(key part, warning or null) of a draft's field from its slug and the slug's canonical form."""
+    """(key part, warning or null) of a draft's field from its stripped text, its slug and the slug's canonical form."""
     fallback = FALLBACKS[name]
-    blank, empty, held = t.is_blank(raw), F.coalesce(slug == "", F.lit(True)), apply_reserved(resolved, config.reserved)
+    blank, empty, held = F.coalesce(raw == "", F.lit(True)), F.coalesce(slug == "", F.lit(True)), apply_reserved(resolved, config.reserved)
     value = F.when(blank | empty | (resolved == "") | held, F.lit(fallback)).otherwise(resolved)
     note = (
         F.when(blank | (~empty & (resolved == "")), F.lit(f"{name} was empty; using fallback '{fallback}'"))
@@ -52,7 +52,7 @@ def settle_field(raw: Column, slug: Column, resolved: Column, name: str, config:
 def normalize_field(raw: Column, name: str, config: NormalizeConfig) -> tuple[Column, Column]:
     """(key part, warning or null) of a draft's field."""
     slug = t.slugify(t.transliterate(F.lower(raw)))
-    return settle_field(raw, slug, resolve_aliases(slug, config.aliases.get(KINDS[name], {})), name, config)
+    return settle_field(t.strip(raw), slug, resolve_aliases(slug, config.aliases.get(KINDS[name], {})), name, config)
 
 
 def build_keys(verb: Column, object_: Column, actor: Column, input_state: Column, output_state: Column) -> dict[str, Column]:
@@ -68,19 +68,30 @@ def build_keys(verb: Column, object_: Column, actor: Column, input_state: Column
 def normalize_drafts(drafts: DataFrame, config: NormalizeConfig | None = None) -> DataFrame:
     """Drafts with keys, surface_forms, suggested_canonical, form_list (aliases), warnings and version."""
     config = config or NormalizeConfig()
-    # one projection a step, so that slugs and lookups are computed once a row and not once a use
-    steps = drafts.withColumns({f"_slug_{n}": t.slugify(t.transliterate(F.lower(F.col(n)))) for n in FIELDS})
+    steps = t.once(drafts, {f"_slug_{n}": t.slugify(t.transliterate(F.lower(F.col(n)))) for n in FIELDS} | {f"_given_{n}": t.strip(F.col(n)) for n in (*FIELDS, "action_label")})
     steps = steps.withColumns({f"_name_{n}": resolve_aliases(F.col(f"_slug_{n}"), config.aliases.get(KINDS[n], {})) for n in FIELDS})
-    settled = {n: settle_field(F.col(n), F.col(f"_slug_{n}"), F.col(f"_name_{n}"), n, config) for n in FIELDS}
-    steps = steps.withColumns({f"_{what}_{n}": settled[n][k] for n in FIELDS for k, what in enumerate(("key", "note"))})
+    settled = {n: settle_field(F.col(f"_given_{n}"), F.col(f"_slug_{n}"), F.col(f"_name_{n}"), n, config) for n in FIELDS}
+    steps = t.once(steps, {f"_{what}_{n}": settled[n][k] for n in FIELDS for k, what in enumerate(("key", "note"))})
     keys = build_keys(*(F.col(f"_key_{n}") for n in FIELDS))
-    given = lambda c: F.when(~t.is_blank(c), t.strip(c))
-    label = F.when(F.coalesce(F.col("action_label"), F.lit("")) != "", t.strip(F.col("action_label")))
-    forms = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(n).alias("k"), given(F.col(n)).alias("v")) for n in FIELDS), F.struct(F.lit("action_label").alias("k"), label.alias("v"))), lambda x: x["v"].isNotNull()))
-    suggested = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(n).alias("k"), F.when(F.coalesce(F.col(f"suggested_{n}_canonical"), F.lit("")) != "", t.strip(F.col(f"suggested_{n}_canonical"))).alias("v")) for n in SUGGESTIONS if f"suggested_{n}_canonical" in drafts.columns)), lambda x: x["v"].isNotNull())) if any(f"suggested_{n}_canonical" in drafts.columns for n in SUGGESTIONS) else F.expr("cast(map() as map<string,string>)")
-    listed = F.array_compact(F.array(*(given(F.col(n)) for n in ("input_state", "output_state", "verb", "primary_object", "primary_actor"))))
+
+    def filled(pairs: list[Column]) -> Column:
+        return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["v"].isNotNull()))
+
+    def pair(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("k"), value.alias("v"))
+
+    def given(name: str) -> Column:
+        return F.nullif(F.col(f"_given_{name}"), F.lit(""))
+
+    label = F.when(F.coalesce(F.col("action_label"), F.lit("")) != "", F.col("_given_action_label"))
+    forms = filled([*(pair(n, given(n)) for n in FIELDS), pair("action_label", label)])
+    hinted = [n for n in SUGGESTIONS if f"suggested_{n}_canonical" in drafts.columns]
+    hints = [pair(n, F.when(F.coalesce(F.col(f"suggested_{n}_canonical"), F.lit("")) != "", t.strip(F.col(f"suggested_{n}_canonical")))) for n in hinted]
+    suggested = filled(hints) if hints else F.expr("cast(map() as map<string,string>)")
+    listed = F.array_compact(F.array(*(given(n) for n in ("input_state", "output_state", "verb", "primary_object", "primary_actor"))))
     warnings = F.array_compact(F.array(*(F.col(f"_note_{n}") for n in FIELDS)))
-    return steps.select(*drafts.columns, *(c.alias(k) for k, c in keys.items()), forms.alias("surface_forms"), suggested.alias("suggested_canonical"), listed.alias("form_list"), warnings.alias("warnings"), F.lit(config.version).alias("normalization_version"))
+    made = {**keys, "surface_forms": forms, "suggested_canonical": suggested, "form_list": listed, "warnings": warnings, "normalization_version": F.lit(config.version)}
+    return steps.select(*drafts.columns, *(c.alias(k) for k, c in made.items()))
 
 
 def action_collisions(records: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 
+LARGE = ("lineitem", "events", "documents", "pages", "conversations")
+
 DRAFTS = """
 SELECT concat('run_', CAST(o_custkey AS STRING)) AS run_id,
-       ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS seq,
+       l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_shipdate, l_quantity, l_extendedprice) AS seq,
        CASE WHEN l_linenumber = 7 AND l_returnflag = 'A' THEN NULL WHEN l_returnflag = 'R' THEN concat('  ', o_orderpriority, ' ') ELSE o_orderpriority END AS verb,
        CASE WHEN l_linenumber = 6 AND l_returnflag = 'N' THEN '   ' ELSE p_name END AS primary_object,
        c_mktsegment AS primary_actor,
@@ -59,8 +61,15 @@ ALIASES = {"object": {"small_ring": "ring", "red_widget": "widget"}, "verb": {"5
 RESERVED = ("machinery", "widget")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as read; one of fewer splits than there are cores, as small files give, is dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
+
+
 def frames(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    return {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
 
 
 def select(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -76,12 +85,12 @@ def duck(text: str) -> str:
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of documents: lines that are not empty, with paths of one or two headings cut to 40 characters."""
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "posexplode(split(text, '\\n')) as (unit_index, text)").where("text <> ''")
+    """Blocks of documents: lines that are not empty, with paths of one or two headings."""
+    lines = table(spark, sf_dir, "documents").selectExpr("doc_id", "posexplode(split(text, '\\n')) as (unit_index, text)").where("text <> ''")
     rows = spark.sql(UNIT_RULE.replace("({lines})", "{lines}"), lines=lines)
     over = "over (partition by doc_id order by unit_index rows between unbounded preceding and current row)"
     rows = rows.selectExpr("*", f"last(h1, true) {over} as t1", f"last(h2, true) {over} as t2", f"last(i1, true) {over} as p1", f"last(i2, true) {over} as p2")
-    path = "case when p2 > coalesce(p1, -1) then case when t1 is null then array(substring(t2, 1, 40)) else array(substring(t1, 1, 40), substring(t2, 1, 40)) end when t1 is null then cast(array() as array<string>) else array(substring(t1, 1, 40)) end"
+    path = "case when p2 > coalesce(p1, -1) then case when t1 is null then array(t2) else array(t1, t2) end when t1 is null then cast(array() as array<string>) else array(t1) end"
     return rows.selectExpr("doc_id", "unit_index", f"{path} as section_path", "block_type", "text")
 
 
@@ -90,5 +99,5 @@ lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_s
 typed AS (""" + UNIT_RULE.replace("({lines})", "lines") + """ WHERE text <> ''),
 opened AS (SELECT *, last_value(h1 IGNORE NULLS) OVER w AS t1, last_value(h2 IGNORE NULLS) OVER w AS t2, last_value(i1 IGNORE NULLS) OVER w AS p1, last_value(i2 IGNORE NULLS) OVER w AS p2
   FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY unit_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-units AS (SELECT doc_id, unit_index, block_type, text, CASE WHEN p2 > coalesce(p1, -1) THEN CASE WHEN t1 IS NULL THEN [substring(t2, 1, 40)] ELSE [substring(t1, 1, 40), substring(t2, 1, 40)] END WHEN t1 IS NULL THEN CAST([] AS VARCHAR[]) ELSE [substring(t1, 1, 40)] END AS section_path FROM opened)
+units AS (SELECT doc_id, unit_index, block_type, text, CASE WHEN p2 > coalesce(p1, -1) THEN CASE WHEN t1 IS NULL THEN [t2] ELSE [t1, t2] END WHEN t1 IS NULL THEN CAST([] AS VARCHAR[]) ELSE [t1] END AS section_path FROM opened)
 """

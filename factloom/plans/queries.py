@@ -104,6 +104,11 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize_drafts(a.select(spark, sf_dir, a.DRAFTS), CONFIG)
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised drafts for queries that read them more than once."""
+    return staging.materialize(normalized(spark, sf_dir).select("run_id", "seq", "action_canonical", "form_list", "surface_forms"), "records")
+
+
 @query(f"WITH {RECORDS} SELECT run_id, seq, action_canonical, primary_actor_key, primary_object_key, input_state_key, output_state_key, array_to_string(forms, '|') AS aliases, warnings, coalesce(label, '') AS label FROM records")
 def normalize_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(spark, sf_dir).select("run_id", "seq", "action_canonical", "primary_actor_key", "primary_object_key", "input_state_key", "output_state_key", joined(F.col("form_list")).alias("aliases"), joined(F.col("warnings")).alias("warnings"), F.coalesce(F.element_at("surface_forms", "action_label"), F.lit("")).alias("label"))
@@ -118,9 +123,9 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {RECORDS}, hit AS (SELECT run_id, action_canonical, count(*) AS n_records FROM records GROUP BY 1, 2 HAVING count(*) > 1),
  used AS (SELECT run_id, action_canonical, seq, unnest(all_forms) AS form, generate_subscripts(all_forms, 1) AS i FROM records),
  first AS (SELECT run_id, action_canonical, form, min((seq, i)) AS place FROM used GROUP BY 1, 2, 3)
- SELECT run_id, action_canonical, n_records, string_agg(form, '|' ORDER BY place) AS surface_forms, false AS merged FROM hit JOIN first USING (run_id, action_canonical) GROUP BY 1, 2, 3""")
+ SELECT run_id, action_canonical, n_records, string_agg(form, '|' ORDER BY place, form) AS surface_forms, false AS merged FROM hit JOIN first USING (run_id, action_canonical) GROUP BY 1, 2, 3""")
 def action_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.action_collisions(normalized(spark, sf_dir)).withColumn("surface_forms", joined(F.col("surface_forms")))
+    return normalize.action_collisions(stored_records(spark, sf_dir)).withColumn("surface_forms", joined(F.col("surface_forms")))
 
 
 # --- records -------------------------------------------------------------------------------------------------------
@@ -361,7 +366,7 @@ def build_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plain(e: str) -> str:
-    for char, plain in t.LETTERS.items():
+    for char, plain in t.SEVERAL.items():
         e = f"replace({e}, '{char}', '{plain}')"
     return f"translate({e}, '{t.SIMPLE_FROM}', '{t.SIMPLE_TO}')"
 
