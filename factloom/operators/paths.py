@@ -1,17 +1,19 @@
 """Paths that reach an action: all states before it made, each by some action, no action more than twice.
 
-A row is a partial path with a stack of goals. A round pops the first goal of every open row: an action goal becomes one
-state goal for each of its states and a mark that it is done; a state goal joins its producers; a mark appends the action
-to the path. Action goals and marks cost no join with the frontier's own data beyond the model, and rows are written
-every few rounds so that plans stay short. ``trail`` holds the producers' places, by which finished paths are ordered."""
+A row is a partial path with a stack of goals. A round pops the first state goal of every open row and joins its producers,
+which push the states they need and a mark that they are done; marks on top are taken off in the same projection, each
+appending its action to the path. So a round is one join with the model, and their number is that of the states along a
+path. An action never stands above itself, so rounds end. ``trail`` holds the producers' places, by which finished paths
+are ordered."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REPEATS = 2
-GOAL = "struct<kind:string,name:string,above:array<string>>"
 
 
 def choose_producers(model: DataFrame, mode: str = "ALL", seed: int = 42) -> DataFrame:
@@ -31,50 +33,65 @@ def choose_producers(model: DataFrame, mode: str = "ALL", seed: int = 42) -> Dat
     return made.withColumn("nth", nth).where("nth = 1").select("run_id", "state", "pos", "producer")
 
 
-def enumerate_paths(model: DataFrame, targets: DataFrame, mode: str = "ALL", seed: int = 42, max_rounds: int = 200, max_paths: int = 10_000, save=None) -> DataFrame:
+def _goal(kind: str, name: Column, above: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"), above.alias("above"))
+
+
+def _pushed(states: Column, action: Column, above: Column) -> Column:
+    """Goals of an action: the states it needs, then the mark that it is done."""
+    below = F.array_union(above, F.array(action))
+    none = F.expr("cast(array() as array<string>)")
+    return F.concat(F.transform(states, lambda s: _goal("S", s, below)), F.array(_goal("E", action, none)))
+
+
+def _settle(rows: DataFrame) -> DataFrame:
+    """Takes the marks on top of each stack off into the path; rows that repeat an action too often go."""
+    n = F.coalesce(F.nullif(F.array_position(F.transform("stack", lambda g: g["kind"]), "S"), F.lit(0)) - 1, F.size("stack")).cast("int")
+    done = F.transform(F.slice("stack", F.lit(1), n), lambda g: g["name"])
+    rows = rows.withColumn("n", n).withColumn("path", F.concat("path", done))
+    rows = rows.withColumn("stack", F.slice("stack", F.col("n") + 1, F.size("stack") - F.col("n"))).drop("n")
+    return rows.where(~F.exists("path", lambda x: F.size(F.filter("path", lambda y: y == x)) > REPEATS))
+
+
+def enumerate_paths(model: DataFrame, targets: DataFrame, mode: str = "ALL", seed: int = 42, max_rounds: int | None = None, max_paths: int | None = None, save=None) -> DataFrame:
     """(run_id, target, path_index, path, truncated) for (run_id, target) rows.
 
     ``model``: run_id, action, init_states, final_states, b_value; ``pos`` orders actions, by name if it is missing.
-    A state without producer ends the branch that needs it. Beyond ``max_paths`` open rows of a target or after
-    ``max_rounds`` the target is given as far as it came, with truncated set. ``save`` writes a table and reads it back."""
+    A state without producer ends the branch that needs it. By default every path is given. Beyond ``max_paths`` open rows
+    of a target or after ``max_rounds`` the target is given as far as it came, with truncated set. ``save`` writes a table
+    and reads it back."""
     if "pos" not in model.columns:
         model = model.withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy("action")))
     save = save or (lambda df: df.checkpoint())
-    makers = save(choose_producers(model, mode, seed))
-    needs = save(model.select("run_id", F.col("action").alias("name"), "init_states"))
-    goal = lambda kind, name, above: F.struct(F.lit(kind).alias("kind"), name.alias("name"), above.alias("above"))
-    rest = F.slice("stack", 2, F.greatest(F.size("stack") - 1, F.lit(0)))
-    top = F.col("stack")[0]
     none = F.expr("cast(array() as array<string>)")
-    rows = targets.join(needs, (needs["name"] == targets["target"]) & (needs["run_id"] == targets["run_id"]), "left_semi")
-    open_ = rows.select("run_id", "target", none.alias("path"), F.array(goal("A", F.col("target"), none)).alias("stack"), F.expr("cast(array() as array<int>)").alias("trail"), F.lit(False).alias("truncated"))
-    finished: list[DataFrame] = []
-    for _ in range(max_rounds):
-        open_ = open_.withColumn("kind", top["kind"])
-        actions = open_.where("kind = 'A'").join(needs.withColumnRenamed("run_id", "r"), (F.col("r") == F.col("run_id")) & (F.col("name") == top["name"]))
-        above = F.array_union(top["above"], F.array(top["name"]))
-        more = F.concat(F.transform("init_states", lambda s: goal("S", s, above)), F.array(goal("E", top["name"], none)))
-        actions = actions.where(~F.array_contains(top["above"], top["name"])).withColumn("stack", F.concat(more, rest))
-        states = open_.where("kind = 'S'").join(makers.withColumnRenamed("run_id", "r"), (F.col("r") == F.col("run_id")) & (F.col("state") == top["name"]))
-        states = states.withColumn("trail", F.concat("trail", F.array(F.col("pos").cast("int")))).withColumn("stack", F.concat(F.array(goal("A", F.col("producer"), top["above"])), rest))
-        ends = open_.where("kind = 'E'").where(F.size(F.filter("path", lambda p: p == top["name"])) < REPEATS)
-        ends = ends.withColumn("path", F.concat("path", F.array(top["name"]))).withColumn("stack", rest)
-        columns = ["run_id", "target", "path", "stack", "trail", "truncated"]
-        step = actions.select(columns).unionByName(states.select(columns)).unionByName(ends.select(columns))
-        count = Window.partitionBy("run_id", "target")
-        step = step.withColumn("_n", F.count("*").over(count)).withColumn("_k", F.row_number().over(count.orderBy("trail", "path"))).where(F.col("_k") <= max_paths)
-        step = save(step.withColumn("truncated", F.col("truncated") | (F.col("_n") > max_paths)).select(columns))
+    needs = model.select(F.col("run_id").alias("r"), F.col("action").alias("name"), "init_states")
+    makers = choose_producers(model, mode, seed).withColumnRenamed("run_id", "r").join(needs.withColumnRenamed("name", "producer"), ["r", "producer"])
+    makers = save(makers)
+    rows = targets.join(needs, (F.col("r") == F.col("run_id")) & (F.col("name") == F.col("target")))
+    stack = _pushed(F.col("init_states"), F.col("target"), none)
+    open_ = rows.select("run_id", "target", none.alias("path"), stack.alias("stack"), F.expr("cast(array() as array<int>)").alias("trail"), F.lit(False).alias("truncated"))
+    open_ = save(_settle(open_))
+    finished, rounds = [open_.where(F.size("stack") == 0)], 0
+    open_ = open_.where(F.size("stack") > 0)
+    while not open_.isEmpty() and (max_rounds is None or rounds < max_rounds):
+        top, rest = F.col("stack")[0], F.slice("stack", 2, F.size("stack") - 1)
+        step = open_.join(makers, (F.col("r") == F.col("run_id")) & (F.col("state") == top["name"]) & ~F.array_contains(top["above"], F.col("producer")))
+        step = step.select("run_id", "target", "path", F.concat(_pushed(F.col("init_states"), F.col("producer"), top["above"]), rest).alias("stack"), F.concat("trail", F.array(F.col("pos").cast("int"))).alias("trail"), "truncated")
+        step = _settle(step)
+        if max_paths is not None:
+            count = Window.partitionBy("run_id", "target")
+            step = step.withColumn("_n", F.count("*").over(count)).withColumn("_k", F.row_number().over(count.orderBy("trail", "path"))).where(F.col("_k") <= max_paths)
+            step = step.withColumn("truncated", F.col("truncated") | (F.col("_n") > max_paths)).drop("_n", "_k")
+        step = save(step)
         finished.append(step.where(F.size("stack") == 0))
-        open_ = step.where(F.size("stack") > 0)
-        if open_.isEmpty():
-            break
-    out = finished[0]
-    for f in finished[1:]:
-        out = out.unionByName(f)
-    cut = open_.select("run_id", "target").distinct().withColumn("_cut", F.lit(True))
+        open_, rounds = step.where(F.size("stack") > 0), rounds + 1
+    out = reduce(DataFrame.unionByName, finished).select("run_id", "target", "path", "trail", "truncated")
     per = Window.partitionBy("run_id", "target")
-    out = out.join(cut, ["run_id", "target"], "left")
-    return out.select("run_id", "target", F.row_number().over(per.orderBy("trail", "path")).alias("path_index"), "path", (F.max("truncated").over(per) | F.coalesce("_cut", F.lit(False))).alias("truncated"))
+    cut = F.max("truncated").over(per)
+    if max_rounds is not None:
+        left = open_.select("run_id", "target").distinct().withColumn("_cut", F.lit(True))
+        out, cut = out.join(left, ["run_id", "target"], "left"), cut | F.coalesce("_cut", F.lit(False))
+    return out.select("run_id", "target", F.row_number().over(per.orderBy("trail", "path")).alias("path_index"), "path", cut.alias("truncated"))
 
 
 def step_channel(passage: str, index, total):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -285,59 +285,97 @@ def model_v2_to_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumns({c: joined(F.col(c)) for c in ("init_states", "final_states")})
 
 
-#: Processes of orders: an order's lines, by number, each move it from one step to the next. All lines; _PROCESS, which only
-#: the SQL below still reads, has lines 1 to 4.
-_STEPS = "SELECT o_custkey AS run_id, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS action, concat('s', CAST(l_linenumber - 1 AS STRING)) AS before_state, concat('s', CAST(l_linenumber AS STRING)) AS after_state, l_linenumber AS line, CAST(1 + max(l_suppkey) % 10 AS INT) AS b_value FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey GROUP BY 1, 2, 3, 4, 5"
-_PROCESS = "SELECT o_custkey AS run_id, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS action, concat('s', CAST(l_linenumber - 1 AS STRING)) AS before_state, concat('s', CAST(l_linenumber AS STRING)) AS after_state, l_linenumber AS line, CAST(1 + max(l_suppkey) % 10 AS INT) AS b_value FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_linenumber <= 4 GROUP BY 1, 2, 3, 4, 5"
+#: Processes of orders: each line, by its place among the order's line numbers, moves the order from one step to the next;
+#: lines of one number are ways to the same step. The check of a line's status is what the joint process needs besides.
+_STEPS = """SELECT run_id, action, concat('s', CAST(line - 1 AS STRING)) AS before_state, concat('s', CAST(line AS STRING)) AS after_state, CAST(line AS INT) AS line, b_value, last_line FROM (
+ SELECT l_orderkey AS run_id, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS action, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS line, l_linenumber = max(l_linenumber) OVER (PARTITION BY l_orderkey) AS last_line, b_value FROM (
+ SELECT l_orderkey, l_returnflag, l_linenumber, CAST(1 + max(l_suppkey) % 10 AS INT) AS b_value FROM {lineitem} GROUP BY 1, 2, 3) lines) steps"""
+_STATUS = "SELECT l_orderkey AS run_id, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS action, max(l_linestatus) AS status, max(l_suppkey) % 3 = 0 AS audited FROM {lineitem} GROUP BY 1, 2"
 
 
-def process_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.select(spark, sf_dir, _STEPS).selectExpr("run_id", "action", "case when line = 1 then cast(array() as array<string>) else array(before_state) end as init_states", "array(after_state) as final_states", "b_value")
+def process_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staging.materialize(a.select(spark, sf_dir, _STEPS), "steps")
 
 
-_PATHS = f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY action) AS pos FROM ({_PROCESS})),
- p AS (SELECT run_id, action AS target, action AS head, before_state AS need, line = 1 AS done, [action] AS path, CAST([] AS BIGINT[]) AS trail FROM m WHERE line = 4
+def process_model(steps: DataFrame) -> DataFrame:
+    return steps.selectExpr("run_id", "action", "case when line = 1 then cast(array() as array<string>) else array(before_state) end as init_states", "array(after_state) as final_states", "b_value")
+
+
+_PATHS = f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY action) AS pos FROM ({_STEPS})),
+ p AS (SELECT run_id, action AS target, action AS head, before_state AS need, line = 1 AS done, [action] AS path, CAST([] AS BIGINT[]) AS trail FROM m WHERE last_line
  UNION ALL SELECT p.run_id, target, m.action, m.before_state, m.line = 1, list_prepend(m.action, path), list_append(trail, m.pos) FROM p JOIN m ON m.run_id = p.run_id AND m.after_state = p.need WHERE NOT done)"""
+_BEST = _PATHS.replace("JOIN m ON", "JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY run_id, after_state ORDER BY b_value DESC, pos) = 1) m ON")
 
 
-def process_paths(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    """Paths to the actions of each run's last line."""
-    steps = a.select(spark, sf_dir, _STEPS)
-    targets = steps.join(steps.groupBy("run_id").agg(F.max("line").alias("line")), ["run_id", "line"]).select("run_id", F.col("action").alias("target"))
-    return paths.enumerate_paths(process_model(spark, sf_dir), targets, mode, save=staging.materialize)
+def process_paths(steps: DataFrame, mode: str) -> DataFrame:
+    """Paths to the actions of each order's last line."""
+    targets = steps.where("last_line").select("run_id", F.col("action").alias("target"))
+    return paths.enumerate_paths(process_model(steps), targets, mode, save=staging.materialize)
 
 
 @query(f"{_PATHS} SELECT run_id, target, row_number() OVER (PARTITION BY run_id, target ORDER BY trail, path) AS path_index, array_to_string(path, '>') AS path, false AS truncated FROM p WHERE done")
 def paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process_paths(spark, sf_dir, "ALL").withColumn("path", joined(F.col("path"), ">"))
-
-
-@query(_PATHS.replace("JOIN m ON", "JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY run_id, after_state ORDER BY b_value DESC, pos) = 1) m ON") + " SELECT run_id, target, array_to_string(path, '>') AS path FROM p WHERE done")
+    return process_paths(process_steps(spark, sf_dir), "ALL").withColumn("path", joined(F.col("path"), ">"))
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT * FROM ({_STEPS}) JOIN ({_STATUS}) USING (run_id, action)), c AS (SELECT DISTINCT run_id, status, 'check_' || status AS name FROM m UNION SELECT DISTINCT run_id, status, 'audit_' || status FROM m WHERE audited),
+ p AS (SELECT run_id, line, last_line, action, [c.name, action] AS path FROM m JOIN c USING (run_id, status) WHERE line = 1
+ UNION ALL SELECT m.run_id, m.line, m.last_line, m.action, p.path || [c.name, m.action] FROM p JOIN m ON m.run_id = p.run_id AND m.line = p.line + 1 JOIN c ON c.run_id = m.run_id AND c.status = m.status WHERE len(list_filter(p.path, lambda x: x = c.name)) < 2)
+ SELECT run_id, action AS target, array_to_string(path, '>') AS path FROM p WHERE last_line""")
+def paths_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line needs the step before it and a check of its status, by either of two actions, none of them more than twice."""
+    steps = staging.materialize(a.select(spark, sf_dir, _STEPS).join(a.select(spark, sf_dir, _STATUS), ["run_id", "action"]), "steps")
+    ok = F.concat(F.lit("ok_"), F.col("status"))
+    lines = steps.select("run_id", "action", F.when(F.col("line") == 1, F.array(ok)).otherwise(F.array(F.col("before_state"), ok)).alias("init_states"), F.array("after_state").alias("final_states"), "b_value")
+    none = F.expr("cast(array() as array<string>)").alias("init_states")
+    checks = [rows.select("run_id", F.concat(F.lit(kind), F.col("status")).alias("action"), none, F.array(ok).alias("final_states"), F.lit(1).alias("b_value")).distinct() for kind, rows in (("check_", steps), ("audit_", steps.where("audited")))]
+    targets = steps.where("last_line").select("run_id", F.col("action").alias("target"))
+    found = paths.enumerate_paths(lines.unionByName(checks[0]).unionByName(checks[1]), targets, save=staging.materialize)
+    return found.select("run_id", "target", joined(F.col("path"), ">").alias("path"))
+
+
+@query(f"{_BEST} SELECT run_id, target, array_to_string(path, '>') AS path FROM p WHERE done")
 def paths_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process_paths(spark, sf_dir, "QG").select("run_id", "target", joined(F.col("path"), ">").alias("path"))
+    return process_paths(process_steps(spark, sf_dir), "QG").select("run_id", "target", joined(F.col("path"), ">").alias("path"))
 
 
 @query()
 def paths_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process_paths(spark, sf_dir, "RANDOM").select("run_id", "target", joined(F.col("path"), ">").alias("path"))
+    return process_paths(process_steps(spark, sf_dir), "RANDOM").select("run_id", "target", joined(F.col("path"), ">").alias("path"))
+
 
+_NUMBERED = "n AS (SELECT run_id, target, path, row_number() OVER (PARTITION BY run_id ORDER BY target, trail, path) AS scenario FROM p WHERE done)"
 
-@query(f"""{_PATHS}, n AS (SELECT run_id, target, path, row_number() OVER (PARTITION BY run_id ORDER BY target, trail, path) AS scenario FROM p WHERE done),
- l AS (SELECT run_id, scenario, list_concat(['Scenario ' || scenario || '.1 ' || target || ' "s4"'], list_transform(path, lambda s, i: 'When ' || s || CASE WHEN i = len(path) THEN ' (UI)' ELSE ' (API)' END), ['Then s4 (UI)']) AS lines FROM n)
+
+@query(f"""{_PATHS}, {_NUMBERED},
+ l AS (SELECT run_id, scenario, list_concat(['Scenario ' || scenario || '.1 ' || target || ' "s' || len(path) || '"'], list_transform(path, lambda s, i: 'When ' || s || CASE WHEN i = len(path) THEN ' (UI)' ELSE ' (API)' END), ['Then s' || len(path) || ' (UI)']) AS lines FROM n)
  SELECT run_id, scenario, 1 AS version, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM l""")
 def render_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = paths.render_scenarios(process_paths(spark, sf_dir, "ALL"), process_model(spark, sf_dir), "LEAF", "UI")
+    steps = process_steps(spark, sf_dir)
+    out = paths.render_scenarios(process_paths(steps, "ALL"), process_model(steps), "LEAF", "UI")
     return out.withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query()
+@query(f"""{_BEST}, {_NUMBERED},
+ l AS (SELECT run_id, scenario, list_concat(['Scenario ' || scenario || ' ' || target], flatten(list_transform(path, lambda s, i: ['When ' || s || ' (API)', 'Then s' || i || ' (API)']))) AS lines FROM n)
+ SELECT run_id, scenario, 0 AS version, unnest(range(len(lines))) AS line_no, unnest(lines) AS line FROM l""")
 def render_scenarios_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.render_scenarios(process_paths(spark, sf_dir, "QG"), process_model(spark, sf_dir), "TREE", "API")
+    steps = process_steps(spark, sf_dir)
+    out = paths.render_scenarios(process_paths(steps, "QG"), process_model(steps), "TREE", "API")
+    return out.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query(f"{_PATHS} SELECT run_id, target, count(*) AS n_paths, count(*) AS n_scenarios FROM p WHERE done GROUP BY 1, 2")
 def scenario_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.scenario_counts(process_paths(spark, sf_dir, "ALL"), process_model(spark, sf_dir))
+    steps = process_steps(spark, sf_dir)
+    return paths.scenario_counts(process_paths(steps, "ALL"), process_model(steps))
+
+
+@query(f"SELECT run_id, action, CASE WHEN last_line THEN 'UI' ELSE 'API' END AS channel FROM ({_STEPS})")
+def step_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channel of each action of an order at its place among the order's steps: the last by the interface."""
+    s = a.select(spark, sf_dir, _STEPS).withColumn("total", F.max("line").over(Window.partitionBy("run_id")))
+    return s.select("run_id", "action", paths.step_channel("UI", F.col("line") - 1, F.col("total")).alias("channel"))
 
 
 # --- pieces of normalisation ----------------------------------------------------------------------------------------

@@ -168,12 +168,12 @@ def test_process_paths_cover_all_lines(spark, tmp_path):
     lines = [(1, n, f) for n in range(1, 8) for f in ("AR" if n in (2, 6) else "N")] + [(2, 1, "A"), (2, 2, "N"), (2, 2, "R")]
     spark.createDataFrame([(o, n, f, 10 * n + len(f)) for o, n, f in lines], "l_orderkey long, l_linenumber int, l_returnflag string, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(1, 11), (2, 12)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    want = set()
-    for order, run in ((1, 11), (2, 12)):
+    want, run_orders = set(), (1, 2)  # a run is an order
+    for order in run_orders:
         steps = {}
         for _, n, f in (x for x in lines if x[0] == order):
             steps.setdefault(n, []).append(f"{f}{n}")
-        want |= {(run, p[-1], ">".join(p)) for p in itertools.product(*(steps[n] for n in sorted(steps)))}
+        want |= {(order, p[-1], ">".join(p)) for p in itertools.product(*(steps[n] for n in sorted(steps)))}
     got = [(r.run_id, r.target, r.path) for r in plans.paths_all(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) == 6 and set(got) == want
 
