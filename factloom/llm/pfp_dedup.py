@@ -2,19 +2,28 @@
 
 A rolling hash over ``TRIGGER``-byte windows picks, in every string of ``length`` bytes, the window of least hash: its
 trigger, a function of the string alone. The strings of a document that share a trigger form a phrase, the bytes from
-the first of them to the end of the last; phrases overlap, and the parse is the list of a document's phrases. Equal
-strings have equal triggers, so the corpus order of strings need only be settled among phrases with the same trigger:
-
-1. Phrases are sorted by trigger, phrase and place in the corpus. All but a phrase's first occurrence repeat it whole.
-2. First occurrences whose trigger stands in other phrases too - the part of the dictionary where order is open - are
-   read again, and their strings are sorted within the trigger, so that equal strings meet in corpus order; all but the
-   first are repeats. Triggers with very many such phrases are settled string by string over the whole cluster.
+the first of them to the end of the last; phrases overlap, so no string reaches over its phrase's end, and the parse is
+the list of a document's phrases. Equal strings have equal triggers, so the corpus order of strings need only be settled
+among phrases with the same trigger:
+
+1. Phrases are sorted by trigger, phrase and place in the corpus. All but a phrase's first occurrence repeat it whole; the
+   first ones are the dictionary. Occurrences that repeat one of the same slice of texts are settled before the shuffle.
+2. Dictionary phrases whose trigger stands in other phrases too are read again, and the suffix array of each range of the
+   dictionary - the phrases of a trigger - is built over their bytes. Suffixes that agree in ``length`` bytes are
+   neighbours there; the place of their phrase in the parse orders them, and all but the first are repeats. A suffix array
+   of the whole parse would only order what follows a phrase's end, which no string reaches.
 3. Each document loses the bytes its repeated strings cover.
 
-Places are ordered by doc_id (null first), then by a digest of the text for rows that repeat an id, then by position.
-Rows equal in id and text are one document and get the same result. Null texts are empty; texts shorter than ``length``
-are kept; strings never reach over a document's end, and are judged on the texts as given. An empty table gives an empty
-result. Other columns are carried by ``remove_repeats`` and not looked at.
+A trigger that stands often in a slice is hot: its phrases are dealt by phrase instead of by trigger, and one row a slice
+tells the trigger's own place. Triggers with more than ``HOT_PHRASES`` dictionary phrases are cut into their strings, which
+are dealt by content, so that no task holds all phrases of a trigger. Whether a trigger is hot changes only where its rows
+meet. Phrases count as equal when trigger and phrase agree in 64-bit hashes each and in 17 bits of a third; strings of
+different phrases are compared by their bytes.
+
+Places are ordered by doc_id (null first), then by a 64-bit digest of the text for rows that repeat an id, then by
+position. Rows equal in id and text are one document and get the same result. Null texts are empty; texts shorter than
+``length`` are kept; strings never reach over a document's end, and are judged on the texts as given. An empty table gives
+an empty result. Other columns are carried by ``remove_repeats`` and not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -31,19 +40,22 @@ from . import textbytes as tb
 from .marks import marked
 
 TRIGGER = 32
-HOT_PHRASES = 20_000
+HOT_IN_SLICE = 16
+HOT_PHRASES = 2000
 PARSE_BYTES = 1 << 19  # the hashes of a slice take about a hundred times its bytes
 _LOW = 14  # bits of a place below the start: trigger and last string, 7 bits each
 _START = 31
-_FOLD = np.uint64(0xD6E8FEB86659FD93)
-_KIND = "d long, place long"
+_PLACE = (1 << (_START + _LOW)) - 1
+_CHECK = tb.seeds(256, 8)
+REPEAT, OPEN, HOT, TELLS = range(4)
+_ROW = "g long, x long, d long, th long, place long, kind long"
 
 
 def trigger_phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, trigger's place, first and last string's start, trigger hash, phrase hash) of every phrase."""
+    """(text, trigger's place, first and last string's start, trigger hash, phrase hash, check bits) of every phrase."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64), none
     up, down = tb._power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(tb._BYTE[data] * up[: len(data)], out=total[1:])
@@ -61,191 +73,284 @@ def trigger_phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     start = np.flatnonzero(text[: len(where)] == text[length - 1 : length - 1 + len(where)])
     if not len(start):
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64), none
     at, own = where[start].astype(np.int64), text[start]
     head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (own[1:] != own[:-1])]))
     first, last = start[head], start[np.append(head[1:], len(start)) - 1]
-    return own[head], at[head], first, last, rolling[at[head]], tb.span_hashes(data, first, last + length)
+    end = last + length
+    x = tb.mix64((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64) * tb._STEP)
+    np.cumsum(_CHECK[data] * up[: len(data)], out=total[1:])
+    check = tb.mix64((total[end] - total[first]) * down[first]) >> np.uint64(64 - 17)
+    return own[head], at[head], first, last, rolling[at[head]], x, check.astype(np.int64)
 
 
-def pack_place(digest: np.ndarray, first: np.ndarray, trigger: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """One word that sorts by digest and start; holds the phrase's extent."""
-    return (digest << (_START + _LOW)) | (first << _LOW) | ((trigger - first) << 7) | (last - first)
+def pack_place(check: np.ndarray, first: np.ndarray, trigger: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One word for a phrase's extent, with check bits above that ``_PLACE`` masks; without them it sorts by start."""
+    return (check << (_START + _LOW)) | (first << _LOW) | ((trigger - first) << 7) | (last - first)
 
 
-def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = (place >> _LOW) & ((1 << _START) - 1)
-    return place >> (_START + _LOW), first, first + ((place >> 7) & 127), first + (place & 127)
+    return first, first + ((place >> 7) & 127), first + (place & 127)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """All columns as one, with d (the id, least for null), th (17 bits of a text digest) and b (the bytes)."""
+    """All columns as one, with d (the id, least for null), th (a digest of the text) and b (the bytes)."""
     raw = F.coalesce(docs[text].cast("binary"), F.lit(b""))
     d = F.coalesce(docs[doc_id].cast("long"), F.lit(-(1 << 63)))
-    return docs.select(d.alias("d"), F.xxhash64(raw).bitwiseAND((1 << 17) - 1).alias("th"), raw.alias("b"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return docs.select(d.alias("d"), F.xxhash64(raw).alias("th"), raw.alias("b"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+
+
+def _batch(columns: list[np.ndarray], names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
+
+
+def settle_slice(rows: np.ndarray) -> np.ndarray:
+    """Phrases (g, x, d, th, place) of a slice with a kind each: repeats of one in the slice, others, and hot triggers with a row that tells of them."""
+    g = rows[:, 0]
+    _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
+    kind = np.full(len(rows), OPEN)
+    again = np.flatnonzero(count[inverse] > 1)
+    if not len(again):
+        return np.column_stack([rows, kind])
+    part = rows[again]
+    order = np.lexsort((part[:, 4] & _PLACE, part[:, 3], part[:, 2], part[:, 4] >> (_START + _LOW), part[:, 1], part[:, 0]))
+    at, part = again[order], part[order]
+    same = np.concatenate([[False], (part[1:, :2] == part[:-1, :2]).all(1) & (part[1:, 4] >> (_START + _LOW) == part[:-1, 4] >> (_START + _LOW))])
+    twice = np.concatenate([[False], (part[1:] == part[:-1]).all(1)])  # rows that repeat an id and text are one document
+    kind[at[same]] = REPEAT
+    fresh = np.bincount(inverse[at[~same]], minlength=len(count))
+    hot = fresh >= HOT_IN_SLICE
+    kind[(kind == OPEN) & hot[inverse]] = HOT
+    out = np.column_stack([rows, kind])
+    keep = np.ones(len(rows), bool)
+    keep[at[twice]] = False
+    tells = np.zeros((int(hot.sum()), 6), np.int64)
+    first = np.zeros(len(count), np.int64)
+    first[inverse] = g
+    tells[:, 0], tells[:, 5] = first[hot], TELLS
+    return np.concatenate([out[keep], tells])
 
 
 def _scan_phrases(keyed: DataFrame, length: int) -> DataFrame:
-    """d, place and kind of every phrase that is a repeat (0) or shares its trigger with other phrases (1)."""
+    """g, d, th, place and kind of every phrase that is a repeat or may share its strings with other phrases."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = tb.text_column(batch.column(2))
             for i, j in tb.slices(offsets, PARSE_BYTES):
-                own, at, first, last, g, x = trigger_phrases(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+                own, at, first, last, g, x, check = trigger_phrases(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
                 base = (offsets[i:j] - offsets[i])[own]
-                place = pack_place(th[i:j][own], first - base, at - base, last - base)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(x.view(np.int64)), pa.array(d[i:j][own]), pa.array(place)], names=["g", "x", "d", "place"])
+                place = pack_place(check, first - base, at - base, last - base)
+                rows = settle_slice(np.column_stack([g.view(np.int64), x.view(np.int64), d[i:j][own], th[i:j][own], place]))
+                yield _batch(list(rows.T), "g x d th place kind")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior: np.ndarray | None = None  # the row before
         head: np.ndarray | None = None  # the first row of its trigger, until it is known to be shared
+        told = False  # whether the last trigger is hot
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             if not len(rows):
                 continue
-            before = np.concatenate([rows[:1] if prior is None else prior[None], rows[:-1]])
-            same_g = rows[:, 0] == before[:, 0]
-            if prior is None:
-                same_g[0] = False
-            same_x = same_g & (rows[:, 1] == before[:, 1])
-            again = same_x & (rows[:, 2] == before[:, 2]) & (rows[:, 3] == before[:, 3])
-            shared = same_g & ~same_x
-            heads = np.flatnonzero(~same_g)
-            of = np.searchsorted(heads, np.flatnonzero(shared), side="right") - 1
-            marked = np.zeros(len(rows), bool)
-            marked[heads[of[of >= 0]]] = True
-            out = [(rows[same_x & ~again], 0), (rows[shared | marked], 1)]
-            if head is not None and (of < 0).any():
-                out.append((head[None], 1))
-                head = None
-            if len(heads):
-                head = None if marked[heads[-1]] else rows[heads[-1]]
-            prior = rows[-1]
+            settled = rows[:, 5] == REPEAT
+            passed, rows = rows[settled], rows[~settled]
+            out = [(passed, REPEAT)]
+            if len(rows):
+                before = np.concatenate([rows[:1] if prior is None else prior[None], rows[:-1]])
+                check, check_before = rows[:, 4] >> (_START + _LOW), before[:, 4] >> (_START + _LOW)
+                same_g = rows[:, 0] == before[:, 0]
+                if prior is None:
+                    same_g[0] = False
+                plain = (rows[:, 5] != TELLS) & (before[:, 5] != TELLS)
+                same_x = same_g & plain & (rows[:, 1] == before[:, 1]) & (check == check_before)
+                again = same_x & (rows[:, 2:5] == before[:, 2:5]).all(1)
+                heads = np.flatnonzero(~same_g)
+                group = np.cumsum(~same_g)  # 0: the trigger of the batch before
+                hot = np.zeros(int(group[-1]) + 1, bool)
+                hot[0] = told
+                hot[group[rows[:, 5] >= HOT]] = True
+                shared = np.zeros(len(hot), bool)
+                distinct = same_g & ~same_x
+                shared[group[distinct]] = True
+                shared |= hot
+                open_ = ~same_x & shared[group] & (rows[:, 5] != TELLS)
+                if not hot[0]:
+                    open_[(group == 0) & same_g] = (distinct & (group == 0))[(group == 0) & same_g]
+                out += [(rows[same_x & ~again], REPEAT), (rows[open_], OPEN)]
+                if head is not None and shared[0]:
+                    out.append((head[None], OPEN))
+                    head = None
+                if len(heads):
+                    last = int(heads[-1])
+                    head = None if shared[-1] else rows[last]
+                told = bool(hot[-1])
+                prior = rows[-1]
             for part, kind in out:
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 2]), pa.array(part[:, 3]), pa.array(np.full(len(part), kind, np.int64))], names=["d", "place", "kind"])
+                yield _batch([part[:, 0], part[:, 2], part[:, 3], part[:, 4] & _PLACE, np.full(len(part), kind)], "g d th place kind")
 
-    phrases = keyed.select("d", "th", "b").mapInArrow(parse, "g long, x long, d long, place long")
-    return phrases.repartition("g").sortWithinPartitions("g", "x", "d", "place").mapInArrow(settle, f"{_KIND}, kind long")
+    phrases = keyed.select("d", "th", "b").mapInArrow(parse, _ROW)
+    home = F.when(F.col("kind") == REPEAT, F.xxhash64("d", "th", "place")).when(F.col("kind") == HOT, F.xxhash64("g", "x")).otherwise(F.col("g"))
+    dealt = phrases.repartition(home).sortWithinPartitions("g", F.desc(F.col("kind") == TELLS), "x", "d", "th", "place")
+    return dealt.mapInArrow(settle, "g long, d long, th long, place long, kind long")
 
 
 def _open_phrases(keyed: DataFrame, scanned: DataFrame, length: int) -> DataFrame:
-    """g, d, place and bytes of the phrases whose order is open, read again from the texts."""
+    """p, d, th, place, body and from of the phrases whose order is open, read again from the texts.
+
+    ``p`` is the trigger; of a trigger with very many phrases every string is a row of its own, under a hash of its bytes, and
+    strings that repeat one of their batch come without body, with ``from`` as their start."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = "p d th place body from"
         for batch in batches:
-            data, offsets = tb.text_column(batch.column(1))
-            places, where = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
-            of = np.repeat(np.arange(batch.num_rows), np.diff(where))
-            d = batch.column(0).to_numpy(zero_copy_only=False)[of]
-            for i, j in tb.slices(np.concatenate([[0], np.cumsum(unpack_place(places)[3] - unpack_place(places)[1] + length)]), PARSE_BYTES):
-                _, first, at, last = unpack_place(places[i:j])
-                base = offsets[:-1][of[i:j]]
-                size = last - first + length
-                body = data[tb.ragged(base + first, size)]
+            data, offsets = tb.text_column(batch.column(2))
+            counts = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            flat = batch.column(3).flatten()
+            places, hot = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(batch.num_rows), counts)
+            d, th = (batch.column(i).to_numpy(zero_copy_only=False)[of] for i in (0, 1))
+            base = offsets[:-1][of]
+            first, at, last = unpack_place(places)
+
+            def blob(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+                body = data[tb.ragged(begin, size)]  # noqa: B023
                 ends = np.concatenate([[0], np.cumsum(size)])
-                blob = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body.tobytes())])
-                g = tb.span_hashes(body, ends[:-1] + (at - first), ends[:-1] + (at - first) + TRIGGER)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(d[i:j]), pa.array(places[i:j]), blob], names=["g", "d", "place", "body"])
-
-    wanted = scanned.where("kind = 1").groupBy("d", F.shiftright("place", _START + _LOW).alias("th")).agg(F.collect_list("place").alias("places"))
+                return body, ends, pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body.tobytes())])
+
+            size = last - first + length
+            whole = np.flatnonzero(~hot)
+            for i, j in tb.slices(np.concatenate([[0], np.cumsum(size[whole])]), PARSE_BYTES):
+                k = whole[i:j]
+                body, ends, bodies = blob(base[k] + first[k], size[k])
+                g = tb.span_hashes(body, ends[:-1] + (at - first)[k], ends[:-1] + (at - first)[k] + TRIGGER)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(d[k]), pa.array(th[k]), pa.array(places[k]), bodies, pa.array(first[k])], names=names.split())
+            split = np.flatnonzero(hot)
+            for i, j in tb.slices(np.concatenate([[0], np.cumsum((last - first + 1)[split] * length)]), 4 * PARSE_BYTES):
+                k = split[i:j]
+                body, ends, _ = blob(base[k] + first[k], size[k])
+                n = (last - first + 1)[k]
+                row, begin = np.repeat(k, n), tb.ragged(ends[:-1], n)
+                start = tb.ragged(first[k], n)
+                _, rank = suffix_order(body, begin, length)
+                order = np.lexsort((start, th[row], d[row], rank))
+                same = np.concatenate([[False], rank[order[1:]] == rank[order[:-1]]])
+                place = pack_place(np.zeros(len(row), np.int64), start, start, start)
+                again, fresh = order[same], order[~same]
+                p = tb.span_hashes(body, begin, begin + length).view(np.int64)
+                for own, bare in ((fresh, False), (again, True)):
+                    if bare:
+                        where, bodies = tb.mix64((th[row[own]] ^ start[own]).view(np.uint64)).view(np.int64), pa.nulls(len(own), pa.binary())
+                    else:
+                        where, (_, _, bodies) = p[own], blob(base[row[own]] + start[own], np.full(len(own), length))
+                    yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(d[row[own]]), pa.array(th[row[own]]), pa.array(place[own]), bodies, pa.array(start[own])], names=names.split())
+
+    open_ = scanned.where(F.col("kind") == OPEN)
+    crowded = store.materialize(open_.groupBy("g").count().where(F.col("count") > HOT_PHRASES).select("g"), "pfp-hot")
+    split = marked(crowded, "g")(open_)
+    wanted = open_.select("d", "th", F.struct("place", split.alias("hot")).alias("phrase")).groupBy("d", "th").agg(F.collect_set("phrase").alias("phrases"))
     wanted = store.materialize(wanted, "pfp-open")
-    texts = keyed.select("d", "th", "b").where(marked(wanted, "d")(keyed))
-    joined = texts.join(wanted, ["d", "th"]).select("d", "b", "places")
-    return joined.mapInArrow(cut, f"g long, {_KIND}, body binary")
+    texts = keyed.select("d", "th", "b").where(marked(wanted, "d", "th")(keyed))
+    joined = texts.join(wanted, ["d", "th"]).select("d", "th", "b", "phrases")
+    return joined.mapInArrow(cut, "p long, d long, th long, place long, body binary, from long")
+
+
+def suffix_order(data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array of the places ``begin`` to a depth of ``length`` bytes, rank of each place); equal ranks are equal bytes.
+
+    Ranks of 8 bytes are doubled, as every place has ``length`` bytes before the end of its phrase."""
+    n = len(data)
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = np.zeros(n, np.uint64)
+    for k in range(8):
+        wide[: n - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (7 - k))
+    rank, depth = np.unique(wide, return_inverse=True)[1].astype(np.int64), 8
+    while depth < length:
+        by = min(depth, length - depth)
+        after = np.append(rank[by:], np.full(by, -1))
+        pair = rank * (n + 2) + after + 1
+        if depth + by == length:
+            pair = pair[begin]
+        rank, depth = np.unique(pair, return_inverse=True)[1].astype(np.int64), depth + by
+    return np.argsort(rank, kind="stable"), rank
 
 
 def _settle_strings(phrases: DataFrame, length: int) -> DataFrame:
-    """d, place, from and to: runs of starts of repeated strings; rows with a key are strings of hot triggers, to be settled yet."""
+    """d, th, from and to: runs of starts of repeated strings."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "place", "from", "to", "key"]
         held: list[pa.RecordBatch] = []
-        hot: int | None = None
-
-        def strings(table: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-            data, offsets = tb.text_column(table.column(3))
-            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            g, d, place = (table.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            _, first, _, last = unpack_place(place)
-            count = last - first + 1
-            begin = tb.ragged(offsets[:-1], count)
-            row = np.repeat(np.arange(len(g)), count)
-            key = tb.mix64(tb.span_hashes(data, begin, begin + length) + g.view(np.uint64)[row] * _FOLD)
-            return d[row], place[row], begin - offsets[:-1][row] + first[row], row, key
 
         def repeats(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in parts(table):
-                d, place, start, row, key = strings(part)
-                order = np.argsort(key, kind="stable")
-                seen = np.zeros(len(key), bool)
-                seen[order[1:]] = key[order[1:]] == key[order[:-1]]
-                twice = np.zeros(len(key), bool)  # rows that repeat an id and text are one document
-                twice[order[1:]] = seen[order[1:]] & (d[order[1:]] == d[order[:-1]]) & (place[order[1:]] == place[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
-                seen &= ~twice
+                data, offsets = tb.text_column(part.column(4))
+                data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+                p, d, th, place = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                first, _, last = unpack_place(place)
+                count = last - first + 1
+                begin, row = tb.ragged(offsets[:-1], count), np.repeat(np.arange(len(p)), count)
+                start = begin - offsets[:-1][row] + first[row]
+                array, rank = suffix_order(data, begin, length)
+                # rows come in corpus order, which the stable sort keeps among equal strings; only those of one range meet
+                array = array[np.argsort(p[row[array]], kind="stable")]
+                same = np.concatenate([[False], (rank[array[1:]] == rank[array[:-1]]) & (p[row[array[1:]]] == p[row[array[:-1]]])])
+                seen = np.zeros(len(rank), bool)
+                seen[array] = same
                 head = np.flatnonzero(seen & np.concatenate([[True], ~seen[:-1] | (row[1:] != row[:-1])]))
                 tail = np.flatnonzero(seen & np.concatenate([~seen[1:] | (row[1:] != row[:-1]), [True]]))
-                yield pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(place[head]), pa.array(start[head]), pa.array(start[tail]), pa.nulls(len(head), pa.int64())], names=names)
+                yield _batch([d[row[head]], th[row[head]], start[head], start[tail]], "d th from to")
 
         def parts(table: pa.RecordBatch, rows: int = 4000) -> Iterator[pa.RecordBatch]:
-            """The rows in parts of about ``rows``, whole triggers each."""
-            g = table.column(0).to_numpy(zero_copy_only=False)
-            ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)) if len(g) else np.zeros(0, np.int64)
+            """The rows in parts of about ``rows``, whole ranges each."""
+            p = table.column(0).to_numpy(zero_copy_only=False)
+            ends = np.append(np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)) if len(p) else np.zeros(0, np.int64)
             at = 0
-            while at < len(g):
+            while at < len(p):
                 k = int(ends[min(np.searchsorted(ends, at + rows), len(ends) - 1)])
                 yield table.slice(at, k - at)
                 at = k
 
-        def loose(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for k in range(0, table.num_rows, 4000):
-                d, place, start, _, key = strings(table.slice(k, 4000))
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(place), pa.array(start), pa.array(start), pa.array(key.view(np.int64))], names=names)
-
+        prior: tuple | None = None
         for batch in batches:
+            settled = batch.column(4).is_null().to_numpy(zero_copy_only=False)
+            if settled.any():
+                own = batch.filter(pa.array(settled))
+                start = own.column(5).to_numpy(zero_copy_only=False)
+                yield _batch([own.column(1).to_numpy(zero_copy_only=False), own.column(2).to_numpy(zero_copy_only=False), start, start], "d th from to")
+                batch = batch.filter(pa.array(~settled))
             if not batch.num_rows:
                 continue
-            g = batch.column(0).to_numpy(zero_copy_only=False)
-            if hot is not None:
-                more = len(g) if (g == hot).all() else int(np.argmax(g != hot))
-                yield from loose(batch.slice(0, more))
-                batch, g = batch.slice(more), g[more:]
-                if not len(g):
+            # rows that repeat an id and text give the same phrases, which stand side by side; one of each stays
+            four = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            twice = np.concatenate([[prior is not None and tuple(four[0]) == prior], (four[1:] == four[:-1]).all(1)])
+            prior = tuple(four[-1])
+            if twice.any():
+                batch, four = batch.filter(pa.array(~twice)), four[~twice]
+                if not batch.num_rows:
                     continue
-                hot = None
             held.append(batch)
-            own = len(g) - int(np.argmax(g[::-1] != g[-1])) if (g != g[-1]).any() else 0
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            cut = whole.num_rows - (len(g) - own)
-            if own == 0:  # the trigger began in an earlier batch
-                all_g = whole.column(0).to_numpy(zero_copy_only=False)
-                cut = whole.num_rows - int(np.argmax(all_g[::-1] != all_g[-1])) if (all_g != all_g[-1]).any() else 0
-            yield from repeats(whole.slice(0, cut))
-            rest = whole.slice(cut)
-            if rest.num_rows > HOT_PHRASES:
-                hot, held = int(g[-1]), []
-                yield from loose(rest)
-            else:
-                held = [rest]
+            p = whole.column(0).to_numpy(zero_copy_only=False)
+            cut = len(p) - int(np.argmax(p[::-1] != p[-1])) if (p != p[-1]).any() else 0
+            if cut:
+                yield from repeats(whole.slice(0, cut))
+            held = [whole.slice(cut)]
         if held:
-            yield from repeats(pa.Table.from_batches(held).combine_chunks().to_batches()[0] if sum(b.num_rows for b in held) else held[0])
+            yield from repeats(held[0])
 
-    spread = phrases.repartition("g").sortWithinPartitions("g", "d", "place")
-    return spread.mapInArrow(settle, f"{_KIND}, from long, to long, key long")
+    spread = phrases.repartition("p").sortWithinPartitions("p", "d", "th", "place")
+    return spread.mapInArrow(settle, "d long, th long, from long, to long")
 
 
 def repeated_runs(keyed: DataFrame, length: int) -> DataFrame:
     """d, th and runs (from, to): starts of the repeated strings of every document that has some."""
     scanned = store.materialize(_scan_phrases(keyed, length), "pfp-phrases")
-    settled = store.materialize(_settle_strings(_open_phrases(keyed, scanned, length), length), "pfp-strings")
-    hot = settled.where("key is not null").select("d", "place", F.col("from").alias("s"), "key")
-    first = store.materialize(hot.groupBy("key").agg(F.min(F.struct("d", F.shiftright("place", _START + _LOW).alias("th"), "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "pfp-first")
-    later = hot.join(first, "key").where(F.struct("d", F.shiftright("place", _START + _LOW).alias("th"), "s") != F.col("first")).select("d", "place", F.col("s").alias("from"), F.col("s").alias("to"))
-    low = F.shiftright("place", _LOW).bitwiseAND((1 << _START) - 1)
-    whole = scanned.where("kind = 0").select("d", "place", low.alias("from"), (low + F.col("place").bitwiseAND(127)).alias("to"))
-    runs = whole.unionByName(settled.where("key is null").drop("key")).unionByName(later)
-    return store.materialize(runs.groupBy("d", F.shiftright("place", _START + _LOW).alias("th")).agg(F.collect_list(F.struct("from", "to")).alias("runs")), "pfp-runs")
+    low: Column = F.shiftright("place", _LOW)
+    whole = scanned.where(F.col("kind") == REPEAT).select("d", "th", low.alias("from"), (low + F.col("place").bitwiseAND(127)).alias("to"))
+    runs = whole.unionByName(_settle_strings(_open_phrases(keyed, scanned, length), length))
+    return store.materialize(runs.groupBy("d", "th").agg(F.collect_list(F.struct("from", "to")).alias("runs")), "pfp-runs")
 
 
 def covered(n: int, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +403,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     runs = repeated_runs(keyed, length)
-    hit = marked(runs, "d")(keyed)
+    hit = marked(runs, "d", "th")(keyed)
     touched = keyed.where(hit).join(runs, ["d", "th"], "left").select("row", "b", "runs")
     clean = keyed.where(~hit).select("row", "b", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
     schema = f"row {keyed.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -309,21 +309,50 @@ def removed_marks(bodies, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeats_against_brute_force(docs, none, texts, spark, monkeypatch, hot):
+def check_repeats(frame, rows):
+    """rows: (doc_id, text) as in the frame; rows that are equal count once, null ids come first, then digests of texts decide."""
+    digest = {t: h for t, h in frame.select("text", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("h")).distinct().collect()}
+    order = sorted({(d is not None, d or 0, digest[t], t or "") for d, t in rows})
+    marks = dict(zip([(o[0], o[1], o[3]) for o in order], removed_marks([o[3].encode() for o in order]), strict=True))
+    got = pfp_dedup.remove_repeats(frame).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        b, mark = (r.row.text or "").encode(), marks[(r.row.doc_id is not None, r.row.doc_id or 0, r.row.text or "")]
+        spans = int((np.diff(np.concatenate([[0], mark.astype(int)])) == 1).sum())
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(b), int(mark.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~mark])), r.row.doc_id
+
+
+@pytest.mark.parametrize(("hot", "in_slice"), [(2000, 16), (1, 16), (2000, 1), (1, 1)])
+def test_repeats_against_brute_force(docs, none, texts, spark, monkeypatch, hot, in_slice):
     monkeypatch.setattr(pfp_dedup, "HOT_PHRASES", hot)
+    monkeypatch.setattr(pfp_dedup, "HOT_IN_SLICE", in_slice)
     shared = prose(np.random.default_rng(9), 40)
     more = [f"{i} {shared} {prose(np.random.default_rng(i), 30)} {shared[7:]}" for i in range(25)] + ["xyz" * 200, "xyz" * 90]
-    bodies = raw([*texts, *more])
+    rows = [*enumerate([*texts, *more])]
     d = docs.select("doc_id", "text", "row").unionByName(spark.createDataFrame([(len(texts) + i, t, "odd") for i, t in enumerate(more)], "doc_id long, text string, row string"))
-    got = {r.row.doc_id: r for r in pfp_dedup.remove_repeats(d.repartition(4)).collect()}
-    for i, (b, mark) in enumerate(zip(bodies, removed_marks(bodies), strict=True)):
-        kept = bytes(np.frombuffer(b, np.uint8)[~mark])
-        spans = int((np.diff(np.concatenate([[0], mark.astype(int)])) == 1).sum())
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(b), int(mark.sum()), spans, kept), i
+    check_repeats(d.repartition(4), rows)
     assert pfp_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_repeats_of_very_many_rows_of_one_id(spark, one_id):
+    rng = np.random.default_rng(5)
+    passages = [prose(rng, 25) for _ in range(60)]
+    rows = [(one_id, f"{prose(rng, 6)} {passages[i % 60]} {i} {prose(rng, 8)}") for i in range(4000)]
+    rows += rows[:50] + [(one_id, None), (3, passages[0] + " and more of it")]
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows)
+
+
+def test_suffix_order_is_that_of_the_bytes():
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 99, 900).astype(np.uint8)
+    begin = np.arange(0, 800)
+    array, rank = pfp_dedup.suffix_order(data, begin, 100)
+    strings = [data[i : i + 100].tobytes() for i in begin]
+    assert [strings[i] for i in array] == sorted(strings)
+    assert len(set(rank.tolist())) == len(set(strings))
+
+
 def test_repeats_keep_characters_whole_and_repeated_rows(spark):
     t = "é" * 120 + "ü" * 10
     d = spark.createDataFrame([(1, "x" + t), (2, "yz" + t), (2, "yz" + t), (None, "q")], "doc_id long, text string")
