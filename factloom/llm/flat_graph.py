@@ -5,11 +5,14 @@ bounded size: a group above the bound is split around pivots drawn from it, and
 until every group fits. A group above the bound whose pivots are all near each other, or that splitting hardly made
 smaller, is dense: splitting it would part neighbours, so all its pairs are compared, in blocks of bounded size spread over
 tasks. For the others a task builds the graph of a shard - each class linked to near ones, but not to one that a nearer
-neighbour already covers - and the adjacency lists of all shards are united. Every class then searches the united graph
-in its shards: greedily from the shard's medoid with a beam, then on through all neighbours in range. Found pairs are
-confirmed by their cosine in double precision and hold for both ends. An audit compares a bounded set of classes in shards
-with all rows of their labels and, while its recall is below the target, shards around other pivots are added to the graph.
-If the last audit is still below it, every label is compared in blocks, whole.
+neighbour already covers - and the adjacency lists of all shards are united. Every class then searches the united graph:
+greedily with a beam from the medoid of each of its shards, then on through all neighbours in range; where a class in range
+also stands in a shard that the query does not, the query goes on from it there as a guest, until no query enters a new
+shard. Found pairs are confirmed by their cosine in double precision and hold for both ends. An audit compares a bounded
+set of classes in shards with all rows of their labels and, while its recall is below the target, shards around other
+pivots are added to the graph. If the last audit is still below it, every label is compared in blocks, whole.
+
+Comparisons in blocks give each class its number of links and the block's classes a spanning forest, never a row a pair.
 
 Vectors that are null, empty, zero or hold null or not finite components, and vectors without label or id, link with
 nothing and keep their own id as component (null stays null). Vectors of one label but different lengths are never
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,8 @@ DEGREE, CANDIDATES, BEAM, ALPHA = 24, 64, 32, 1.2
 MARGIN = 0.15
 AUDIT = 128
 EXPAND = 8192
+GUESTS = 1500  # queries that enter a shard together
+WALK = 0.04  # guests also pass through nodes so little out of range
 
 
 def classes_of(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +89,7 @@ def deal_shards(classes: DataFrame, seed: int, shard: int = SHARD) -> DataFrame:
         done = done.unionByName(members.join(pivots.where("dense").select("gid", "dense"), "gid").select("gid", "id", "v", "dense"))
         waiting = store.materialize(_nearest(members, pivots.where("not dense")), "graph-level")
     else:
-        done = done.unionByName(waiting.select(F.xxhash64("gid", F.pmod(F.xxhash64("id"), F.lit(64))).alias("gid"), "id", "v", F.lit(False).alias("dense")))
+        done = done.unionByName(waiting.select("gid", "id", "v", F.lit(True).alias("dense")))
     return store.materialize(done, "graph-shards")
 
 
@@ -207,20 +213,26 @@ def search_all(x: np.ndarray, lists: np.ndarray, threshold: float) -> tuple[np.n
     return q, nodes
 
 
+def _padded(ids: np.ndarray, lists: pa.ChunkedArray) -> np.ndarray:
+    """Neighbours as places in the sorted ``ids``, those that are not among them left out; filled up with -1."""
+    column = lists.combine_chunks()
+    flat, of = column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+    here = ids[at] == flat
+    at, of = at[here], of[here]
+    count = np.bincount(of, minlength=len(ids))
+    out = np.full((len(ids), int(count.max()) if len(ids) else 0), -1)
+    out[of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)] = at
+    return out
+
+
 def search(shards: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), b < a, of classes in range."""
+    """Distinct pairs (a, b), b < a, of classes in range that searches from the medoids of their shards meet."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
         ids, x = table.column("id").to_numpy(), _units(table.column("v"))
-        order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        neighbours = [np.asarray(v, np.int64) for v in table.column("nbrs").take(pa.array(order)).to_pylist()]
-        at = [np.searchsorted(ids, v) for v in neighbours]
-        at = [p[(p < len(ids)) & (ids[np.minimum(p, len(ids) - 1)] == v)] for p, v in zip(at, neighbours, strict=True)]
-        padded = np.full((len(ids), max((len(p) for p in at), default=0)), -1)
-        for k, p in enumerate(at):
-            padded[k, : len(p)] = p
-        q, found = search_all(x, padded, threshold)
+        q, found = search_all(x, _padded(ids, table.column("nbrs")), threshold)
         q, found = q[q != found], found[q != found]
         pairs = np.unique(np.stack([np.maximum(ids[q], ids[found]), np.minimum(ids[q], ids[found])], 1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -229,25 +241,123 @@ def search(shards: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     return store.materialize(joined.groupBy("gid").applyInArrow(run, "a long, b long").distinct(), "graph-pairs")
 
 
-def block_pairs(groups: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), b < a, in range of all pairs within each group (gid, id, v); a task holds two blocks of a group."""
+def expand_from(x: np.ndarray, lists: np.ndarray, guests: np.ndarray, entry: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(guest, node) of all nodes in range that guests meet on their way from their entries through nodes about in range."""
+    seen = np.zeros((len(guests), len(x)), bool)
+    q, nodes = np.repeat(np.arange(len(guests)), entry.shape[1]), entry.ravel()
+    q, nodes = q[nodes >= 0], nodes[nodes >= 0]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(q):
+        more: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(0, len(q), EXPAND):
+            code = np.unique(q[k : k + EXPAND] * len(x) + nodes[k : k + EXPAND])
+            who, at = code // len(x), code % len(x)
+            fresh = ~seen[who, at]
+            who, at = who[fresh], at[fresh]
+            seen[who, at] = True
+            c = np.einsum("ij,ij->i", guests[who], x[at])
+            found.append((who[c >= threshold], at[c >= threshold]))
+            who, at = who[c >= threshold - WALK], at[c >= threshold - WALK]
+            following = lists[at]
+            who, following = np.repeat(who, lists.shape[1]), following.ravel()
+            who, following = who[following >= 0], following[following >= 0]
+            fresh = ~seen[who, following]
+            more.append((who[fresh], following[fresh]))
+        q, nodes = (np.concatenate(y) for y in zip(*more, strict=True))
+    return tuple(np.concatenate([*(f[i] for f in found), np.zeros(0, np.int64)]) for i in range(2))
+
+
+def walk_on(shards: DataFrame, lists: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs and those that searches find which go on into the other shards of classes in range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        own, guest = table.filter(pa.compute.is_null(table.column("entry"))), table.filter(pa.compute.is_valid(table.column("entry")))
+        if not own.num_rows or not guest.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        ids, x = own.column("id").to_numpy(), _units(own.column("v"))
+        asked, entry = guest.column("id").to_numpy(), np.searchsorted(ids, np.stack([guest.column(c).to_numpy() for c in ("entry", "other")], 1))
+        q, found = expand_from(x, _padded(ids, own.column("nbrs")), _units(guest.column("v")), entry, threshold)
+        p, q = asked[q], ids[found]
+        p, q = p[p != q], q[p != q]
+        both = np.unique(np.stack([np.maximum(p, q), np.minimum(p, q)], 1), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    members = store.materialize(shards.where("not dense").join(lists, "id").select("gid", "id", "v", "nbrs"), "graph-members")
+    stands = members.select("gid", "id").distinct()
+    vectors = members.select("id", "v").dropDuplicates(["id"])
+    visited, new = stands, pairs
+    while True:
+        both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # both ends of what a query enters a shard by; classes in dense groups alone are not in the graph
+        enters = both.join(stands.withColumnRenamed("id", "b"), "b").groupBy("gid", F.col("a").alias("id")).agg(F.min("b").alias("entry"), F.max("b").alias("other"))
+        guests = store.materialize(enters.join(visited, ["gid", "id"], "left_anti").join(vectors, "id"), "graph-guests")
+        if guests.isEmpty():
+            return pairs
+        visited = store.materialize(visited.unionByName(guests.select("gid", "id")), "graph-visited")
+        chunks = store.materialize(guests.groupBy("gid").agg(F.ceil(F.count("*") / GUESTS).alias("chunks")), "graph-chunks")
+        none = F.lit(None)
+        asked = guests.join(chunks, "gid").select("gid", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), "id", "v", none.cast("array<long>").alias("nbrs"), "entry", "other")
+        hosts = members.join(chunks, "gid").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "v", "nbrs", none.cast("long").alias("entry"), none.cast("long").alias("other"))
+        found = asked.unionByName(hosts).groupBy("gid", "chunk").applyInArrow(run, "a long, b long").distinct()
+        new = store.materialize(found.join(pairs, ["a", "b"], "left_anti"), "graph-pairs")
+        pairs = pairs.unionByName(new)
+
+
+def spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (ids of rows, ids of columns) that connect whatever the matrix connects: steps of the least id through it."""
+    label = {"l": left.copy(), "r": right.copy()}
+    a, b = [], []
+    moved = True
+    while moved:
+        moved = False
+        for matrix, own, other, ids, far in ((near, "l", "r", left, right), (near.T, "r", "l", right, left)):
+            seen = np.where(matrix, label[other][None, :], np.iinfo(np.int64).max)
+            at = seen.argmin(1)
+            least = seen[np.arange(len(ids)), at]
+            lower = np.flatnonzero(least < label[own])
+            if len(lower):
+                a.append(ids[lower])
+                b.append(far[at[lower]])
+                label[own][lower] = least[lower]
+                moved = True
+    return tuple(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (a, b))
+
+
+def block_links(groups: DataFrame, threshold: float) -> DataFrame:
+    """id, others (rows linked) and link of all pairs in range within each group (gid, id, v, n, gids).
+
+    A task holds two blocks of a group. Pairs that stand together in several groups count in that of least gid alone."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, own, x = table.column("id").to_numpy(), table.column("own").to_numpy(), _units(table.column("v"))
-        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
-        if own.min() == own.max() and table.column("lo")[0] != table.column("hi")[0]:  # the other block is empty
-            left = left[:0]
-        p, q = np.nonzero(x[left] @ x[right].T >= threshold)
-        p, q = ids[left[p]], ids[right[q]]
-        if own.min() == own.max():
-            p, q = p[p > q], q[p > q]
-        return pa.table({"a": np.maximum(p, q), "b": np.minimum(p, q)})
+        ids, own, n, x = *(table.column(c).to_numpy() for c in ("id", "own", "n")), _units(table.column("v"))
+        gid, same = table.column("gid")[0].as_py(), table.column("lo")[0] == table.column("hi")[0]
+        left, right = np.flatnonzero(own == table.column("lo")[0].as_py()), np.flatnonzero(own == table.column("hi")[0].as_py())
+        near = x[left] @ x[right].T >= threshold
+        if same:
+            np.fill_diagonal(near, False)
+        groups_of = table.column("gids").to_pylist()
+        for h in {g for gs in groups_of for g in gs if g < gid}:
+            inside = np.array([h in gs for gs in groups_of])
+            near[np.ix_(inside[left], inside[right])] = False
+        sides = [(ids[left], near @ n[right])] if same else [(ids[left], near @ n[right]), (ids[right], n[left] @ near)]
+        a, b = spanning(near, ids[left], ids[right])
+        who, total = (np.concatenate(y) for y in zip(*sides, strict=True))
+        who, total = who[total > 0], total[total > 0]
+        return pa.table({"id": np.concatenate([who, a]), "others": np.concatenate([total, np.zeros(len(a), np.int64)]).astype(np.int64), "link": pa.array(np.concatenate([who, b]))})
 
     blocks = groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     rows = groups.join(store.materialize(blocks, "graph-blocks"), "gid").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")))
-    rows = rows.select("gid", "id", "v", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("gid", "id", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    return store.materialize(rows.groupBy("gid", "lo", "hi").applyInArrow(run, "a long, b long").distinct(), "graph-pairs")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("gid", "id", "v", "n", "gids", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return store.materialize(rows.groupBy("gid", "lo", "hi").applyInArrow(run, "id long, others long, link long"), "graph-blocks")
+
+
+def together(pairs: DataFrame, dense: DataFrame) -> DataFrame:
+    """The pairs whose ends stand in one dense group."""
+    stands = dense.select("gid", "id").distinct()
+    first = pairs.join(stands.withColumnRenamed("id", "a"), "a")
+    return first.join(stands.withColumnRenamed("id", "b"), ["b", "gid"], "left_semi").select("a", "b").distinct()
 
 
 def exact_pairs(classes: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
@@ -270,46 +380,56 @@ def exact_pairs(classes: DataFrame, queries: DataFrame, threshold: float) -> Dat
         v = np.array(r.v)
         v = v / np.abs(v).max()
         asked.append((r.id, r.grp, v / np.sqrt((v * v).sum())))
-    dims = classes.withColumn("dim", F.size("v"))
-    parts = [dims.where(F.col("dim") == d).select("id", "grp", "v").mapInArrow(run, "a long, b long") for d in sorted({r[0] for r in dims.select("dim").distinct().limit(64).collect()})]
+    parts = [classes.where(F.size("v") == d).select("id", "grp", "v").mapInArrow(run, "a long, b long") for d in sorted({len(v) for _, _, v in asked})]
     out = parts[0] if parts else classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
 
 
-def audit_recall(classes: DataFrame, pairs: DataFrame, threshold: float, seed: int = 5, among: DataFrame | None = None) -> float:
-    """Share of the exact pairs of ``AUDIT`` classes (of ``among``) that were found; classes with pairs first, else by chance."""
+def audit_recall(classes: DataFrame, pairs: DataFrame, threshold: float, seed: int = 5, among: DataFrame | None = None, exact: DataFrame | None = None) -> float:
+    """Share of the exact pairs of ``AUDIT`` classes (of ``among``) that were found; classes with pairs first, else by chance.
+
+    ``exact``: dense groups, whose own pairs were compared whole and are left out."""
     among = classes if among is None else among
     linked = pairs.select(F.col("a").alias("id")).distinct()
     half = among.join(linked, "id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "id")).limit(AUDIT // 2)
     queries = half.unionByName(among.orderBy(F.xxhash64(F.lit(seed + 1), "id")).limit(AUDIT // 2)).dropDuplicates(["id"])
-    exact = store.materialize(exact_pairs(classes, store.materialize(queries.select("id", "grp", "v"), "graph-audit"), threshold), "graph-exact")
-    total = exact.count()
-    return exact.join(pairs, ["a", "b"], "left_semi").count() / total if total else 1.0
+    wanted = store.materialize(exact_pairs(classes, store.materialize(queries.select("id", "grp", "v"), "graph-audit"), threshold), "graph-exact")
+    if exact is not None:
+        wanted = store.materialize(wanted.join(together(wanted, exact), ["a", "b"], "left_anti"), "graph-exact")
+    total = wanted.count()
+    return wanted.join(pairs, ["a", "b"], "left_semi").count() / total if total else 1.0
 
 
 def near_links(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.98, rounds: int = 4, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     rows, classes = classes_of(vectors, vec_id, embedding, label)
-    shards = lists = None
+    sizes = classes.select("id", "n")
+    shards = lists = blocks = None
     for k in range(rounds):
         more = deal_shards(classes, seed=101 + k)
         own = build(more)
         shards = more if shards is None else store.materialize(shards.unionByName(more), "graph-shards")
         lists = own if lists is None else store.materialize(lists.unionByName(own).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "graph-lists")
-        pairs = search(shards, lists, threshold)
+        pairs = walk_on(shards, lists, search(shards, lists, threshold), threshold)
         dense = shards.where("dense")
-        if not dense.isEmpty():
-            pairs = store.materialize(pairs.unionByName(block_pairs(dense, threshold)).distinct(), "graph-pairs")
-        # what was compared in blocks is exact; its many pairs would hide what searches lose
-        if audit_recall(classes, pairs, threshold, among=classes.join(shards.where("not dense"), "id", "left_semi")) >= recall:
+        crowded = not dense.isEmpty()
+        if audit_recall(classes, pairs, threshold, among=classes.join(shards.where("not dense"), "id", "left_semi"), exact=dense if crowded else None) >= recall:
+            if crowded:
+                pairs = store.materialize(pairs.join(together(pairs, dense), ["a", "b"], "left_anti"), "graph-pairs")
+                own_groups = dense.groupBy("id").agg(F.sort_array(F.collect_set("gid")).alias("gids"))
+                blocks = block_links(dense.dropDuplicates(["gid", "id"]).select("gid", "id", "v").join(own_groups, "id").join(sizes, "id"), threshold)
             break
     else:
-        pairs = block_pairs(classes.select(F.col("grp").alias("gid"), "id", "v"), threshold)
+        pairs = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        blocks = block_links(classes.select(F.col("grp").alias("gid"), "id", "v", "n", F.expr("cast(array() as array<long>)").alias("gids")), threshold)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select("id", "n")
-    linked = both.join(sizes.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "id")
+    linked = both.join(sizes.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.col("n").alias("others"))
+    if blocks is not None:
+        linked = linked.unionByName(blocks.select("id", "others"))
+        pairs = pairs.unionByName(blocks.where("id <> link").select(F.col("id").alias("a"), F.col("link").alias("b")))
+    linked = linked.groupBy("id").agg(F.sum("others").alias("others"))
     parts = connected_components(pairs)
     facts = classes.join(linked, "id", "left").join(parts, "id", "left").select("grp", "v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     facts = store.materialize(facts, "graph-facts")

@@ -184,6 +184,50 @@ def test_links_of_a_dense_group_over_several_shards(spark):
     assert [got[i] for i in range(len(v))] == near.sum(1).tolist()
 
 
+def test_searches_leave_their_shards(spark):
+    """Vectors along curves that hold several times a shard's vectors, where every shard's edge has near ones beyond it."""
+    rng = np.random.default_rng(12)
+    turn = rng.uniform(0, 2 * np.pi, (2, 900))
+    planes = np.linalg.qr(rng.normal(size=(24, 4)))[0]
+    v = np.concatenate([np.cos(t)[:, None] * planes[:, 2 * k] + np.sin(t)[:, None] * planes[:, 2 * k + 1] for k, t in enumerate(turn)]) + 0.01 * rng.normal(size=(1800, 24))
+    t = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = {(int(a), int(b)) for a, b in zip(*np.nonzero(x @ x.T >= 0.93), strict=True) if b < a}
+    _, classes = flat_graph.classes_of(t, "vec_id", "embedding", "label")
+    shards = flat_graph.deal_shards(classes, 1, shard=400)
+    assert shards.where("dense").isEmpty() and shards.select("gid").distinct().count() > 6
+    lists = flat_graph.build(shards)
+    inside = flat_graph.search(shards, lists, 0.93)
+    found = {(r.a, r.b) for r in flat_graph.walk_on(shards, lists, inside, 0.93).collect()}
+    assert found <= near and inside.count() < 0.99 * len(near) < len(found)
+
+
+def test_blocks_count_links_and_connect(spark, monkeypatch):
+    monkeypatch.setattr(flat_graph, "BLOCK", 40)
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(150, 4))
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    n = rng.integers(1, 4, 150)
+    groups = [(g, i, v[i].tolist(), int(n[i]), [7, 8] if i % 3 == 0 else [g]) for i in range(150) for g in ((7, 8) if i % 3 == 0 else (7,) if i % 3 == 1 else (8,))]
+    out = flat_graph.block_links(spark.createDataFrame(groups, "gid long, id long, v array<double>, n long, gids array<long>"), 0.93).collect()
+    met = np.array([[not {i % 3, j % 3} == {1, 2} for j in range(150)] for i in range(150)]) & near
+    others = np.zeros(150, np.int64)
+    for r in out:
+        others[r.id] += r.others
+        assert r.id == r.link or met[r.id, r.link]
+    assert others.tolist() == (met @ n).tolist()
+    label = np.arange(150)
+    for links in ([(r.id, r.link) for r in out], list(zip(*np.nonzero(met), strict=True))):
+        own = np.arange(150)
+        for _ in range(150):
+            for a, b in links:
+                own[a] = own[b] = min(own[a], own[b])
+        assert links is not None and (label is None or (label == np.arange(150)).all() or (own == label).all())
+        label = own
+
+
 def test_a_failed_audit_leads_to_the_exact_comparison(spark, monkeypatch):
     rows = [(i, [1.0, 0.001 * (i % 5), float(i // 5)], 0) for i in range(20)]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
