@@ -29,6 +29,9 @@ from .marks import MARK_BITS, bitmap, is_set
 
 WIDTH = 192
 SHARD_BYTES = 256 << 20
+HELD_BYTES = 8 << 20  # encoded payloads that may occur again and wait for the open shard to end
+MET_DIGESTS = 100_000
+READ_BYTES = 8 << 20  # members read by one task, about
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -88,14 +91,13 @@ class _Shards:
     """Streams the members of one task into shards of bounded size and notes where they went."""
 
     def __init__(self, prefix: str, shard_bytes: int):
-        self.prefix, self.shard_bytes, self.found = prefix, shard_bytes, []
+        self.prefix, self.shard_bytes, self.found, self.written = prefix, shard_bytes, [], 0
 
     def write(self, members: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
-        k = 0
         while member := next(members, None):
-            uri = f"{self.prefix}-{k:04d}.tar"
+            uri = f"{self.prefix}-{self.written:04d}.tar"
             store.write_file(uri, self._shard(uri, member, members))
-            k += 1
+            self.written += 1
             yield index_batch(self.found)
             self.found.clear()
 
@@ -126,24 +128,38 @@ def write_shards(payloads: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[str] = set()
         shared: list[tuple] = []
+        state = {"held": 0, "more": True}
 
-        def members() -> Iterator[tuple[str, bytes]]:
+        def payloads() -> Iterator[tuple[bytes, bool]]:
             for batch in batches:
                 data, offsets = tb.text_column(batch.column(1))
-                at = batch.column(0).to_numpy(zero_copy_only=False) % MARK_BITS
-                again = is_set(marks, at)
+                again = is_set(marks, batch.column(0).to_numpy(zero_copy_only=False) % MARK_BITS)
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    payload = data[a:b].tobytes()
-                    digest = hashlib.sha256(payload).hexdigest()
-                    if not again[k]:
-                        yield digest, encode_png(payload)
-                    elif digest not in met:
-                        met.add(digest)
-                        shared.append((digest, None, None, None, encode_png(payload)))
-
-        yield from _Shards(f"{folder}/own-{TaskContext.get().partitionId():06d}", shard_bytes).write(members())
-        for k in range(0, len(shared), 1000):
-            yield index_batch(shared[k : k + 1000])
+                    yield data[a:b].tobytes(), bool(again[k])
+
+        def members() -> Iterator[tuple[str, bytes]]:
+            """Members of the next shards; stops early, and the open shard ends, when enough is held that is not to be written here."""
+            for payload, again in read:
+                digest = hashlib.sha256(payload).hexdigest()
+                if not again:
+                    yield digest, encode_png(payload)
+                elif digest not in met:
+                    if len(met) >= MET_DIGESTS:
+                        met.clear()
+                    met.add(digest)
+                    shared.append((digest, None, None, None, encode_png(payload)))
+                    state["held"] += len(shared[-1][4])
+                    if state["held"] >= HELD_BYTES:
+                        return
+            state["more"] = False
+
+        read, shards = payloads(), _Shards(f"{folder}/own-{TaskContext.get().partitionId():06d}", shard_bytes)
+        while state["more"]:
+            yield from shards.write(members())
+            for k in range(0, len(shared), 1000):
+                yield index_batch(shared[k : k + 1000])
+            shared.clear()
+            state["held"] = 0
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def members() -> Iterator[tuple[str, bytes]]:
@@ -162,6 +178,13 @@ def write_shards(payloads: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
     return first.where("shard is not null").drop("media").unionByName(rest.drop("media"))
 
 
+def by_bytes(index: DataFrame) -> DataFrame:
+    """The index dealt so that tasks read about equal bytes, neighbouring members together."""
+    total = index.agg(F.sum(F.col("length") + 1024)).first()[0] or 0
+    near = F.floor(F.col("offset") / (READ_BYTES // 8))
+    return index.repartition(max(1, -(-total // READ_BYTES)), "shard", near).sortWithinPartitions("shard", "offset")
+
+
 def read_headers(index: DataFrame) -> DataFrame:
     """The index with member, width, height and bit_depth, from the first bytes of each member alone."""
 
@@ -222,6 +245,7 @@ def media_columns(docs: DataFrame, folder: str | None = None, text: str = "text"
 def media_table(docs: DataFrame, **options) -> DataFrame:
     """Every row with where its payload is stored, the metadata of the header and the features read back."""
     rows, index = media_columns(docs, **options)
+    index = by_bytes(index)
     described = read_headers(index).join(read_features(index), "digest")
     return rows.join(described, "digest").drop("member")
 
