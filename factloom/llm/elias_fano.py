@@ -6,7 +6,7 @@ high bits stand in unary, and 32-bit counts of ones for every 512 bits let ``sel
 table of 64-bit offsets. Shards do not overlap, so the ids before a shard are the sum of the shards before it.
 
 Null texts hold the end id alone; null doc_ids come first and are counted in the footer; equal doc_ids keep one entry a
-row, ordered by text; an empty table writes shards without documents. Other columns are not read.
+row, ordered by a digest of the text, and may spread over shards; an empty table writes shards without documents. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -113,7 +113,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         store.write_file(path, parts())
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([state["docs"]]), pa.array([state["total"]])], names=["shard", "path", "n_docs", "n_tokens"])
 
-    ranged = docs.select(docs[doc_id].cast("long").alias("d"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("b")).repartitionByRange("d").sortWithinPartitions("d", "b")
+    # rows that share an id, or have none, are split among ranges by a digest of their text and, where equal, by place
+    tie = (F.xxhash64(docs[text]), F.monotonically_increasing_id())
+    keyed = docs.select(docs[doc_id].cast("long").alias("d"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("b"), tie[0].alias("h"), tie[1].alias("at"))
+    ranged = keyed.repartitionByRange("d", "h", "at").sortWithinPartitions("d", "h", "at").select("d", "b")
     return ranged.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long")
 
 
