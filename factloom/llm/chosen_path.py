@@ -5,8 +5,10 @@ minwise values. In each tree a node picks one or two positions from its own key,
 named by their values there, so similar classes stay together along some path. Nodes of bounded size are compared
 exhaustively; larger ones compare all classes with one of theirs (a star) and branch on while they hold classes that the
 links found so far do not connect and comparing those would take too many steps. Trees differ by their root key and their number follows from the wanted recall.
+Below the starting depth nodes branch twice, which holds that recall at any depth; ``DEEPER`` levels down, where unrelated
+documents have parted, what is left is compared in blocks whatever a node's size.
 Comparisons first match two bits of each minwise value, then every pair that could still connect two components is
-confirmed on full sets, those of a large node block by block in the task that holds both blocks' sets; nothing is dropped
+confirmed on full sets of 64-bit shingle hashes, those of a large node block by block in the task that holds both blocks' sets; nothing is dropped
 for its node's size.
 
 The depth to which all nodes branch before they are counted follows from the number of classes, so that unrelated
@@ -36,10 +38,11 @@ from .marks import marked
 POSITIONS = 64
 LEAF = 64
 BLOCK = 2048  # classes of a large node compared in one task
+DEEPER = 3  # levels below the starting depth, each of which makes a class's rows in large nodes 2.5 times as many
 NODE_BLOCKS = 256  # pairs of blocks of one large node; beyond, it branches first
 COLUMNS = 8192
 MATCHES = 36  # of 64; at similarity 0.8 54 agree on average, with a deviation under 3
-SET_BYTES = 6
+_AGAIN = tb.seeds(2, 37)  # a node that branches below the starting depth does so twice
 _EVEN = 0x5555555555555555
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -119,8 +122,11 @@ def branch(keys: np.ndarray, row: np.ndarray, sig: np.ndarray) -> tuple[np.ndarr
 
 
 def missed(depth: int, similarity: float) -> float:
-    """Chance that a pair shares no path of a tree at a depth."""
+    """Chance that a pair shares no path of a tree at a depth, nor at any level below it, where every node branches twice."""
     q = 0.0
+    for _ in range(100):  # converges from below: no number of further levels exceeds it
+        x = 1 - similarity + similarity * q
+        q = (0.75 * x + 0.25 * x * x) ** 2
     for _ in range(depth):
         x = 1 - similarity + similarity * q
         q = 0.75 * x + 0.25 * x * x
@@ -128,7 +134,7 @@ def missed(depth: int, similarity: float) -> float:
 
 
 def forest(classes: int, similarity: float = 0.8, miss: float = 1e-7) -> tuple[int, int]:
-    """(depth, trees): nodes of unrelated classes stay small, a pair at the threshold is missed with chance ``miss``."""
+    """(depth, trees): nodes of unrelated classes stay small, a pair at the threshold is missed with chance ``miss`` at any depth."""
     depth = max(2, math.ceil(math.log(max(classes, 2)) / math.log(70)))
     return depth, math.ceil(math.log(miss) / math.log(missed(depth, similarity)))
 
@@ -235,7 +241,10 @@ def _compare(nodes: DataFrame) -> DataFrame:
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """id and the packed set of the classes in ``wanted`` (id, doc_id, k0, k1), from the whole texts."""
+    """id and the packed set of the classes in ``wanted`` (id, doc_id, digest, k0, k1), from the whole texts.
+
+    Texts are found by doc_id and digest, so that rows without id or of one id do not meet each other; those that surely
+    are not wanted stay out of the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,18 +256,17 @@ def _set_table(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text
                 key = signatures(h, sizes)[0].view(np.int64) if j > i else np.zeros((0, 2), np.int64)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 keep = np.flatnonzero((key[:, 0] == k0[i:j]) & (key[:, 1] == k1[i:j]))
-                sets = [np.ascontiguousarray((h[at[r] : at[r + 1]] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for r in keep]
+                sets = [h[at[r] : at[r + 1]].astype("<u8").tobytes() for r in keep]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(keep)), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    source = docs.select(docs[doc_id].alias("d"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("b"))
-    joined = source.join(wanted, source["d"].eqNullSafe(wanted["doc_id"])).select("id", "k0", "k1", "b")
+    source = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("digest"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("b"))
+    source = source.where(marked(wanted, "doc_id", "digest")(source)).toDF("d", "h", "b")
+    joined = source.join(wanted, source["d"].eqNullSafe(wanted["doc_id"]) & (source["h"] == wanted["digest"])).select("id", "k0", "k1", "b")
     return store.materialize(joined.mapInArrow(run, "id long, set binary").dropDuplicates(["id"]), "path-sets")
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // SET_BYTES, 8), np.uint8)
-    wide[:, :SET_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SET_BYTES)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(packed, "<u8")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -409,13 +417,13 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     spark = docs.sparkSession
     rows = _sketch(docs, words, doc_id, text)
     full = rows.where("n_shingles > 0")
-    classes = store.materialize(full.groupBy("k0", "k1").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("id"), F.min("doc_id").alias("doc_id"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("sig").alias("sig")), "path-classes")
+    classes = store.materialize(full.groupBy("k0", "k1").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("id"), F.min("doc_id").alias("doc_id"), F.min_by("digest", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("digest"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("sig").alias("sig")), "path-classes")
     depth, trees = forest(classes.count(), percent / 100)
     nodes, parts = _nodes(classes, depth, trees), spark.createDataFrame([], "id long, component long")
     links: list[DataFrame] = []
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return _set_table(docs, classes.join(ids, "id").select("id", "doc_id", "k0", "k1"), words, doc_id, text)
+        return _set_table(docs, classes.join(ids, "id").select("id", "doc_id", "digest", "k0", "k1"), words, doc_id, text)
 
     def connect(found: DataFrame) -> DataFrame:
         links.append(found)
@@ -436,7 +444,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         members = store.materialize(members, "path-members")
         per = members.groupBy("node", "component").agg(F.count("*").alias("n"))
         state = per.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("odd")).where("odd > 0")
-        state = store.materialize(state.withColumn("few", (F.ceil(F.col("odd") / BLOCK) * F.ceil(F.col("all") / BLOCK) <= NODE_BLOCKS) | F.lit(level >= 12)), "path-state")
+        state = store.materialize(state.withColumn("few", (F.ceil(F.col("odd") / BLOCK) * F.ceil(F.col("all") / BLOCK) <= NODE_BLOCKS) | F.lit(level >= DEEPER)), "path-state")
         open_ = store.materialize(members.join(state.where("few"), "node"), "path-open")
         involved = _involved(_blocks(open_, []))
         if not involved.isEmpty():
@@ -471,11 +479,14 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
 
 
 def _branch_on(members: DataFrame) -> DataFrame:
+    """The children of large nodes, by two independent branchings, so that no pair is the likelier lost the deeper it lies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, at = tb.text_column(batch.column(4))
             sig = body[at[0] : at[-1]].view(np.uint32).reshape(-1, POSITIONS)
-            keys, row = branch(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(batch.num_rows), sig)
+            node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            keys, row = branch(np.concatenate([tb.mix64(node ^ k) for k in _AGAIN]), np.tile(np.arange(batch.num_rows), len(_AGAIN)), sig)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in (1, 2, 3))], names=["node", "id", "s0", "s1"])
 
     return members.select("node", "id", "s0", "s1", "sig").mapInArrow(run, "node long, id long, s0 long, s1 long").distinct()

@@ -135,6 +135,19 @@ def test_media_round_trip(docs, none, texts):
     assert media_tar.media_table(none).count() == 0
 
 
+def test_media_holds_no_more_than_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(media_tar, "HELD_BYTES", 200)
+    monkeypatch.setattr(media_tar, "MET_DIGESTS", 3)
+    rng = np.random.default_rng(3)
+    some = [prose(rng, 30) for _ in range(40)]
+    rows = [(i, some[i % 40]) for i in range(120)] + [(200 + i, f"{i} {prose(rng, 9)}") for i in range(30)] + [(None, some[0])]
+    got = media_tar.media_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and len({(r.shard, r.offset) for r in got}) == 70
+    for r in got:
+        t = dict(rows)[r.doc_id].encode()
+        assert r.payload_sha256 == hashlib.sha256(t + b" " * (-len(t) % 192)).hexdigest()
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
@@ -326,6 +339,13 @@ def test_token_files(docs, none, texts, spark):
     odd = spark.createDataFrame([(None, "b"), (5, "a"), (5, "a"), (-3, None)], "doc_id long, text string")
     out = sorted((r.start, r.doc_id) for r in elias_fano.token_files(odd, public_tokenizers.path("word_bpe_49k.json")).collect())
     assert [d for _, d in out] == [None, -3, 5, 5]
+    same = spark.createDataFrame([(None, f"a{i % 7}") for i in range(300)] + [(5, "b")] * 300, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shards = store.materialize(elias_fano.write_shards(same, store.fresh(spark, "ids"), public_tokenizers.path("word_bpe_49k.json")), "shards")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.where("n_docs > 200").isEmpty()
+    spans = sorted((r.start, r.n_tokens, r.doc_id) for r in elias_fano.read_shards(shards).collect())
+    assert [d for _, _, d in spans] == [None] * 300 + [5] * 300 and all(a + n == b for (a, n, _), (b, _, _) in itertools.pairwise(spans))
     assert elias_fano.token_files(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
@@ -444,6 +464,23 @@ def test_near_duplicates_against_brute_force(docs, none, texts, spark, monkeypat
         assert chosen_path.near_components(none).count() == 0
 
 
+def test_near_duplicates_without_ids_or_of_one_id(spark):
+    rng = np.random.default_rng(21)
+    base = [prose(rng, 60) for _ in range(150)]
+    rows = [(one, t + end) for one in (None, 4) for t in base for end in ("", " and")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = d.select("doc_id", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("id"), F.lit(0).cast("long").alias("k0"), F.lit(0).cast("long").alias("k1"))
+    joined = chosen_path._set_table(d, store.materialize(wanted, "wanted"), 5, "doc_id", "text")
+    assert joined.count() == 0  # every text meets its own class alone, whose key here is none of theirs
+    out = chosen_path.near_components(d).collect()
+    assert len(out) == 600 and sum(r.kept for r in out) == 150
+
+
+def test_misses_are_bounded_at_any_depth():
+    depth, trees = chosen_path.forest(250_000)
+    assert chosen_path.missed(depth, 0.8) ** trees <= 1e-7 and chosen_path.missed(0, 0.8) < 0.05
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 
