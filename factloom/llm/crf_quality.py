@@ -1,11 +1,14 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line that is not empty is a node with two labels, good and bad. Its features are rates of byte classes, word and
-line repetition within the document, and the same of the line before and the line after. Labels of documents are passed
-to their lines for training, with a prior that keeps transitions soft, so that lines of a document may differ. A
-document's score is the mean of its lines' forward-backward marginals, weighted by their bytes.
-
-The fit uses at most ``fit_docs`` labelled documents, the ones of least hash; everything else covers all documents. Null
+line repetition within the document, and the same of the line before and the line after. Only documents are labelled, so
+line labels are latent: a first fit, of lines alone, gives them their document's label; then, ``REFINE`` times, every document's marginals
+are tilted no more than it takes for ``MOSTLY`` of its bytes to carry its label, and the model is fitted to these. So
+lines of a document differ where their features do. A document's score is the mean of its lines' forward-backward
+marginals, weighted by their bytes.
+
+The fit uses at most ``fit_docs`` labelled documents, the ones of least hash, and of these, in that order, no more than hold
+``FIT_LINES`` lines and ``FIT_BYTES`` bytes together; everything else covers all documents. Null
 texts are empty; texts without lines score the share of good documents in the fit. Labels other than 0 and 1 and labels
 of null ids are ignored, repeated labels of an id count once (the lower), repeated documents are scored alike; without
 usable labels of both kinds every score is that share, or 0.5 without any. An empty table gives an empty result. Other
@@ -19,12 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store
 from . import textbytes as tb
 
 FIT_DOCS = 4000
+FIT_LINES, FIT_BYTES = 200_000, 64 << 20
+REFINE, MOSTLY = 1, 0.85
 N_FEATURES = 14
 _CLASS = np.zeros((256, 7), np.float32)  # upper, lower or other letter, digit, symbol, exclamation, bar, not ASCII
 _CLASS[65:91, 0] = 1
@@ -153,14 +159,20 @@ def forward_backward(odds: np.ndarray, doc: np.ndarray, transition: np.ndarray)
     return both[:, 1] / both.sum(1), pair.sum(0)
 
 
-def fit(x: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 400, ridge: float = 1e-4, soft: float = 5e-4) -> LineCrf:
-    """Maximum likelihood by Adam steps; ``label`` is per line, the same within a document; ``soft`` holds transitions."""
+def fit(x: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 400, ridge: float = 1e-4, soft: float = 5e-4, seen: np.ndarray | None = None, alone: bool = False) -> LineCrf:
+    """Maximum likelihood by Adam steps; ``label`` is the chance of good of each line; ``soft`` holds transitions.
+
+    ``seen``: how often labels follow each other, counted from ``label`` where it is 0 or 1. ``alone``: from a line's own
+    features only, without its neighbours' and without transitions."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
     full = with_neighbours((x - mean) / scale, doc)
+    if alone:
+        full[:, x.shape[1] : -1] = 0
     w, t = np.zeros(full.shape[1]), np.zeros((2, 2))
-    inner = np.flatnonzero(doc[1:] == doc[:-1])
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[inner], label[inner + 1]), 1)
+    if seen is None:
+        inner = np.flatnonzero(doc[1:] == doc[:-1])
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (label[inner], label[inner + 1]), 1)
     moment = [np.zeros(len(w) + 4), np.zeros(len(w) + 4)]
     for k in range(1, rounds + 1):
         p, expected = forward_backward(full @ w, doc, t)
@@ -168,10 +180,40 @@ def fit(x: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 400, ri
         moment[0] = 0.9 * moment[0] + 0.1 * g
         moment[1] = 0.99 * moment[1] + 0.01 * g * g
         step = 0.1 * (1 - k / (rounds + 1)) * (moment[0] / (1 - 0.9**k)) / (np.sqrt(moment[1] / (1 - 0.99**k)) + 1e-8)
-        w, t = w + step[:-4], t + step[-4:].reshape(2, 2)
+        w, t = w + step[:-4], t + (0 if alone else step[-4:].reshape(2, 2))
     return LineCrf(mean, scale, w, t, 0.5)
 
 
+def tilted(model: LineCrf, x: np.ndarray, doc: np.ndarray, size: np.ndarray, y: np.ndarray, most: float = MOSTLY) -> tuple[np.ndarray, np.ndarray]:
+    """Line marginals and expected transitions after each document's odds are moved no more than it takes for a byte-weighted
+    mean of ``most`` towards its label ``y`` (one a document, by number)."""
+    odds = with_neighbours((x - model.mean) / model.scale, doc) @ model.emission
+    total = np.maximum(np.bincount(doc, weights=size, minlength=len(y)), 1)
+    low, high = np.zeros(len(y)), np.full(len(y), 20.0)
+    sign = np.where(y == 1, 1.0, -1.0)
+
+    def reached(by: np.ndarray) -> np.ndarray:
+        p = forward_backward(odds + (by * sign)[doc], doc, model.transition)[0]
+        share = np.bincount(doc, weights=size * p, minlength=len(y)) / total
+        return np.where(y == 1, share, 1 - share) >= most
+
+    high = np.where(reached(low), 0.0, high)
+    for _ in range(12):
+        middle = (low + high) / 2
+        enough = reached(middle)
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    return forward_backward(odds + (high * sign)[doc], doc, model.transition)
+
+
+def fit_documents(x: np.ndarray, doc: np.ndarray, size: np.ndarray, y: np.ndarray) -> LineCrf:
+    """A model of lines from the labels of documents (``doc``: 0, 1, ... ; ``y``: a label each)."""
+    model = fit(x, doc, y[doc], alone=True)
+    for _ in range(REFINE):
+        p, seen = tilted(model, x, doc, size, y)
+        model = fit(x, doc, p, seen=seen)
+    return model
+
+
 def usable_labels(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
     """One 0 or 1 for each id outside the held-out fifth."""
     known = labels.select(labels[doc_id].alias("id"), labels[quality].cast("int").alias("y")).where("id is not null and y in (0, 1)")
@@ -183,25 +225,32 @@ def is_held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, doc_id: str = "doc_id", text: str = "text") -> LineCrf:
-    """Fits on the labelled documents of least hash, ``fit_docs`` of them at most."""
+    """Fits on the labelled documents of least hash, ``fit_docs`` of them at most, and no more than the bounds on lines and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.text_column(batch.column(2))
             y, ids = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in tb.slices(offsets):
-                x, d, _ = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][d].astype(np.int64)), pa.array(np.arange(len(d))), pa.array(y[i:j][d].astype(np.int64)), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "line", "y", "x"])
+                x, d, size = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][d].astype(np.int64)), pa.array(np.arange(len(d))), pa.array(y[i:j][d].astype(np.int64)), pa.array(size), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "line", "y", "size", "x"])
 
     least = usable_labels(labels, doc_id).orderBy(F.xxhash64("id"), "id").limit(fit_docs)  # bounded, hence broadcast
-    sample = docs.select(docs[doc_id].alias("id"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("b")).join(F.broadcast(least), "id").select(F.xxhash64("id").alias("h"), "y", "b").dropDuplicates(["h"])
-    rows = sample.mapInArrow(run, "h long, line long, y long, x array<double>").toPandas()
+    body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
+    found = docs.select(docs[doc_id].alias("id"), body.alias("b")).join(F.broadcast(least), "id").select(F.xxhash64("id").alias("h"), "y", "b").dropDuplicates(["h"])
+    found = store.materialize(found.withColumn("lines", F.regexp_count(F.col("b").cast("string"), F.lit("\n")) + 1), "quality-sample")
+    upto = Window.orderBy("h")  # over fit_docs rows at most
+    bounded = found.select("h", F.sum("lines").over(upto).alias("lines"), F.sum(F.octet_length("b")).over(upto).alias("bytes")).where((F.col("lines") <= FIT_LINES) & (F.col("bytes") <= FIT_BYTES)).select("h")
+    rows = found.join(F.broadcast(bounded), "h").select("h", "y", "b").mapInArrow(run, "h long, line long, y long, size long, x array<double>").toPandas()
     if not len(rows) or rows.y.nunique() < 2:
         share = float(rows.y.mean()) if len(rows) else 0.5
         return LineCrf(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)), share)
     rows = rows.sort_values(["h", "line"], kind="stable")
-    model = fit(np.stack(rows.x.to_list()), rows.h.rank(method="dense").to_numpy().astype(np.int64), rows.y.to_numpy())
-    model.prior = float(rows.groupby("h").y.first().mean())
+    doc = rows.h.rank(method="dense").to_numpy().astype(np.int64) - 1
+    y = np.zeros(doc[-1] + 1, np.int64)
+    y[doc] = rows.y.to_numpy()
+    model = fit_documents(np.stack(rows.x.to_list()), doc, rows["size"].to_numpy().astype(float), y)
+    model.prior = float(y.mean())
     return model
 
 

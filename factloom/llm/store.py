@@ -7,6 +7,7 @@ their own and renamed when whole, so a task that runs again replaces its file wi
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
+    """The cluster's shared folder; a temporary one only where the session names none and runs in one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -99,6 +99,72 @@ def test_quality_edges(spark, docs, none):
     assert crf_quality.quality_scores(none, one).count() == 0
 
 
+def test_line_features_and_score_against_plain_python(spark):
+    texts = ["One two two. 12!\nONE two|x\n\none two two. 12!", "a b\r\nc", "x" * 50, "\n\n", "Zwölf Boxkämpfer, jagen"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    x, doc, size = crf_quality.line_features(data, at)
+    want = []
+    for k, t in enumerate(texts):
+        lines, seen, prior = [], set(), None
+        said = set()
+        for b in (b for b in t.encode().split(b"\n") if b):
+            words = [w for w in re.split(rb"[ \t\r]", b) if w]
+            n, letters = max(len(words), 1), sum(c < 128 and chr(c).isalpha() or c >= 128 for c in b)
+            symbols = sum(33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:?'\"()-" for c in b)
+            new = stutter = 0
+            for w in words:
+                new += w not in seen
+                stutter += w == prior
+                seen.add(w)
+                prior = w
+            lines.append((k, len(b), [np.log1p(len(b)), sum(65 <= c < 91 for c in b) / max(letters, 1), symbols / len(b), b.count(b"!") / n, b.count(b"|") / n, sum(48 <= c < 58 for c in b) / len(b), min(len(b) / n, 40) / 10, new / n, float(b in said), sum(c in b".,;:?" for c in b) / n, sum(c >= 128 for c in b) / len(b), np.log1p(len(words)), stutter / n, stutter / n > 0.25]))
+            said.add(b)
+        want += lines
+    assert [(int(d), int(s)) for d, s in zip(doc, size, strict=True)] == [(d, s) for d, s, _ in want]
+    assert np.allclose(x, np.array([f for _, _, f in want], float))
+    rng = np.random.default_rng(1)
+    model = crf_quality.LineCrf(x.mean(0), x.std(0) + 1, rng.normal(size=3 * crf_quality.N_FEATURES + 3), rng.normal(size=(2, 2)), 0.4)
+    p = model.marginals(x, doc)
+    out = {r.doc_id: r.score for r in crf_quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k in range(len(texts)):
+        own = doc == k
+        assert out[k] == pytest.approx((p[own] * size[own]).sum() / size[own].sum() if own.any() else 0.4)
+
+
+def test_lines_of_a_document_may_differ(spark):
+    rng = np.random.default_rng(17)
+    junk = lambda: " ".join("$$%# BUY!!! ||| 999"[: int(rng.integers(8, 19))] for _ in range(4))
+    docs, labels, kinds = [], [], {}
+    for i in range(600):
+        good = i % 2
+        odd = int(rng.integers(0, 3)) if i % 3 == 0 else 0  # lines of the other kind in a third of the documents
+        kind = [good] * (odd * 3 + 2) + [1 - good] * odd
+        rng.shuffle(kind)
+        docs.append((i, "\n".join(prose(rng, 12) + "." if k else junk() for k in kind)))
+        labels.append((i, good))
+        kinds[i] = kind
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = crf_quality.train(frame, known)
+    held = [i for i, t in docs if zlib.crc32(str(i).encode()) % 5 == 0]
+    data = np.frombuffer("".join(docs[i][1] for i in held).encode(), np.uint8)
+    x, doc, _ = crf_quality.line_features(data, np.concatenate([[0], np.cumsum([len(docs[i][1].encode()) for i in held])]))
+    p, truth = model.marginals(x, doc), np.concatenate([kinds[i] for i in held])
+    mixed = np.array([len(set(kinds[i])) > 1 for i in held])[doc]
+    assert mixed.sum() > 50 and ((p >= 0.5) == truth)[mixed].mean() > 0.95
+    scores = {r.doc_id: r.predicted for r in crf_quality.quality_scores(frame, known).collect()}
+    assert np.mean([scores[i] == i % 2 for i in held]) > 0.95
+
+
+def test_the_fit_is_bounded_by_lines(spark, monkeypatch):
+    monkeypatch.setattr(crf_quality, "FIT_LINES", 60)
+    sizes = []
+    monkeypatch.setattr(crf_quality, "fit_documents", lambda x, doc, size, y: sizes.append(len(x)) or crf_quality.fit(x, doc, y[doc], rounds=1))
+    docs = spark.createDataFrame([(i, "\n".join(f"line {k} of {i}" for k in range(9))) for i in range(40)], "doc_id long, text string")
+    crf_quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    assert 27 <= sizes[0] <= 60
+
+
 def test_forward_backward_against_all_labelings():
     rng = np.random.default_rng(1)
     odds, doc, move = rng.normal(size=7), np.array([0, 0, 0, 0, 1, 2, 2]), rng.normal(size=(2, 2))
