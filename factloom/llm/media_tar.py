@@ -181,7 +181,7 @@ def write_shards(payloads: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
 def by_bytes(index: DataFrame) -> DataFrame:
     """The index dealt so that tasks read about equal bytes, neighbouring members together."""
     total = index.agg(F.sum(F.col("length") + 1024)).first()[0] or 0
-    near = F.floor(F.col("offset") / (READ_BYTES // 8))
+    near = F.floor(F.col("offset") / (READ_BYTES // 64))
     return index.repartition(max(1, -(-total // READ_BYTES)), "shard", near).sortWithinPartitions("shard", "offset")
 
 
