@@ -18,7 +18,6 @@ NOISE = ("appendix", "appendices", "glossary", "introduction", "overview", "tabl
 #: Words after must or may that are no verbs; the rest counts as one.
 NOT_VERBS = ("not", "the", "a", "an", "this", "that", "it", "be", "and", "or", "of", "to", "in", "on", "for")
 ROLES, MODALS = ("user", "admin", "system", "administrator"), ("may", "must", "shall", "can")
-PATTERN_CHARS = 100_000
 
 
 @dataclass(frozen=True)
@@ -76,7 +75,7 @@ def lexicon_match(chunks: DataFrame, w: Weights | None = None) -> DataFrame:
 
 def token_patterns(chunks: DataFrame) -> DataFrame:
     """Names of the word patterns in a text, ordered by where they first fire."""
-    text = F.lower(F.substring("chunk_text", 1, PATTERN_CHARS))
+    text = F.lower("chunk_text")
     verb = rf"(?!(?:{'|'.join(NOT_VERBS)})\b)\p{{L}}+"
     rules = {
         "obligation_must_verb": rf"\bmust\s+{verb}", "permission_may_verb": rf"\bmay\s+{verb}", "prohibition_shall_not": r"\b(?:shall|must)\s+not\b",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -324,11 +322,17 @@ def document_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.document_title(marked_blocks(spark, sf_dir))
 
 
-@query("SELECT doc_id, trim(text, ' ' || chr(10)) AS text, 'paragraph' AS block_type FROM documents WHERE trim(text, ' ' || chr(10)) <> '' AND lang <> 'en'")
+_BLOCKS = f"""l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM ({_MARKED})),
+ b AS (SELECT doc_id, CASE WHEN starts_with(line, '## ') THEN 'heading' WHEN starts_with(line, '- ') THEN 'list' WHEN starts_with(line, '|') THEN 'table' ELSE 'paragraph' END AS block_type, CASE WHEN starts_with(line, '## ') THEN trim(line[4:]) ELSE line END AS text FROM l WHERE line <> '')"""
+
+
+@query(f"""WITH {_BLOCKS} SELECT b.doc_id, b.text, block_type FROM b JOIN documents d ON d.doc_id = b.doc_id WHERE d.lang = 'en'
+ UNION ALL SELECT doc_id, trim(text, ' ' || chr(10)), 'paragraph' FROM documents WHERE lang IS DISTINCT FROM 'en' AND trim(text, ' ' || chr(10)) <> ''""")
 def parse_fallback_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of all documents, as if the parser knew one language alone: the others become a paragraph each."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    parsed = parsing.parse_markdown_blocks(d.where("lang = 'en'"))  # as if the parser knew one language alone
-    return parsing.with_fallback(parsed, d).join(d.where("lang <> 'en'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "block_type")
+    parsed = marked_blocks(spark, sf_dir).join(d.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+    return parsing.with_fallback(parsed, d).select("doc_id", "text", "block_type")
 
 
 @query("SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) - 1 AS unit_index, 'part/' || (turn % 2) || '/' || role AS path, turn FROM conversations")
@@ -372,11 +376,10 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives until its input is used up."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", folder(stream.sparkSession, "stream-checkpoint")).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that a stream gives until its input is used up, from the files it wrote."""
+    spark, path = stream.sparkSession, folder(stream.sparkSession, "stream")
+    streams.write_batches(stream, path, mode, f"{path}-checkpoint").awaitTermination()
+    return streams.latest_snapshot(spark, path) if mode == "complete" else spark.read.parquet(path).drop("v")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,6 +415,6 @@ def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         return c.select(F.col("doc_id").cast("string").alias("run_id"), F.col("chunk_id").alias("chunk_hash"), F.col("chunk_index").alias("seq"), F.col("chunk_index").alias("id"), "estimated_tokens")
 
     streams.stream_documents(docs, process, streams.upsert_snapshots(path, records.upsert_chunks), f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/v=0").select("run_id", "chunk_hash", "seq", "estimated_tokens")
+    return streams.latest_snapshot(spark, path).select("run_id", "chunk_hash", "seq", "estimated_tokens")
 
 

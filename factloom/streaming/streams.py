@@ -36,6 +36,22 @@ def stream_documents(docs: DataFrame, process: Callable[[DataFrame], DataFrame],
     return docs.writeStream.foreachBatch(lambda batch, n: upsert(process(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole snapshot under ``path``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    last = max(int(s.getPath().getName().removeprefix("v=")) for s in found if s.getPath().getName().startswith("v="))
+    return spark.read.parquet(f"{path}/v={last}")
+
+
+def write_batches(stream: DataFrame, path: str, mode: str, checkpoint: str) -> StreamingQuery:
+    """Writes what each micro-batch gives to a snapshot of its own; in complete mode the last one holds everything."""
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={n}")
+
+    return stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def upsert_snapshots(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """An upsert into numbered snapshots under ``path``: batch n merges snapshot n-1 and writes snapshot n whole."""
 

@@ -8,6 +8,7 @@ from factloom.functions import text as t
 from factloom.operators import batching, chunks, graph, normalize, parsing, paths, prefilter, records, responses
 from factloom.plans import queries as plans
 from factloom.sources import ingest, staging, terms
+from factloom.streaming import streams
 from pyspark.sql import functions as F
 
 
@@ -178,6 +179,16 @@ def test_process_paths_cover_all_lines(spark, tmp_path):
     assert len(got) == len(want) == 6 and set(got) == want
 
 
+def test_documents_of_several_micro_batches(spark, tmp_path):
+    schema = "run_id string, chunk_hash string, seq long, id long"
+    for k, rows in enumerate([[("a", "h", 1, 1)], [("a", "h", 2, 2), ("b", "g", 1, 3)], [("c", "g", 1, 4)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    docs = streams.read_stream(spark, f"{tmp_path}/in", schema, files_per_trigger=1)
+    streams.stream_documents(docs, lambda batch: batch, streams.upsert_snapshots(f"{tmp_path}/out", records.upsert_chunks), f"{tmp_path}/check").awaitTermination()
+    got = {(r.run_id, r.chunk_hash): (r.id, r.seq) for r in streams.latest_snapshot(spark, f"{tmp_path}/out").collect()}
+    assert set(got) == {("a", "h"), ("b", "g"), ("c", "g")} and (tmp_path / "out" / "v=2").exists()
+
+
 def test_markdown_and_html_paths(spark):
     md = "# A\ntext\n## B\n- item\n| c |\n# D\nmore"
     b = parsing.parse_markdown_blocks(spark.createDataFrame([(1, md), (2, None), (3, "")], "doc_id long, text string")).orderBy("unit_index").collect()
