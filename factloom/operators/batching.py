@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .chunks import with_column
+
+#: What stands between the texts of a batch, and the prompt's lines (``build_prompts``).
 SEPARATOR = "\n\n---\n\n"
 OVERHEAD = 100
 
@@ -38,13 +44,13 @@ def pack_token_batches(chunks: DataFrame, max_input_tokens: int, system_tokens:
     A fold over each run's chunks in order; partitions stream through it with one open batch as state."""
     available = max_input_tokens - system_tokens - overhead
     order = chunks.repartition("run_id").sortWithinPartitions("run_id", "chunk_index")
-    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, batch, used = object(), -1, 0
-        for pdf in batches:
+        for rows in batches:
             out = []
-            for r, tokens in zip(pdf.run_id, pdf.estimated_tokens.fillna(0), strict=True):
+            for r, tokens in zip(rows.column("run_id").to_pylist(), rows.column("estimated_tokens").to_pylist(), strict=True):
+                tokens = tokens or 0
                 if r != run:
                     run, batch, used = r, 0, tokens
                 elif available <= 0 or used + tokens > available:
@@ -52,10 +58,9 @@ def pack_token_batches(chunks: DataFrame, max_input_tokens: int, system_tokens:
                 else:
                     used += tokens
                 out.append(batch)
-            yield pd.DataFrame({"run_id": pdf.run_id, "chunk_index": pdf.chunk_index, "batch_index": out})
+            yield with_column(rows, "batch_index", out)
 
-    ids = order.select("run_id", "chunk_index", "estimated_tokens").mapInPandas(fold, f"run_id {kinds['run_id']}, chunk_index {kinds['chunk_index']}, batch_index int")
-    return chunks.join(ids, ["run_id", "chunk_index"])
+    return order.mapInArrow(fold, StructType([*chunks.schema.fields, StructField("batch_index", IntegerType())]))
 
 
 def batch_hash(hashes):
@@ -89,8 +94,8 @@ def cache_lookup(batches: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return hits, misses
 
 
-def extract_batches(prompts: DataFrame, call: Callable[[str, str], str], concurrency: int = 8, retries: int = 2, transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), key: str = "cache_key") -> DataFrame:
-    """Answers of ``call(system, user)``: transient errors are tried again, a batch that still fails has error_kind.
+def extract_batches(prompts: DataFrame, call: Callable[[str, str], str], concurrency: int = 8, retries: int = 2, delay: float = 15.0, transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), key: str = "cache_key") -> DataFrame:
+    """Answers of ``call(system, user)``: transient errors are tried again after ``delay`` seconds, a batch that still fails has error_kind.
 
     As many tasks run as calls are allowed at once. Write the result before using it: a task that runs again calls again."""
     kind = prompts.schema[key].dataType.simpleString()
@@ -106,6 +111,8 @@ def extract_batches(prompts: DataFrame, call: Callable[[str, str], str], concurr
                         break
                     except transient as e:
                         error = type(e).__name__
+                        if used < retries:
+                            time.sleep(delay)
                 rows.append((k, answer, error, used))
             yield pd.DataFrame(rows, columns=[key, "response", "error_kind", "retry_count"])
 

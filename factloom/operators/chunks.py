@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as t
 
@@ -17,6 +19,10 @@ MAX_TOKENS = 4000
 OVERLAP_CHARS = 80
 
 
+def with_column(rows: pa.RecordBatch, name: str, values: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(values, pa.int32())], names=[*rows.schema.names, name])
+
+
 def joins_group(previous: str, previous_path: list, kind: str, path: list) -> bool:
     """Whether a block may follow another one in a group, by their types."""
     if kind == "heading":
@@ -29,25 +35,25 @@ def joins_group(previous: str, previous_path: list, kind: str, path: list) -> bo
 def group_units(units: DataFrame) -> DataFrame:
     """Blocks with group_id: consecutive blocks whose paths lie under the first one's and whose types go together.
 
-    A fold over each document's blocks in order; its state is the open group, so partitions stream through it."""
+    A fold over each document's blocks in order; its state is the open group, so partitions stream through it. Rows pass
+    as Arrow batches with their columns as they are."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, head, prior, prior_path, group = object(), [], "", [], -1
-        for pdf in batches:
+        for rows in batches:
             ids = []
-            for d, path, kind in zip(pdf.doc_id, pdf.section_path, pdf.block_type, strict=True):
-                path = list(path) if path is not None else []
+            for d, path, kind in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "section_path", "block_type")), strict=True):
+                path = path or []
                 if d != doc:
                     doc, head, group = d, path, 0
                 elif not (path[: len(head)] == head and joins_group(prior, prior_path, kind, path)):
                     head, group = path, group + 1
                 prior, prior_path = kind, path
                 ids.append(group)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "unit_index": pdf.unit_index, "group_id": ids})
+            yield with_column(rows, "group_id", ids)
 
-    order = units.repartition("doc_id").sortWithinPartitions("doc_id", "unit_index").select("doc_id", "unit_index", "section_path", "block_type")
-    ids = order.mapInPandas(fold, f"doc_id {units.schema['doc_id'].dataType.simpleString()}, unit_index {units.schema['unit_index'].dataType.simpleString()}, group_id int")
-    return units.join(ids, ["doc_id", "unit_index"])
+    order = units.repartition("doc_id").sortWithinPartitions("doc_id", "unit_index")
+    return order.mapInArrow(fold, StructType([*units.schema.fields, StructField("group_id", IntegerType())]))
 
 
 def assemble_groups(grouped: DataFrame) -> DataFrame:

@@ -117,7 +117,8 @@ def context_cooccurrence(chunks: DataFrame, w: Weights | None = None, width: int
 def tfidf_relevance(chunks: DataFrame, w: Weights | None = None, vocabulary: int = 5000) -> DataFrame:
     """(run_id, chunk_index, lexical_score): greatest cosine of a chunk with the seeded queries, within its run.
 
-    Term counts are aggregated before anything else; only query terms join for the product, all for the norms."""
+    Term counts are aggregated before anything else; only query terms join for the product, all for the norms. Scores are
+    rounded to nine digits, so that the order in which terms are added cannot part equal chunks."""
     w = w or Weights()
     spark = chunks.sparkSession
     asked = spark.createDataFrame([(-k - 1, q) for k, q in enumerate(w.queries)], "chunk_index int, chunk_text string")
@@ -136,7 +137,7 @@ def tfidf_relevance(chunks: DataFrame, w: Weights | None = None, vocabulary: int
     qn = norms.where("chunk_index < 0").select("run_id", F.col("chunk_index").alias("query"), F.col("norm").alias("q_norm"))
     best = dots.join(norms, ["run_id", "chunk_index"]).join(qn, ["run_id", "query"]).groupBy("run_id", "chunk_index").agg(F.max(F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("best"))
     keys = chunks.select("run_id", F.col("chunk_index").cast("int").alias("chunk_index"))
-    return keys.join(best, ["run_id", "chunk_index"], "left").select("run_id", "chunk_index", F.least(F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("lexical_score"))
+    return keys.join(best, ["run_id", "chunk_index"], "left").select("run_id", "chunk_index", F.round(F.least(F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 9).alias("lexical_score"))
 
 
 def weighted_score(chunks: DataFrame, w: Weights | None = None) -> DataFrame:

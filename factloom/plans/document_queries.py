@@ -27,20 +27,41 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- chunks --------------------------------------------------------------------------------------------------------
 
 _NEXT = "n.block_type <> 'heading' AND ((f.prior = 'heading' AND n.block_type IN ('paragraph', 'list', 'table')) OR (f.prior = 'table' AND n.block_type = 'paragraph') OR (f.prior = 'list' AND n.block_type = 'list') OR (f.prior_path = n.section_path AND f.prior = n.block_type)) AND list_slice(n.section_path, 1, len(f.head)) = f.head"
-GROUPED = f"""{a.UNITS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_index) AS nth FROM units),
+_GROUP = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_index) AS nth FROM units),
 fold AS (SELECT doc_id, nth, unit_index, section_path AS head, block_type AS prior, section_path AS prior_path, 0 AS group_id FROM numbered WHERE nth = 1
  UNION ALL SELECT n.doc_id, n.nth, n.unit_index, CASE WHEN {_NEXT} THEN f.head ELSE n.section_path END, n.block_type, n.section_path, CASE WHEN {_NEXT} THEN f.group_id ELSE f.group_id + 1 END FROM fold f JOIN numbered n ON n.doc_id = f.doc_id AND n.nth = f.nth + 1),
 grouped AS (SELECT units.*, group_id FROM units JOIN fold USING (doc_id, unit_index)),
 groups AS (SELECT doc_id, group_id, arg_min(section_path, unit_index) AS section_path, string_agg(text, chr(10) || chr(10) ORDER BY unit_index) AS text, count(*) AS n_units, bool_or(block_type = 'table') AS has_table, bool_or(block_type = 'list') AS has_list,
  arg_max(text, unit_index) FILTER (block_type = 'heading') AS heading FROM grouped GROUP BY 1, 2),
 noted AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS note FROM groups),
-prefixed AS (SELECT * EXCLUDE (text), CASE WHEN note IS NOT NULL THEN '[Context: ' || left(note, 80) || ']' || chr(10) || chr(10) || text ELSE text END AS text FROM noted),
-chunked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY group_id) - 1 AS chunk_index FROM prefixed)"""
+prefixed AS (SELECT * EXCLUDE (text), CASE WHEN note IS NOT NULL THEN '[Context: ' || left(note, 80) || ']' || chr(10) || chr(10) || text ELSE text END AS text FROM noted)"""
+GROUPED = f"{a.UNITS_SQL}, {_GROUP}"
 _R = "WITH RECURSIVE "
 _REPR = "'[' || array_to_string(list_transform(section_path, lambda x: CASE WHEN contains(x, '''') AND NOT contains(x, '\"') THEN '\"' || replace(x, '\\', '\\\\') || '\"' ELSE '''' || replace(replace(x, '\\', '\\\\'), '''', '\\''') || '''' END), ', ') || ']'"
 _TOKENS = "CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE greatest(1, CAST(floor(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) / 4) AS INT)) END"
 
 
+def _cut(width: int, start: str) -> str:
+    """End of the part of l.text that begins at ``start``: after the last blank line within the width, if there is one."""
+    shown = f"substr(l.text, {start} + 1, {width} + 1)"
+    back = f"strpos(reverse({shown}), chr(10) || chr(10))"
+    return f"CASE WHEN {start} + {width} >= length(l.text) THEN length(l.text) WHEN {back} BETWEEN 1 AND length({shown}) - 2 THEN {start} + length({shown}) - {back} + 1 ELSE {start} + {width} END"
+
+
+def _split(tokens: int) -> str:
+    """CTEs after ``groups`` and ``noted``: parts of groups, and chunks of parts."""
+    return f"""large AS (SELECT doc_id, group_id, text FROM groups WHERE {_TOKENS} > {tokens}),
+cut AS (SELECT doc_id, group_id, CAST(0 AS BIGINT) AS s, CAST({_cut(4 * tokens, "0")} AS BIGINT) AS e FROM large l UNION ALL SELECT l.doc_id, l.group_id, c.e, CAST({_cut(4 * tokens, "c.e")} AS BIGINT) FROM cut c JOIN large l ON l.doc_id = c.doc_id AND l.group_id = c.group_id WHERE c.e < length(l.text)),
+pieces AS (SELECT doc_id, group_id, s, trim(substr(text, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM cut JOIN large USING (doc_id, group_id)),
+parts AS (SELECT doc_id, group_id, row_number() OVER (PARTITION BY doc_id, group_id ORDER BY s) - 1 AS part, text FROM pieces WHERE text <> '' UNION ALL SELECT doc_id, group_id, 0, text FROM groups WHERE {_TOKENS} <= {tokens}),
+texts AS (SELECT p.doc_id, p.group_id, p.part, section_path, CASE WHEN note IS NOT NULL THEN '[Context: ' || left(note, 80) || ']' || chr(10) || chr(10) || p.text ELSE p.text END AS text FROM parts p JOIN noted n ON n.doc_id = p.doc_id AND n.group_id = p.group_id),
+numbered_parts AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY group_id, part) - 1 AS chunk_index FROM texts),
+chunks AS (SELECT doc_id, chunk_index, section_path, text, sha256({_REPR} || ':' || text || ':' || chunk_index) AS chunk_id, {_TOKENS} AS estimated_tokens FROM numbered_parts)"""
+
+
+SPLIT = f"{GROUPED}, {_split(MAX_TOKENS)}"
+
+
 @query(f"SELECT doc_id, {_TOKENS} AS estimated_tokens FROM documents")
 def estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", t.estimate_tokens(F.col("text")).alias("estimated_tokens"))
@@ -65,7 +86,7 @@ def structural_chunk_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark, sf_dir).select("doc_id", "group_id", "has_table", "has_list", F.col("section_depth").cast("long").alias("section_depth"))
 
 
-@query()
+@query(f"{_R}{SPLIT} SELECT doc_id, group_id, part, length(text) AS n_chars, sha256(text) AS text_sha FROM parts")
 def split_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.split_oversize(groups(spark, sf_dir), MAX_TOKENS).select("doc_id", "group_id", "part", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha"))
 
@@ -75,9 +96,9 @@ def context_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.context_prefix(groups(spark, sf_dir).withColumn("part", F.lit(0))).select("doc_id", "group_id", F.sha2("text", 256).alias("text_sha"))
 
 
-@query(f"{_R}{GROUPED} SELECT doc_id, chunk_index, sha256({_REPR} || ':' || text || ':' || chunk_index) AS chunk_id, {_TOKENS} AS estimated_tokens FROM chunked")
+@query(f"{_R}{SPLIT} SELECT doc_id, chunk_index, chunk_id, estimated_tokens FROM chunks")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks.assemble_chunks(units(spark, sf_dir), 1 << 30)
+    c = chunks.assemble_chunks(units(spark, sf_dir), MAX_TOKENS)
     return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", "estimated_tokens")
 
 
@@ -115,9 +136,28 @@ def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("run_id", "chunk_index", joined(F.col("matched_terms")).alias("matched_terms"), F.size("matched_terms").cast("long").alias("n"))
 
 
-@query()
+_NOT_VERB = f"(?:{'|'.join(prefilter.NOT_VERBS)})"
+
+
+def _patterns(source: str) -> str:
+    """Names of patterns by place, over rows with chunk_text. A modal before no verb is spelt otherwise, of the same length."""
+    must = rf"regexp_replace(lower(chunk_text), '\bmust(\s+{_NOT_VERB}\b)', 'mus_\1', 'g')"
+    may = rf"regexp_replace(lower(chunk_text), '\bmay(\s+{_NOT_VERB}\b)', 'ma_\1', 'g')"
+    rules = {
+        "obligation_must_verb": (must, r"\bmust\s+\p{L}"), "permission_may_verb": (may, r"\bmay\s+\p{L}"), "prohibition_shall_not": ("lower(chunk_text)", r"\b(?:shall|must)\s+not\b"),
+        "condition_if_when": ("lower(chunk_text)", r"\b(?:if|when|unless)\b"), "role_modal": ("lower(chunk_text)", rf"\b(?:{'|'.join(prefilter.ROLES)})\s+(?:{'|'.join(prefilter.MODALS)})\b"),
+    }
+    found = ", ".join(f"{{place: CASE WHEN regexp_matches({text}, '{rule}') THEN length(regexp_extract({text}, '(?s)^(.*?){rule}', 1)) ELSE -1 END, name: '{name}'}}" for name, (text, rule) in rules.items())
+    return f"SELECT run_id, chunk_index, list_transform(list_sort(list_filter([{found}], lambda x: x.place >= 0)), lambda x: x.name) AS patterns FROM ({source})"
+
+
+#: Turns with words that the patterns look for in the place of frequent ones.
+_MODAL_TURNS = f"SELECT run_id, chunk_index, replace(replace(replace(chunk_text, ' the ', ' user must '), ' la ', ' may '), ' of ', ' if not ') AS chunk_text FROM ({_TURNS})"
+
+
+@query(f"SELECT run_id, chunk_index, array_to_string(patterns, '|') AS patterns FROM ({_patterns(a.duck(_MODAL_TURNS))})")
 def token_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefilter.token_patterns(turns(spark, sf_dir)).select("run_id", "chunk_index", joined(F.col("patterns")).alias("patterns"))
+    return prefilter.token_patterns(a.select(spark, sf_dir, _MODAL_TURNS)).select("run_id", "chunk_index", joined(F.col("patterns")).alias("patterns"))
 
 
 def _mask(k: int, names: tuple[str, ...]) -> str:
@@ -147,21 +187,30 @@ _TFIDF = f"""asked AS (SELECT * FROM (VALUES {', '.join(f'({-k - 1}, {q!r})' for
  best AS (SELECT d.run_id, d.chunk_index, max(dot / (a.norm * b.norm)) AS s FROM dots d JOIN norms a ON a.run_id = d.run_id AND a.chunk_index = d.chunk_index JOIN norms b ON b.run_id = d.run_id AND b.chunk_index = d.query GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_TFIDF} SELECT run_id, chunk_index, round(least(greatest(coalesce(s, 0.0), 0.0), 1.0), 6) AS lexical_score FROM ({_TURN_SQL}) LEFT JOIN best USING (run_id, chunk_index)")
+@query(f"WITH {_TFIDF} SELECT run_id, chunk_index, round(least(greatest(coalesce(s, 0.0), 0.0), 1.0), 9) AS lexical_score FROM ({_TURN_SQL}) LEFT JOIN best USING (run_id, chunk_index)")
 def tfidf_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefilter.tfidf_relevance(turns(spark, sf_dir), W).withColumn("lexical_score", F.round("lexical_score", 6))
+    return prefilter.tfidf_relevance(turns(spark, sf_dir), W)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefilter.score_chunks(turns(spark, sf_dir), W)
 
 
-@query()
+_WEIGHED = f"""WITH {_CONTEXT}, {_TFIDF}, found AS ({_patterns(_TURN_SQL)}),
+ facts AS (SELECT t.run_id, t.chunk_index, CASE WHEN contains('chat ' || role, 'th') OR contains('chat ' || role, 'ch') THEN 1.0 ELSE 0.0 END AS heading, CASE WHEN has_table OR has_list THEN 1.0 ELSE 0.0 END AS table_list, least(section_depth / 5.0::DOUBLE, 1.0::DOUBLE) AS depth,
+  least(len({_LEX}), 5) AS n_exact, least(len(patterns), 3) AS n_pattern, coalesce(least(3.0::DOUBLE * h / (n - 1), 1.0::DOUBLE), 0.0::DOUBLE) AS boost, round(least(greatest(coalesce(s, 0.0::DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE), 9) AS lex
+  FROM ({_TURN_SQL}) t LEFT JOIN hits ON hits.run_id = t.run_id AND hits.chunk_index = t.chunk_index LEFT JOIN best ON best.run_id = t.run_id AND best.chunk_index = t.chunk_index JOIN found ON found.run_id = t.run_id AND found.chunk_index = t.chunk_index),
+ weighed AS (SELECT run_id, chunk_index, {W.heading}::DOUBLE * heading::DOUBLE + {W.table_list}::DOUBLE * table_list::DOUBLE + {W.depth}::DOUBLE * depth AS structural, {W.exact}::DOUBLE * n_exact / 5.0::DOUBLE AS exact_match, {W.pattern}::DOUBLE * n_pattern / 3.0::DOUBLE AS pattern, {W.context}::DOUBLE * boost AS context_boost, {W.lexical}::DOUBLE * lex AS lexical FROM facts),
+ decided AS (SELECT *, CASE WHEN prefilter_score >= {W.accept}::DOUBLE THEN 'keep' WHEN prefilter_score >= {W.gray}::DOUBLE THEN 'gray' ELSE 'reject' END AS decision FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, structural + exact_match + pattern + context_boost + lexical)) AS prefilter_score FROM weighed)),
+ ranked AS (SELECT *, coalesce(lag(decision) OVER o, '') = 'keep' OR coalesce(lead(decision) OVER o, '') = 'keep' AS near, row_number() OVER (PARTITION BY run_id, decision ORDER BY prefilter_score DESC, chunk_index) AS r FROM decided WINDOW o AS (PARTITION BY run_id ORDER BY chunk_index))"""
+
+
+@query(f"{_WEIGHED} SELECT run_id, chunk_index, round(prefilter_score, 6) AS prefilter_score, decision, decision = 'keep' OR (decision = 'gray' AND (near OR r <= {W.top_gray})) AS selected_for_llm FROM ranked")
 def score_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("run_id", "chunk_index", F.round("prefilter_score", 6).alias("prefilter_score"), "decision", "selected_for_llm")
 
 
-@query()
+@query(f"{_WEIGHED} SELECT run_id, chunk_index, round(prefilter_score, 6) AS prefilter_score, round(structural, 6) AS structural, round(exact_match, 6) AS exact_match, round(pattern, 6) AS pattern, round(context_boost, 6) AS context_boost, round(lexical, 6) AS lexical FROM ranked")
 def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     return s.select("run_id", "chunk_index", F.round("prefilter_score", 6).alias("prefilter_score"), *(F.round(F.element_at("feature_breakdown", k), 6).alias(k) for k in ("structural", "exact_match", "pattern", "context_boost", "lexical")))
@@ -351,7 +400,7 @@ def write_parse_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.sha2(small, 256).alias("json_sha"))
 
 
-@query()
+@query(f"{_R}{SPLIT} SELECT doc_id, CAST(to_json(list({{chunk_id: chunk_id, section_path: section_path, estimated_tokens: estimated_tokens}} ORDER BY chunk_index)) AS VARCHAR) AS json FROM chunks GROUP BY 1")
 def write_chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.chunk_manifest(chunks.assemble_chunks(units(spark, sf_dir), MAX_TOKENS))
 
@@ -403,7 +452,17 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(streams.stream_dedupe(event_stream(spark, sf_dir), ["run_id", "step", "event_type"], "created_at", "400 days").select("run_id", "step", "event_type"), "append")
 
 
-@query()
+_OPEN = ", ".join(f"last_value(CASE WHEN level = {k} THEN unit_index END IGNORE NULLS) OVER w AS i{k}, last_value(CASE WHEN level = {k} THEN text END IGNORE NULLS) OVER w AS h{k}" for k in range(1, 7))
+_OPEN_PATH = ", ".join("CASE WHEN i{0} > greatest(-1, {1}) THEN h{0} END".format(k, ", ".join(f"coalesce(i{j}, -1)" for j in range(1, k)) or "-1") for k in range(1, 7))
+#: Blocks of documents read as Markdown.
+_DOC_UNITS = rf"""lines AS (SELECT doc_id, trim(unnest(string_split(coalesce(text, ''), chr(10))), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit_index FROM documents),
+levels AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN length(regexp_extract(line, '^(#+)', 1)) END AS level FROM lines WHERE line <> ''),
+typed AS (SELECT doc_id, unit_index, level, CASE WHEN level IS NOT NULL THEN 'heading' WHEN regexp_matches(line, '^[-*]\s') THEN 'list' WHEN starts_with(line, '|') THEN 'table' ELSE 'paragraph' END AS block_type, CASE WHEN level IS NOT NULL THEN trim(regexp_replace(line, '^#+\s', '')) ELSE line END AS text FROM levels),
+opened AS (SELECT *, {_OPEN} FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY unit_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+units AS (SELECT doc_id, unit_index, block_type, text, list_filter([{_OPEN_PATH}], lambda x: x IS NOT NULL) AS section_path FROM opened)"""
+
+
+@query(f"{_R}{_DOC_UNITS}, {_GROUP}, {_split(chunks.MAX_TOKENS)} SELECT CAST(doc_id AS VARCHAR) AS run_id, chunk_id AS chunk_hash, chunk_index AS seq, estimated_tokens FROM chunks")
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     docs = streams.read_stream(spark, f"{sf_dir}/documents.parquet*", schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import graph, normalize, paths, records
-from ..sources import ingest, staging
+from ..sources import ingest, staging, terms
 from . import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,20 @@ def joined(column, by: str = "|"):
     return F.array_join(column, by)
 
 
+# --- terms ---------------------------------------------------------------------------------------------------------
+
+_TERM_LINES = "SELECT " + "CASE p_partkey % 9 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(terms.CATEGORIES)) + """ END AS category, CASE WHEN p_partkey % 4 = 0 THEN '_ru.txt' ELSE '.txt' END AS ending,
+ CASE WHEN p_partkey % 5 = 0 THEN concat('# ', p_name) WHEN p_partkey % 7 = 0 THEN '  ' ELSE concat('  ', upper(p_name), ' ') END AS value FROM {part}"""
+
+
+@query(f"SELECT DISTINCT category, lower(trim(value)) AS term FROM ({_TERM_LINES}) WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#')")
+def read_term_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as terms, with comments and blank lines, in the files of nine categories."""
+    path = staging.folder(spark, "terms")
+    a.select(spark, sf_dir, _TERM_LINES).select(F.concat("category", "ending").alias("file"), "value").write.partitionBy("file").text(path)
+    return terms.term_tables(spark, path)
+
+
 # --- uploads -------------------------------------------------------------------------------------------------------
 
 _EXT = "CASE WHEN contains(filename, '.') THEN lower(string_split(filename, '.')[-1]) ELSE '' END"

@@ -1,9 +1,13 @@
-"""Term tables: lexicons, aliases, reserved words. They are small text files, read on the driver."""
+"""Term tables: lexicons, aliases, reserved words, from text files; as lists on the driver or as rows."""
 
 from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as t
 
 CATEGORIES = ("action_verbs", "state_indicators", "permission_terms", "restriction_terms", "role_nouns", "object_domain_terms", "condition_indicators", "transition_indicators", "heading_relevant_terms")
 
@@ -22,6 +26,36 @@ DEFAULT_TERMS = {
 #: Queries of the TF-IDF score.
 SEEDED_QUERIES = ["user action", "system action", "state transition", "permission", "restriction", "validation rule", "approval", "workflow step"]
 
+#: Russian terms by category, most of them stems.
+RUSSIAN_TERMS = {
+    "action_verbs": "выполн созда удал измен подтвержд отмен отклон утвержд отправ редакт просмотр отправл редактир копир загруз сохран добавл удален изменен".split(),
+    "condition_indicators": ["услови", "если", "когда", "при", "в случае", "при условии", "если только"],
+    "heading_relevant_terms": "процесс процедур статус роль разрешен ограничен правил политик действи рабоч поток проверк валидац".split(),
+    "object_domain_terms": "документ заявк запрос запис форма приложен процесс задач действи операци".split(),
+    "permission_terms": "разреш мож прав дозвол разреша разрешен".split(),
+    "restriction_terms": "запрет нельз обяз долж должен запреща запрещен обязан обязанн".split(),
+    "role_nouns": "пользовател админ систем роль администратор исполнитель утверждающ проверяющ".split(),
+    "state_indicators": "состояни статус ожидан заверш актив неактив черновик утвержд отклонен выполнен".split(),
+    "transition_indicators": "переход изменен становит преобраз перевод".split(),
+}
+#: Russian queries of the TF-IDF score.
+RUSSIAN_QUERIES = ["действие пользователя", "действие системы", "переход состояния", "разрешение", "ограничение", "правило проверки", "согласование", "шаг процесса"]
+
+
+def with_russian(terms: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """Terms with the Russian ones of their category after them."""
+    return {k: [*v, *RUSSIAN_TERMS.get(k, [])] for k, v in (terms or DEFAULT_TERMS).items()}
+
+
+def term_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(category, term) of the files ``<category>.txt`` and ``<category>_ru.txt`` under a folder, each pair once.
+
+    A file may also be a folder of that name that Spark wrote. Lines are treated as by ``parse_terms``."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder)
+    category = F.regexp_extract(F.input_file_name(), r"[/=]([a-z_]+?)(?:_ru)?\.txt(?:/|$)", 1)
+    rows = lines.select(category.alias("category"), F.lower(t.strip(F.col("value"))).alias("term"))
+    return rows.where("term <> '' and not startswith(term, '#') and category <> ''").distinct()
+
 
 def parse_terms(text: str) -> list[str]:
     """Stripped lower-case lines that are neither empty nor comments."""

@@ -117,7 +117,7 @@ def test_calls_are_retried_only_when_transient(spark):
             raise TimeoutError
         return "[]"
 
-    got = {r.cache_key: r for r in batching.extract_batches(rows, call, 2, 1).collect()}
+    got = {r.cache_key: r for r in batching.extract_batches(rows, call, 2, 1, delay=0).collect()}
     assert (got["a"].response, got["a"].error_kind, got["b"].response, got["b"].error_kind, got["b"].retry_count) == ("[]", None, None, "TimeoutError", 1)
 
 
@@ -212,3 +212,24 @@ def test_term_files(tmp_path):
     with pytest.raises(FileNotFoundError):
         terms.read_term_tables(str(tmp_path))
     assert terms.parse_aliases("Doc -> document\nx=\n# c", lambda s: s.strip().lower()) == {"doc": "document", "x": "x"}
+
+
+def test_term_tables_as_rows(spark, tmp_path):
+    """Files and folders Spark wrote give the same pairs as the lists; comments, blanks and repeats go."""
+    (tmp_path / "role_nouns.txt").write_text("# c\n\n  User \nuser\nAdmin\n", "utf-8")
+    (tmp_path / "role_nouns_ru.txt").write_text("  Админ\n", "utf-8")
+    spark.createDataFrame([("When",), ("#x",)], "value string").write.text(str(tmp_path / "condition_indicators.txt"))
+    got = {tuple(r) for r in terms.term_tables(spark, str(tmp_path)).collect()}
+    assert got == {("role_nouns", "user"), ("role_nouns", "admin"), ("role_nouns", "админ"), ("condition_indicators", "when")}
+    merged = terms.with_russian()
+    assert merged["role_nouns"][:2] == ["user", "admin"] and "админ" in merged["role_nouns"] and list(merged) == list(terms.CATEGORIES)
+
+
+def test_folds_carry_columns(spark):
+    """Columns beside those a fold reads come through it as they are, nulls and nested ones too."""
+    rows = [("d", k, ["s"], "paragraph", str(k), None if k % 2 else k, {"k": [k]}) for k in range(5)]
+    u = spark.createDataFrame(rows, "doc_id string, unit_index int, section_path array<string>, block_type string, text string, n long, m map<string,array<int>>")
+    got = sorted((r.unit_index, r.n, r.m["k"][0], r.group_id) for r in chunks.group_units(u).collect())
+    assert got == [(k, None if k % 2 else k, k, 0) for k in range(5)]
+    empty = chunks.group_units(u.limit(0))
+    assert empty.count() == 0 and empty.columns[-1] == "group_id"
