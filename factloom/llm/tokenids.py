@@ -8,11 +8,16 @@ ids of the units are laid end to end. Added tokens hold no such places, so no cu
 The library's cost lies in the call, not in the merges, so plain units are encoded many to a call with a separator whose
 id then marks their ends; units that hold white space or the separator are encoded alone. The cache of units has a fixed
 number of slots and a pool of ids of fixed size.
+
+A file with other rules than these two, or with added tokens that may hold such a place, has no such cuts: its texts are
+encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -38,6 +43,23 @@ _PLAIN[0xC3] = True
 _PLAIN[0x80:0xC0] = True
 
 
+#: The normalizers and word rules for which the cuts above hold.
+_NO_SPACE = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_FOLD = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_RULES = (
+    (None, {**_NO_SPACE, "use_regex": True}),
+    (_FOLD, {"type": "Sequence", "pretokenizers": [_WORDS, {**_NO_SPACE, "use_regex": False}]}),
+)
+
+
+def may_cut(setting: dict) -> bool:
+    """Whether texts may be cut into units: the rules are known, and no added token holds a blank or reaches over one."""
+    added = setting.get("added_tokens") or []
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and re.fullmatch(r"<\|[a-z]+\|>", t["content"]) for t in added)
+    return plain and setting["model"].get("dropout") is None and (setting.get("normalizer"), setting.get("pre_tokenizer")) in KNOWN_RULES
+
+
 class UnitEncoder:
     """Encodes byte slices with one tokenizer file; keeps the ids of units it has seen."""
 
@@ -49,7 +71,9 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.glue, self.mark = None, -1
-        for glue, char in (("\n", "\n"), (" \x01 ", "\x01")):
+        with open(path, encoding="utf-8") as f:
+            self.cuts = may_cut(json.load(f))
+        for glue, char in (("\n", "\n"), (" \x01 ", "\x01")) if self.cuts else ():
             ids = self.tokenizer.encode(" it's," + glue + " two" + glue + "One.", add_special_tokens=False).ids
             alone = self.tokenizer.encode(char, add_special_tokens=False).ids
             if len(alone) == 1 and ids.count(alone[0]) == 2:
@@ -70,10 +94,11 @@ class UnitEncoder:
         if not n:
             return np.zeros(0, self.type), np.zeros(len(offsets) - 1, np.int64)
         cut = np.zeros(n, bool)
-        cut[:-1] = (data[:-1] == 0x20) & _GRAPHIC[data[1:]]
-        letter = _LETTER[data]
-        letter[1:] |= _TAIL[data[1:]] & (data[:-1] == 0xC3)
-        cut[1:] |= letter[:-1] & _MARK[data[1:]]
+        if self.cuts:
+            cut[:-1] = (data[:-1] == 0x20) & _GRAPHIC[data[1:]]
+            letter = _LETTER[data]
+            letter[1:] |= _TAIL[data[1:]] & (data[:-1] == 0xC3)
+            cut[1:] |= letter[:-1] & _MARK[data[1:]]
         cut[offsets[:-1][offsets[:-1] < n]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)

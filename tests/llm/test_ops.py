@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import re
 import zlib
 
@@ -69,9 +70,16 @@ def test_components(spark):
     assert got == {x: label[x] for p in pairs if p[0] != p[1] for x in p}
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_unit_encoder_equals_library(texts, name):
-    e = tokenids.UnitEncoder(public_tokenizers.path(name))
+@pytest.mark.parametrize(("name", "change"), [("byte_bpe_50k.json", None), ("word_bpe_49k.json", None), ("byte_bpe_50k.json", "prefix"), ("word_bpe_49k.json", "split")])
+def test_unit_encoder_equals_library(texts, name, change, tmp_path):
+    path = public_tokenizers.path(name)
+    if change:  # a file whose cut rules are not known: whole texts go to the library
+        setting = json.loads(open(path, encoding="utf-8").read())
+        setting["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": change == "prefix", "trim_offsets": True, "use_regex": change == "prefix"}
+        path = str(tmp_path / name)
+        open(path, "w", encoding="utf-8").write(json.dumps(setting))
+    e = tokenids.UnitEncoder(path)
+    assert e.cuts == (change is None)
     odd = [*[t or "" for t in texts], "don't stop, U.S.A. 's", " lead", "x  y\t z  w", "á, é .", "\x01 \x01a", "日本語 テキスト", "<|endoftext|> x<|startoftext|>y", "3.14,15 #tag$%&*"]
     data = np.frombuffer("".join(odd).encode(), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in odd])])
@@ -99,28 +107,30 @@ def test_quality_edges(spark, docs, none):
     assert crf_quality.quality_scores(none, one).count() == 0
 
 
+def plain_line_features(t):
+    """(bytes, features) of each line of a text that is not empty, in plain Python."""
+    lines, seen, said, prior = [], set(), set(), None
+    for b in (b for b in t.encode().split(b"\n") if b):
+        words = [w for w in re.split(rb"[ \t\r]", b) if w]
+        n, letters = max(len(words), 1), sum(c < 128 and chr(c).isalpha() or c >= 128 for c in b)
+        symbols = sum(33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:?'\"()-" for c in b)
+        new = stutter = 0
+        for w in words:
+            new += w not in seen
+            stutter += w == prior
+            seen.add(w)
+            prior = w
+        lines.append((len(b), [np.log1p(len(b)), sum(65 <= c < 91 for c in b) / max(letters, 1), symbols / len(b), b.count(b"!") / n, b.count(b"|") / n, sum(48 <= c < 58 for c in b) / len(b), min(len(b) / n, 40) / 10, new / n, float(b in said), sum(c in b".,;:?" for c in b) / n, sum(c >= 128 for c in b) / len(b), np.log1p(len(words)), stutter / n, stutter / n > 0.25]))
+        said.add(b)
+    return lines
+
+
 def test_line_features_and_score_against_plain_python(spark):
     texts = ["One two two. 12!\nONE two|x\n\none two two. 12!", "a b\r\nc", "x" * 50, "\n\n", "Zwölf Boxkämpfer, jagen"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
     x, doc, size = crf_quality.line_features(data, at)
-    want = []
-    for k, t in enumerate(texts):
-        lines, seen, prior = [], set(), None
-        said = set()
-        for b in (b for b in t.encode().split(b"\n") if b):
-            words = [w for w in re.split(rb"[ \t\r]", b) if w]
-            n, letters = max(len(words), 1), sum(c < 128 and chr(c).isalpha() or c >= 128 for c in b)
-            symbols = sum(33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:?'\"()-" for c in b)
-            new = stutter = 0
-            for w in words:
-                new += w not in seen
-                stutter += w == prior
-                seen.add(w)
-                prior = w
-            lines.append((k, len(b), [np.log1p(len(b)), sum(65 <= c < 91 for c in b) / max(letters, 1), symbols / len(b), b.count(b"!") / n, b.count(b"|") / n, sum(48 <= c < 58 for c in b) / len(b), min(len(b) / n, 40) / 10, new / n, float(b in said), sum(c in b".,;:?" for c in b) / n, sum(c >= 128 for c in b) / len(b), np.log1p(len(words)), stutter / n, stutter / n > 0.25]))
-            said.add(b)
-        want += lines
+    want = [(k, *line) for k, t in enumerate(texts) for line in plain_line_features(t)]
     assert [(int(d), int(s)) for d, s in zip(doc, size, strict=True)] == [(d, s) for d, s, _ in want]
     assert np.allclose(x, np.array([f for _, _, f in want], float))
     rng = np.random.default_rng(1)
