@@ -36,19 +36,16 @@ def unescape(text: Column) -> Column:
 
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id and segs: for each turn in order, its escaped role and text."""
+    """conv_id and blocks: for each turn in order, its escaped role and text, in arrays of ``BLOCK_TURNS`` turn numbers."""
     t = turns.select(turns[conv_id].alias("conv_id"), turns[turn].cast("long").alias("turn"), F.coalesce(turns[role], F.lit("")).alias("role"), F.coalesce(turns[text], F.lit("")).alias("text"))
     blocks = t.groupBy("conv_id", F.floor(F.col("turn") / BLOCK_TURNS).alias("block")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     whole = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("block", F.lit(-(1 << 62))).alias("block"), "turns"))).alias("blocks"))
-    segs = F.transform(F.flatten(F.transform("blocks", lambda b: b["turns"])), lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text")))
-    return whole.select("conv_id", segs.alias("segs"))
+    escaped = F.transform("blocks", lambda b: F.transform(b["turns"], lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text"))))
+    return whole.select("conv_id", escaped.alias("blocks"))
 
 
-def prefix_targets(turns: DataFrame, reply_role: str = "assistant", **columns) -> DataFrame:
-    """conv_id, example, is_last, text, loss_start and loss_end (0-based characters of text) of every example."""
-    c = conversations(turns, **columns)
-    parts = F.transform("segs", lambda x: F.struct(x["role"].alias("role"), F.length(x["text"]).alias("body"), F.concat(F.lit(OPEN), x["role"], F.lit(CLOSE), x["text"], F.lit(END)).alias("part")))
-    c = c.select("conv_id", parts.alias("parts"))
+def block_spans(parts: Column, reply_role: str) -> Column:
+    """end, n, reply and spans of one block: its characters, its replies, whether a reply is last, and where replies stand."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"), F.lit(False).alias("reply"), F.expr("cast(array() as array<struct<example:int,loss_start:int,loss_end:int>>)").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -58,11 +55,26 @@ def prefix_targets(turns: DataFrame, reply_role: str = "assistant", **columns) -
         span = F.struct(acc["n"].alias("example"), (stop - x["body"]).alias("loss_start"), stop.alias("loss_end"))
         return F.struct(end.alias("end"), F.when(reply, acc["n"] + 1).otherwise(acc["n"]).alias("n"), reply.alias("reply"), F.when(reply, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    def finish(acc: Column) -> Column:
-        rest = F.struct(acc["n"].alias("example"), acc["end"].alias("loss_start"), acc["end"].alias("loss_end"))
-        return F.when(acc["reply"], acc["spans"]).otherwise(F.concat(acc["spans"], F.array(rest)))
+    return F.aggregate(parts, start, step)
+
 
-    c = c.select("conv_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("whole"), F.aggregate("parts", start, step, finish).alias("spans"))
+def prefix_targets(turns: DataFrame, reply_role: str = "assistant", **columns) -> DataFrame:
+    """conv_id, example, is_last, text, loss_start and loss_end (0-based characters of text) of every example.
+
+    Spans are found block by block and moved by what the blocks before hold, so that no array grows turn by turn."""
+    c = conversations(turns, **columns)
+    formatted = lambda x: F.struct(x["role"].alias("role"), F.length(x["text"]).alias("body"), F.concat(F.lit(OPEN), x["role"], F.lit(CLOSE), x["text"], F.lit(END)).alias("part"))
+    c = c.select("conv_id", F.transform("blocks", lambda b: F.transform(b, formatted)).alias("blocks"))
+    text = F.array_join(F.transform("blocks", lambda b: F.array_join(F.transform(b, lambda x: x["part"]), "")), "")
+    c = c.select("conv_id", text.alias("whole"), F.transform("blocks", lambda b: block_spans(b, reply_role)).alias("found"))
+
+    place = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<end:int,n:int>>)").alias("before"))
+    add = lambda acc, b: F.struct((acc["end"] + b["end"]).alias("end"), (acc["n"] + b["n"]).alias("n"), F.concat(acc["before"], F.array(F.struct(acc["end"].alias("end"), acc["n"].alias("n")))).alias("before"))
+    c = c.select("conv_id", "whole", "found", F.aggregate("found", place, add).alias("total"))
+    moved = F.zip_with("found", "total.before", lambda b, at: F.transform(b["spans"], lambda s: F.struct((s["example"] + at["n"]).alias("example"), (s["loss_start"] + at["end"]).alias("loss_start"), (s["loss_end"] + at["end"]).alias("loss_end"))))
+    rest = F.struct(F.col("total.n").alias("example"), F.col("total.end").alias("loss_start"), F.col("total.end").alias("loss_end"))
+    spans = F.when(F.element_at("found", -1)["reply"], F.flatten(moved)).otherwise(F.concat(F.flatten(moved), F.array(rest)))
+    c = c.select("conv_id", "whole", spans.alias("spans"))
     e = c.select("conv_id", "whole", F.size("spans").alias("n"), F.explode("spans").alias("s"))
     last = F.col("s.example") == F.col("n") - 1
     upto = F.when(last, F.length("whole")).otherwise(F.col("s.loss_end") + len(END))
