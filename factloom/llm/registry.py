@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, crf_quality, elias_fano, flat_graph, hilbert_pack, media_tar, pareto_mix, pfp_dedup, prefix_targets, sql, store, token_counts
+from . import chosen_path, crf_quality, elias_fano, fim_frames, flat_graph, hilbert_pack, line_runs, media_tar, pareto_mix, pfp_dedup, phrases, prefix_targets, sql, store, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,8 +61,20 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_frames.fim_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.kept_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_media_tar, op3_flat_graph, op4_prefix_targets, op5_token_counts, op6_prefix_free_parsing, op7_hilbert_pack, op8_elias_fano_ids, op9_chosen_path, op10_pareto_mix)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_media_tar, op3_flat_graph, op4_prefix_targets, op5_token_counts, op6_prefix_free_parsing, op7_hilbert_pack, op8_elias_fano_ids, op9_chosen_path, op10_pareto_mix, op11_fim_frames, op12_line_runs, op13_son_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:

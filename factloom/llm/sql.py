@@ -42,3 +42,32 @@ MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k"""
 
 ORACLES = {"op3_flat_graph": LINKS, "op4_prefix_targets": CHAT, "op9_chosen_path": NEAR, "op10_pareto_mix": MIX}
+
+_DRAWS = ", ".join(f"('0x' || substr(sha256('1:' || doc_id), {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+FIM = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, {_DRAWS} FROM documents),
+ f AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM d),
+ p AS (SELECT *, left(t, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+ m AS (SELECT k.*, last IS NOT NULL AND last <> doc_id AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY 1"""
+
+_PIECES = r"regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')"
+PHRASES = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+ g AS (SELECT lang, unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS phrase FROM w),
+ c AS (SELECT lang, phrase, count(*) AS a, string_split(phrase, ' ') AS s FROM g GROUP BY 1, 2 HAVING count(*) >= 10),
+ cuts AS (SELECT lang, phrase, a, len(s) AS words, unnest(range(1, len(s))) AS k, s FROM c WHERE len(s) > 1),
+ x AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, words, l.a AS l, r.a AS r, ((1000000::HUGEINT * cuts.a * cuts.a) // (l.a::HUGEINT * r.a))::BIGINT AS score FROM cuts
+  JOIN c l ON l.lang = cuts.lang AND l.phrase = array_to_string(cuts.s[1:k], ' ') JOIN c r ON r.lang = cuts.lang AND r.phrase = array_to_string(cuts.s[k + 1:], ' ')),
+ best AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ inner_ AS (SELECT lang, phrase, max(longer) AS longest FROM (SELECT lang, array_to_string(s[1:2], ' ') AS phrase, a AS longer FROM c WHERE len(s) = 3 UNION ALL SELECT lang, array_to_string(s[2:3], ' '), a FROM c WHERE len(s) = 3) GROUP BY 1, 2),
+ free AS (SELECT best.* FROM best LEFT JOIN inner_ i USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM free JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+ORACLES |= {"op11_fim_frames": FIM, "op12_line_runs": LINES, "op13_son_phrases": PHRASES}

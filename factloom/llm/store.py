@@ -53,6 +53,13 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def open_output(uri: str):
+    """A stream into a new file; the caller closes it before anything names the file."""
+    store, path = _filesystem(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(path, compression=None)
+
+
 def write_file(uri: str, parts: Iterable[bytes]) -> int:
     """Streams parts into a file that appears under its name only when whole; returns its size."""
     store, path = _filesystem(uri)
