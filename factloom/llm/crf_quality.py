@@ -7,8 +7,10 @@ are tilted no more than it takes for ``MOSTLY`` of its bytes to carry its label,
 lines of a document differ where their features do. A document's score is the mean of its lines' forward-backward
 marginals, weighted by their bytes.
 
-The fit uses at most ``fit_docs`` labelled documents, the ones of least hash, and of these, in that order, no more than hold
-``FIT_LINES`` lines and ``FIT_BYTES`` bytes together; everything else covers all documents. Null
+The fit uses at most ``fit_docs`` labelled documents, the ones of least hash among those of at most ``DOC_LINES`` lines and
+``DOC_BYTES`` bytes, and of these, in that order, no more than hold ``FIT_LINES`` lines and ``FIT_BYTES`` bytes together. Longer
+documents are left out one by one, so none of them keeps others from the fit; if labelled documents exist and all are
+longer, a warning says so. Everything else covers all documents. Null
 texts are empty; texts without lines score the share of good documents in the fit. Labels other than 0 and 1 and labels
 of null ids are ignored, repeated labels of an id count once (the lower), repeated documents are scored alike; without
 usable labels of both kinds every score is that share, or 0.5 without any. An empty table gives an empty result. Other
@@ -17,6 +19,7 @@ columns may be kept, and are never read as inputs.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +32,9 @@ from . import store
 from . import textbytes as tb
 
 FIT_DOCS = 4000
-FIT_LINES, FIT_BYTES = 200_000, 64 << 20
+FIT_LINES, FIT_BYTES = 60_000, 64 << 20
+#: What one fitted document may hold.
+DOC_LINES, DOC_BYTES = 6_000, 4 << 20
 REFINE, MOSTLY = 1, 0.85
 N_FEATURES = 14
 _CLASS = np.zeros((256, 7), np.float32)  # upper, lower or other letter, digit, symbol, exclamation, bar, not ASCII
@@ -130,28 +135,65 @@ class LineCrf:
 
 
 def forward_backward(odds: np.ndarray, doc: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(marginals of good, expected transition counts of all documents), all documents in step."""
-    if not len(odds):
+    """(marginals of good, expected transition counts of all documents), all documents in step.
+
+    Documents are cut into blocks of about the root of the longest one's lines. All blocks walk through their lines together,
+    first for what each does to the chances it is entered with, then, when entries and exits are known, for the marginals.
+    So a text of n lines takes some 4 times the root of n steps, not n."""
+    n = len(odds)
+    if not n:
         return np.zeros(0), np.zeros((2, 2))
     head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    size = np.diff(np.append(head, len(doc)))
-    order = np.argsort(-size, kind="stable")
-    head, size = head[order], size[order]
-    steps = int(size[0])
-    active = np.searchsorted(-size, -np.arange(steps), side="left")  # documents longer than t
+    size = np.diff(np.append(head, n))
+    width = int(np.ceil(np.sqrt(size.max())))
+    blocks = -(-size // width)
+    owner = np.repeat(np.arange(len(head)), blocks)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    start, first = head[owner] + nth * width, nth == 0
+    length = np.minimum(width, head[owner] + size[owner] - start)
     move = np.exp(transition - transition.max())
     good = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     e = np.stack([1 - good, good], 1) + 1e-12
-    alpha, beta = np.zeros_like(e), np.zeros_like(e)
-    for t in range(steps):
-        at = head[: active[t]] + t
-        a = e[at] if t == 0 else e[at] * (alpha[at - 1] @ move)
-        alpha[at] = a / a.sum(1, keepdims=True)
-    beta[head + size - 1] = 0.5
-    for t in range(steps - 2, -1, -1):
-        at = head[: active[t + 1]] + t
-        b = (e[at + 1] * beta[at + 1]) @ move.T
-        beta[at] = b / b.sum(1, keepdims=True)
+
+    order = np.argsort(-length, kind="stable")  # the blocks that still have a line j are the first ones
+    begin, opens = start[order], first[order]
+    active = np.searchsorted(-length[order], -np.arange(width), side="left")
+    product = np.broadcast_to(np.eye(2), (len(order), 2, 2)).copy()
+    for j in range(width):
+        k = active[j]
+        step = product[:k] @ move if j else np.where(opens[:k, None, None], product[:k], product[:k] @ move)
+        step = step * e[begin[:k] + j][:, None, :]
+        product[:k] = step / step.sum((1, 2), keepdims=True)
+    whole = np.empty_like(product)
+    whole[order] = product
+
+    entry, leave = np.full((len(owner), 2), 0.5), np.full((len(owner), 2), 0.5)
+    at = np.cumsum(blocks) - blocks
+    longest = np.argsort(-blocks, kind="stable")
+    at, count = at[longest], blocks[longest]
+    going = np.searchsorted(-count, -np.arange(count[0] + 1), side="left")
+    for q in range(1, int(count[0])):
+        k = at[: going[q]] + q
+        into = np.einsum("ki,kij->kj", entry[k - 1], whole[k - 1])
+        entry[k] = into / into.sum(1, keepdims=True)
+    for q in range(int(count[0]) - 1, 0, -1):
+        k = at[: going[q]] + q
+        out = np.einsum("kij,kj->ki", whole[k], leave[k])
+        leave[k - 1] = out / out.sum(1, keepdims=True)
+
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    chance = entry[order]
+    for j in range(width):
+        k = active[j]
+        step = chance[:k] @ move if j else np.where(opens[:k, None], chance[:k], chance[:k] @ move)
+        step = step * e[begin[:k] + j]
+        chance[:k] = alpha[begin[:k] + j] = step / step.sum(1, keepdims=True)
+    chance = leave[order]
+    for j in range(width - 1, -1, -1):
+        k = active[j]
+        beta[begin[:k] + j] = chance[:k]
+        step = (e[begin[:k] + j] * chance[:k]) @ move.T
+        chance[:k] = step / step.sum(1, keepdims=True)
     both = alpha * beta
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     pair = alpha[inner][:, :, None] * move[None] * (e[inner + 1] * beta[inner + 1])[:, None, :]
@@ -235,13 +277,18 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, doc_id:
                 x, d, size = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][d].astype(np.int64)), pa.array(np.arange(len(d))), pa.array(y[i:j][d].astype(np.int64)), pa.array(size), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "line", "y", "size", "x"])
 
-    least = usable_labels(labels, doc_id).orderBy(F.xxhash64("id"), "id").limit(fit_docs)  # bounded, hence broadcast
     body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
-    found = docs.select(docs[doc_id].alias("id"), body.alias("b")).join(F.broadcast(least), "id").select(F.xxhash64("id").alias("h"), "y", "b").dropDuplicates(["h"])
-    found = store.materialize(found.withColumn("lines", F.regexp_count(F.col("b").cast("string"), F.lit("\n")) + 1), "quality-sample")
-    upto = Window.orderBy("h")  # over fit_docs rows at most
-    bounded = found.select("h", F.sum("lines").over(upto).alias("lines"), F.sum(F.octet_length("b")).over(upto).alias("bytes")).where((F.col("lines") <= FIT_LINES) & (F.col("bytes") <= FIT_BYTES)).select("h")
-    rows = found.join(F.broadcast(bounded), "h").select("h", "y", "b").mapInArrow(run, "h long, line long, y long, size long, x array<double>").toPandas()
+    lines = F.regexp_count(F.coalesce(docs[text].cast("string"), F.lit("")), F.lit("\n")) + 1
+    sizes = docs.select(docs[doc_id].alias("id"), lines.alias("lines"), F.octet_length(body).alias("bytes"))
+    known = usable_labels(labels, doc_id)
+    short = sizes.join(known, "id").groupBy("id", "y").agg(F.max("lines").alias("lines"), F.max("bytes").alias("bytes")).where((F.col("lines") <= DOC_LINES) & (F.col("bytes") <= DOC_BYTES))
+    least = store.materialize(short.orderBy(F.xxhash64("id"), "id").limit(fit_docs), "quality-sample")  # bounded, hence broadcast
+    upto = Window.orderBy(F.xxhash64("id"), "id")  # over fit_docs rows at most
+    bounded = least.select("id", "y", F.sum("lines").over(upto).alias("lines"), F.sum("bytes").over(upto).alias("bytes")).where((F.col("lines") <= FIT_LINES) & (F.col("bytes") <= FIT_BYTES)).select("id", "y")
+    found = docs.select(docs[doc_id].alias("id"), body.alias("b")).join(F.broadcast(bounded), "id").select(F.xxhash64("id").alias("h"), "y", "b").dropDuplicates(["h"])
+    rows = found.select("h", "y", "b").mapInArrow(run, "h long, line long, y long, size long, x array<double>").toPandas()
+    if not len(rows) and not sizes.join(known, "id", "left_semi").isEmpty():
+        warnings.warn(f"no labelled document has at most {DOC_LINES} lines and {DOC_BYTES} bytes; every score is 0.5", stacklevel=2)
     if not len(rows) or rows.y.nunique() < 2:
         share = float(rows.y.mean()) if len(rows) else 0.5
         return LineCrf(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)), share)

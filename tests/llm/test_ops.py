@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -195,6 +196,56 @@ def test_forward_backward_against_all_labelings():
     assert np.allclose(expected, pairs, atol=1e-6)
 
 
+def test_blocks_of_lines_give_the_same_as_one_line_after_another():
+    rng = np.random.default_rng(5)
+    doc = np.repeat(np.arange(6), [1, 2, 400, 37, 36, 5])
+    odds, move = 3 * rng.normal(size=len(doc)), rng.normal(size=(2, 2))
+    p, expected = crf_quality.forward_backward(odds, doc, move)
+    e = np.stack([1 / (1 + np.exp(odds)), 1 / (1 + np.exp(-odds))], 1)
+    want, pairs = np.zeros(len(doc)), np.zeros((2, 2))
+    for d in range(6):
+        at, m = np.flatnonzero(doc == d), np.exp(move)
+        a, b = np.zeros((len(at), 2)), np.ones((len(at), 2))
+        for t in range(len(at)):
+            a[t] = e[at[t]] * (a[t - 1] @ m if t else 1)
+            a[t] /= a[t].sum()
+        for t in range(len(at) - 2, -1, -1):
+            b[t] = m @ (e[at[t + 1]] * b[t + 1])
+            b[t] /= b[t].sum()
+        want[at] = (a * b)[:, 1] / (a * b).sum(1)
+        for t in range(len(at) - 1):
+            pair = a[t][:, None] * m * (e[at[t + 1]] * b[t + 1])[None]
+            pairs += pair / pair.sum()
+    assert np.allclose(p, want, atol=1e-8) and np.allclose(expected, pairs, atol=1e-6)
+
+
+def test_a_long_text_neither_voids_nor_stalls_the_fit(spark, monkeypatch):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    known = crf_quality.usable_labels(labels).orderBy(F.xxhash64("id")).first()
+    long = "\n".join(f"l {k}" for k in range(200_001))
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == known.id, F.lit(long)).otherwise(F.col("text")))
+
+    def accuracy(frame):
+        s = crf_quality.quality_scores(frame, labels).where("held_out").join(labels, "doc_id").where(F.col("doc_id") != known.id)
+        return s.agg(F.avg(F.expr("cast(predicted = quality as double)"))).first()[0]
+
+    plain, odd = accuracy(docs), accuracy(longer)
+    assert plain > 0.9 and abs(plain - odd) < 0.01
+    monkeypatch.setattr(crf_quality, "DOC_LINES", 10)
+    with pytest.warns(UserWarning, match="no labelled document"):
+        none = crf_quality.train(spark.createDataFrame([(3, long)], "doc_id long, text string"), spark.createDataFrame([(3, 1)], "doc_id long, quality int"))
+    assert none.prior == 0.5
+
+
+def test_long_texts_take_few_steps():
+    rng = np.random.default_rng(6)
+    doc = np.repeat([0, 1], [190_000, 5])
+    began = time.time()
+    crf_quality.forward_backward(rng.normal(size=len(doc)), doc, np.eye(2))
+    assert time.time() - began < 3  # 7 s line after line on an idle machine
+    assert crf_quality.DOC_LINES * 10 <= crf_quality.FIT_LINES  # no text takes most of the fit
+
+
 # --- 2 -------------------------------------------------------------------------------------------------------------
 
 
@@ -248,6 +299,20 @@ def test_links_against_brute_force(spark):
     assert flat_graph.near_links(t.limit(0)).count() == 0
 
 
+def test_links_of_very_small_and_very_large_vectors(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(1400, 12))
+    v = np.concatenate([base, base[:300] + 0.08 * rng.normal(size=(300, 12))])
+    factor = np.ones(len(v))
+    factor[[3, 7, 1403, 1500]], factor[[4, 8, 1404, 1600]] = 1e-200, 1e200
+    t = spark.createDataFrame([(i, (x * f).tolist(), 0) for i, (x, f) in enumerate(zip(v, factor, strict=True))], "vec_id long, embedding array<double>, label int")
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in flat_graph.near_links(t).collect()}
+    assert len(v) > flat_graph.SHARD and near.sum() > 200 and [got[i] for i in range(len(v))] == near.sum(1).tolist()
+
+
 def test_search_reaches_recall_over_many_shards(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(1500, 24))
