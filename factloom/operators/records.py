@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -14,13 +14,20 @@ RETRYABLE = ("retryable_external", "storage_error", "connection_error", "timeout
 ACTIVE = ("pending", "queued", "running")
 
 
+def _told_apart(columns: list[str]) -> Column:
+    """Something to order rows by that tie otherwise; a text, as columns may be of kinds that have no order, such as maps."""
+    return F.to_json(F.struct(*columns)) if columns else F.lit("")
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: str, identity: str) -> DataFrame:
     """The stored table after incoming rows: on ``keys`` the last by ``order`` wins, the first ``identity`` stays.
 
-    One aggregate that combines before its shuffle; stored rows count as older than all incoming ones."""
+    One aggregate that combines before its shuffle; stored rows count as older than all incoming ones. Rows of one key and one
+    ``order`` are told apart by their values as text, so the result does not depend on how rows are dealt. Columns may be of
+    any kind, maps included; null keys are keys."""
     values = [c for c in stored.columns if c not in keys and c != identity]
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.select(*stored.columns).withColumn("_new", F.lit(1)))
-    last = F.max_by(F.struct(*values), F.struct("_new", order, *(c for c in values if c != order)))
+    last = F.max_by(F.struct(*values), F.struct("_new", order, _told_apart([c for c in values if c != order]).alias("_tie")))
     first = F.min_by(identity, F.struct("_new", order, identity))
     merged = both.groupBy(*keys).agg(first.alias(identity), last.alias("_v"))
     return merged.select(*(F.col(c) if c in keys or c == identity else F.col(f"_v.{c}").alias(c) for c in stored.columns))
@@ -74,7 +81,7 @@ def chunks_by_decision(chunks: DataFrame, decision: str) -> DataFrame:
 def latest_version(versions: DataFrame) -> DataFrame:
     """The version with the greatest number of every document."""
     rest = [c for c in versions.columns if c != "document_id"]
-    return versions.groupBy("document_id").agg(F.max_by(F.struct(*rest), F.struct("version_number", *rest)).alias("v")).select("document_id", "v.*")
+    return versions.groupBy("document_id").agg(F.max_by(F.struct(*rest), F.struct("version_number", _told_apart([c for c in rest if c != "version_number"]).alias("_tie"))).alias("v")).select("document_id", "v.*")
 
 
 def eligible_for_run(versions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -99,7 +106,31 @@ def step_latency(events: DataFrame) -> DataFrame:
     e = events.where(F.col("event_type").isin("started", "completed"))
     e = e.withColumn("prior", F.lag("event_type").over(w)).withColumn("began", F.lag("created_at").over(w))
     done = e.where("event_type = 'completed' and prior = 'started'")
-    return done.select("run_id", "step", "event_id", ((F.unix_micros("created_at") - F.unix_micros("began")) / 1000).alias("latency_ms"))
+    return done.select("run_id", "step", "event_id", "created_at", ((F.unix_micros("created_at") - F.unix_micros("began")) / 1000).alias("latency_ms"))
+
+
+def latency_sketches(latencies: DataFrame, keys: tuple[str, ...] = ("step",), k: int = 200, column: str = "latency_ms") -> DataFrame:
+    """keys, sketch, n, least and greatest: a KLL sketch of each group's latencies, of bounded size, with exact counters.
+
+    Sketches of any split of the rows merge (``merge_sketches``) into one of the same error; greater ``k``, smaller error."""
+    value = F.col(column).cast("double")
+    return latencies.where(value.isNotNull()).groupBy(*keys).agg(F.kll_sketch_agg_double(value, k).alias("sketch"), F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.sum(value).alias("total"))
+
+
+def merge_sketches(sketches: DataFrame, keys: tuple[str, ...] = ("step",)) -> DataFrame:
+    """Sketches of parts (hours, shards, days) as one a group of ``keys``."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("total").alias("total"))
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """The sketches' rows with the mean and a column p<percent> for each quantile, which none but ``least`` and ``greatest`` can pass."""
+    out = sketches.withColumn("mean", F.col("total") / F.col("n"))
+    at = {f"p{q * 100:g}".replace(".", "_"): F.greatest("least", F.least("greatest", F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))))) for q in quantiles}
+    return out.withColumns(at).drop("sketch", "total")
+
+
+#: Steps whose failures are counted as failures of parsing, and of validation.
+PARSE_STEPS, VALIDATION_STEPS = ("parse", "parsing"), ("validate", "validation", "normalize")
 
 
 def run_metrics(events: DataFrame) -> DataFrame:
@@ -108,6 +139,19 @@ def run_metrics(events: DataFrame) -> DataFrame:
     return events.groupBy("step").agg(F.count_distinct("run_id").alias("n_runs"), *(of(k) for k in ("started", "completed", "failed", "partial_success", "retried")))
 
 
+def run_totals(events: DataFrame, calls: DataFrame | None = None, parse_steps: tuple[str, ...] = PARSE_STEPS, validation_steps: tuple[str, ...] = VALIDATION_STEPS) -> DataFrame:
+    """One row over all runs: runs, events, failures of parsing and of validation, and means a run, of calls (run_id, ...) too if given.
+
+    Counters are summed by run first, which combines before its shuffle, then over runs; an empty table gives zeros and null means."""
+    failed = F.col("event_type") == "failed"
+    per = events.groupBy("run_id").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "retried").alias("retries"), F.count_if(failed & F.col("step").isin(*parse_steps)).alias("parse_failures"), F.count_if(failed & F.col("step").isin(*validation_steps)).alias("validation_failures"))
+    names = ["events", "retries", "parse_failures", "validation_failures"]
+    if calls is not None:
+        own = calls.groupBy("run_id").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+        per, names = per.join(own, "run_id", "left").fillna(0, ["calls", "input_tokens", "output_tokens"]), [*names, "calls", "input_tokens", "output_tokens"]
+    return per.agg(F.count("*").alias("n_runs"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in names), *(F.avg(c).alias(f"mean_{c}") for c in names))
+
+
 def call_metrics(calls: DataFrame) -> DataFrame:
     """Counters of model calls: hits, tokens, cost, latency."""
     return calls.groupBy("model").agg(F.count("*").alias("n_calls"), F.count_if("cache_hit").alias("n_hits"), (F.count_if("cache_hit") / F.count("*")).alias("hit_rate"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("estimated_cost_usd").alias("cost_usd"), F.avg("latency_ms").alias("mean_latency_ms"))

@@ -442,6 +442,12 @@ def stream_run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(streams.stream_run_state(event_stream(spark, sf_dir)), "complete")
 
 
+@query(f"SELECT run_id, arg_max(step, (created_at, event_id)) AS step, arg_max(event_type, (created_at, event_id)) AS event_type, count(*) AS n_events FROM ({a.EVENTS}) GROUP BY 1")
+def stream_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of every run, from the changes that the stateful stream gives."""
+    return streams.latest_changes(_streamed(streams.stream_run_changes(event_stream(spark, sf_dir)), "update"))
+
+
 @query(f"SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS window_start, step, count(*) AS n_events, round(sum(value), 2) AS total_value FROM ({a.EVENTS}) GROUP BY 1, 2")
 def stream_step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(streams.stream_step_metrics(event_stream(spark, sf_dir)), "complete").withColumn("total_value", F.round("total_value", 2))
@@ -473,7 +479,8 @@ def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = chunks.assemble_chunks(blocks)
         return c.select(F.col("doc_id").cast("string").alias("run_id"), F.col("chunk_id").alias("chunk_hash"), F.col("chunk_index").alias("seq"), F.col("chunk_index").alias("id"), "estimated_tokens")
 
-    streams.stream_documents(docs, process, streams.upsert_snapshots(path, records.upsert_chunks), f"{path}-checkpoint").awaitTermination()
-    return streams.latest_snapshot(spark, path).select("run_id", "chunk_hash", "seq", "estimated_tokens")
+    table = streams.BucketedTable(spark, path, ["run_id", "chunk_hash"], 16)
+    streams.stream_documents(docs, process, streams.upsert_buckets(table, records.upsert_chunks), f"{path}-checkpoint").awaitTermination()
+    return table.read().select("run_id", "chunk_hash", "seq", "estimated_tokens")
 
 

@@ -215,7 +215,31 @@ def run_event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH e AS (SELECT *, lag(event_type) OVER w AS prior, lag(created_at) OVER w AS began FROM ({a.EVENTS}) WHERE event_type IN ('started', 'completed') WINDOW w AS (PARTITION BY run_id, step ORDER BY created_at, event_id))
  SELECT run_id, step, event_id, round((epoch_us(created_at) - epoch_us(began)) / 1000.0, 3) AS latency_ms FROM e WHERE event_type = 'completed' AND prior = 'started'""")
 def step_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.step_latency(a.select(spark, sf_dir, a.EVENTS)).withColumn("latency_ms", F.round("latency_ms", 3))
+    return records.step_latency(a.select(spark, sf_dir, a.EVENTS)).drop("created_at").withColumn("latency_ms", F.round("latency_ms", 3))
+
+
+_LATENCY = f"""WITH e AS (SELECT *, lag(event_type) OVER w AS prior, lag(created_at) OVER w AS began FROM ({a.EVENTS}) WHERE event_type IN ('started', 'completed') WINDOW w AS (PARTITION BY run_id, step ORDER BY created_at, event_id)),
+ d AS (SELECT step, (epoch_us(created_at) - epoch_us(began)) / 1000.0::DOUBLE AS ms FROM e WHERE event_type = 'completed' AND prior = 'started')"""
+
+
+@query(f"{_LATENCY} SELECT step, count(*) AS n, round(min(ms), 3) AS least, round(max(ms), 3) AS greatest, round(avg(ms), 1) AS mean, true AS near FROM d GROUP BY 1")
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of hours, merged to one a step; ``near``: the median's exact rank is within three hundredths of a half."""
+    done = staging.materialize(records.step_latency(a.select(spark, sf_dir, a.EVENTS)), "latencies")
+    hours = records.latency_sketches(done.withColumn("hour", F.date_trunc("hour", "created_at")), ("step", "hour"), k=800)
+    q = records.sketch_quantiles(records.merge_sketches(hours))
+    ranks = done.join(q.select("step", "p50"), "step").groupBy("step").agg((F.count_if(F.col("latency_ms") < F.col("p50")) / F.count("*")).alias("below"), (F.count_if(F.col("latency_ms") <= F.col("p50")) / F.count("*")).alias("upto"))
+    near = (F.col("below") <= 0.53) & (F.col("upto") >= 0.47)
+    return q.join(ranks, "step").select("step", "n", F.round("least", 3).alias("least"), F.round("greatest", 3).alias("greatest"), F.round("mean", 1).alias("mean"), near.alias("near"))
+
+
+_PER_RUN = f"SELECT run_id, count(*) AS events, count(*) FILTER (event_type = 'retried') AS retries, count(*) FILTER (event_type = 'failed' AND step IN ('parse', 'parsing')) AS pf, count(*) FILTER (event_type = 'failed' AND step IN ('validate', 'extract')) AS vf FROM ({a.EVENTS}) GROUP BY 1"
+
+
+@query(f"SELECT count(*) AS n_runs, sum(events)::BIGINT AS n_events, sum(retries)::BIGINT AS n_retries, sum(pf)::BIGINT AS n_parse_failures, sum(vf)::BIGINT AS n_validation_failures, round(avg(events), 6) AS mean_events, round(avg(retries), 6) AS mean_retries, round(avg(pf), 6) AS mean_parse_failures, round(avg(vf), 6) AS mean_validation_failures FROM ({_PER_RUN})")
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = records.run_totals(a.select(spark, sf_dir, a.EVENTS), validation_steps=("validate", "extract"))
+    return m.withColumns({c: F.round(c, 6) for c in m.columns if c.startswith("mean_")})
 
 
 @query(f"SELECT step, count(DISTINCT run_id) AS n_runs, {', '.join(f'count(*) FILTER (event_type = {k!r}) AS n_{k}' for k in ('started', 'completed', 'failed', 'partial_success', 'retried'))} FROM ({a.EVENTS}) GROUP BY 1")
