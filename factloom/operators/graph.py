@@ -43,31 +43,65 @@ def model_from_actions(actions: DataFrame, keys: tuple[str, ...] = ("run_id",),
     return named.groupBy(*keys, "action").agg(F.array_sort(F.collect_set("i")).alias("init_states"), F.array_sort(F.collect_set("f")).alias("final_states"), F.lit(1).alias("b_value"))
 
 
-def model_v2_to_v1(actions: DataFrame, states: DataFrame, connections: DataFrame) -> DataFrame:
-    """(action_id, actor, action, place), (object_id, object_name, state_id, state_name), (pos, out_id, in_id) -> model."""
+def model_v2_to_v1(actions: DataFrame, states: DataFrame, connections: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(action_id, actor, action, place), (object_id, object_name, state_id, state_name), (pos, out_id, in_id) -> model.
+
+    ``keys`` are columns of all three that tell models apart, such as ``model`` where several files are read: ids count
+    within a model only, and the result has these columns. States stand in the order of their first connection. Empty
+    names fall back to ids; actions of one name are one; rows without id, and connections to what is not there, give nothing."""
     shown = lambda *cs: t.strip(F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in cs)))
-    a = actions.where("coalesce(action_id, '') <> ''").select("action_id", F.coalesce(F.nullif(shown("actor", "action", "place"), F.lit("")), "action_id").alias("name"))
+    a = actions.where("coalesce(action_id, '') <> ''").select(*keys, F.col("action_id").alias("own_id"), F.coalesce(F.nullif(shown("actor", "action", "place"), F.lit("")), "action_id").alias("name"))
     key = F.concat("object_id", "state_id")
-    s = states.select(key.alias("state_key"), F.coalesce(F.nullif(shown("object_name", "state_name"), F.lit("")), key).alias("state"))
-    after = connections.join(a, F.col("out_id") == F.col("action_id")).join(s, F.col("in_id") == F.col("state_key")).select("name", "state", "pos", F.lit("f").alias("side"))
-    before = connections.join(s, F.col("out_id") == F.col("state_key")).join(a, F.col("in_id") == F.col("action_id")).select("name", "state", "pos", F.lit("i").alias("side"))
-    first = after.unionByName(before).groupBy("name", "state", "side").agg(F.min("pos").alias("pos"))
+    s = states.select(*keys, key.alias("state_key"), F.coalesce(F.nullif(shown("object_name", "state_name"), F.lit("")), key).alias("state"))
+    c = connections.select(*keys, "pos", "out_id", "in_id")
+
+    def linked(action_side: str, state_side: str, side: str) -> DataFrame:
+        found = c.join(a.withColumnRenamed("own_id", action_side), [*keys, action_side]).join(s.withColumnRenamed("state_key", state_side), [*keys, state_side])
+        return found.select(*keys, "name", "state", "pos", F.lit(side).alias("side"))
+
+    first = linked("out_id", "in_id", "f").unionByName(linked("in_id", "out_id", "i")).groupBy(*keys, "name", "state", "side").agg(F.min("pos").alias("pos"))
     ordered = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "state")))), lambda x: x["state"])
-    linked = first.groupBy("name").agg(ordered("i").alias("init_states"), ordered("f").alias("final_states"))
+    sides = first.groupBy(*keys, "name").agg(ordered("i").alias("init_states"), ordered("f").alias("final_states"))
     none = F.expr("cast(array() as array<string>)")
-    return a.select("name").distinct().join(linked, "name", "left").select(F.col("name").alias("action"), F.coalesce("init_states", none).alias("init_states"), F.coalesce("final_states", none).alias("final_states"), F.lit(1).alias("b_value"))
-
-
-def model_v1_to_v2(model: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> tuple[DataFrame, DataFrame]:
-    """(actions with ids, connections): ids count up within a model in the order of names."""
-    aid = F.concat(F.lit("a"), F.lpad(F.row_number().over(Window.partitionBy(*keys).orderBy("action")).cast("string"), 5, "0"))
-    actions = model.select(*keys, aid.alias("action_id"), "action", "init_states", "final_states")
-    used = actions.select(*keys, F.explode(F.array_union("init_states", "final_states")).alias("state")).distinct()
-    sid = F.concat(F.lit("s"), F.lpad(F.row_number().over(Window.partitionBy(*keys).orderBy("state")).cast("string"), 5, "0"))
-    states = used.select(*keys, "state", sid.alias("state_id"))
-    out = actions.select(*keys, "action_id", F.explode("final_states").alias("state")).join(states, [*keys, "state"]).select(*keys, F.col("action_id").alias("connection_out"), F.col("state_id").alias("connection_in"))
-    into = actions.select(*keys, "action_id", F.explode("init_states").alias("state")).join(states, [*keys, "state"]).select(*keys, F.col("state_id").alias("connection_out"), F.col("action_id").alias("connection_in"))
-    return actions.select(*keys, "action_id", "action"), out.unionByName(into)
+    return a.select(*keys, "name").distinct().join(sides, [*keys, "name"], "left").select(*keys, F.col("name").alias("action"), F.coalesce("init_states", none).alias("init_states"), F.coalesce("final_states", none).alias("final_states"), F.lit(1).alias("b_value"))
+
+
+#: Stands between the object and the state of a key; digits of an id.
+DIVIDER, DIGITS = "__", 5
+
+
+def model_v1_to_v2(model: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(actions, states, connections) as ``model_v2_to_v1`` takes them with the same keys, which gives the model back.
+
+    Ids count up within a model in the order of names: actions a00001, objects o00001, states of an object s00001. A state key
+    ``object__state`` is the state of that object; one without divider is a state of the object without name. Names are kept
+    whole in state_name, so that they come back as they were, and the object's name is in object_key. Connections are numbered
+    so that each action's states keep their order. Models are keyed, so several, with equal ids, may be in one table."""
+    nth = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    label = lambda letter, n: F.concat(F.lit(letter), F.lpad(n.cast("string"), DIGITS, "0"))
+    m = model.select(*keys, "action", "init_states", "final_states", nth("action").alias("n"))
+    actions = m.select(*keys, label("a", F.col("n")).alias("action_id"), F.lit("").alias("actor"), "action", F.lit("").alias("place"))
+    sides = [m.select(*keys, "n", F.lit(k).alias("side"), F.posexplode(c).alias("at", "state")) for k, c in enumerate(("init_states", "final_states"))]
+    used = sides[0].unionByName(sides[1])
+    object_key = F.when(F.contains("state", F.lit(DIVIDER)), F.substring_index("state", DIVIDER, 1)).otherwise(F.lit(""))
+    distinct = used.select(*keys, "state").distinct().withColumn("object_key", object_key)
+    objects = F.dense_rank().over(Window.partitionBy(*keys).orderBy("object_key"))
+    within = F.row_number().over(Window.partitionBy(*keys, "object_key").orderBy("state"))
+    states = distinct.select(*keys, label("o", objects).alias("object_id"), F.lit("").alias("object_name"), label("s", within).alias("state_id"), F.col("state").alias("state_name"), "object_key")
+    named = used.join(states.select(*keys, F.concat("object_id", "state_id").alias("state_key"), F.col("state_name").alias("state")), [*keys, "state"])
+    action_id, out = label("a", F.col("n")), F.col("side") == 1
+    connections = named.select(*keys, nth("n", "side", "at").cast("long").alias("pos"), F.when(out, action_id).otherwise(F.col("state_key")).alias("out_id"), F.when(out, F.col("state_key")).otherwise(action_id).alias("in_id"))
+    return actions, states, connections
+
+
+def model_files(actions: DataFrame, states: DataFrame, connections: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """A row a model (keys and the three nested lists of a model file), ready to be written as JSON and read by ``read_action_model_v2``."""
+    listed = lambda order, **fields: F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*(F.col(c).alias(k) for k, c in fields.items())).alias("x")))), lambda r: r["x"])
+    a = actions.groupBy(*keys).agg(listed("action_id", action_id="action_id", action_actor="actor", action_action="action", action_place="place").alias("model_actions"))
+    o = states.groupBy(*keys, "object_id", "object_name").agg(listed("state_id", state_id="state_id", state_name="state_name").alias("resource_state"))
+    o = o.groupBy(*keys).agg(listed("object_id", object_id="object_id", object_name="object_name", resource_state="resource_state").alias("model_objects"))
+    c = connections.groupBy(*keys).agg(listed("pos", connection_out="out_id", connection_in="in_id").alias("model_connections"))
+    return a.join(o, list(keys), "left").join(c, list(keys), "left")
 
 
 def state_producers(model: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:

@@ -94,6 +94,62 @@ def enumerate_paths(model: DataFrame, targets: DataFrame, mode: str = "ALL", see
     return out.select("run_id", "target", F.row_number().over(per.orderBy("trail", "path")).alias("path_index"), "path", cut.alias("truncated"))
 
 
+def count_paths(model: DataFrame, targets: DataFrame, save=None, max_rounds: int | None = None) -> DataFrame:
+    """(run_id, target, n_paths) of the targets that have a path: what ``enumerate_paths`` in mode ALL gives, counted.
+
+    An action has as many paths as the product over the states it needs of the sum over each state's producers. Actions are
+    settled from those that need nothing upwards, a level a round; the rounds are the depth of the model, however many
+    paths there are. Two kinds of target are enumerated: those that a cycle keeps from settling, and those in whose paths an
+    action may stand more than ``REPEATS`` times, found by the same rounds over the greatest number of times that each
+    action can stand below another (only where some action of the run needs several states). Counts are
+    decimals of 38 digits, null where they have more."""
+    save = save or (lambda df: df.checkpoint())
+    dec = "decimal(38,0)"
+    own = model.join(targets.select("run_id").distinct(), "run_id", "left_semi")
+    needs = save(own.select("run_id", "action", F.size("init_states").alias("n_needs"), F.explode("init_states").alias("state")))
+    makers = choose_producers(own if "pos" in own.columns else own.withColumn("pos", F.lit(0))).select("run_id", "state", "producer")
+    makers = save(makers.withColumn("n_makers", F.count("*").over(Window.partitionBy("run_id", "state"))))
+    settled = save(own.where(F.size("init_states") == 0).select("run_id", "action", F.lit(1).cast(dec).alias("n")).distinct())
+    # states with the paths that are known so far, of how many producers, and the round that brought the last
+    got = needs.select("run_id", "state").distinct().join(makers.select("run_id", "state"), ["run_id", "state"], "left_anti")
+    got = save(got.select("run_id", "state", F.lit(0).cast(dec).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("n_makers"), F.lit(1).alias("last")))
+    fresh, rounds = settled, 0
+    while not fresh.isEmpty() and (max_rounds is None or rounds < max_rounds):
+        rounds += 1
+        more = makers.join(fresh.withColumnRenamed("action", "producer"), ["run_id", "producer"]).select("run_id", "state", "n", F.lit(1).cast("long").alias("k"), "n_makers", F.lit(rounds).alias("last"))
+        got = save(got.unionByName(more).groupBy("run_id", "state").agg(F.when(F.count_if(F.col("n").isNull()) == 0, F.try_sum("n").cast(dec)).alias("n"), F.sum("k").alias("k"), F.max("n_makers").alias("n_makers"), F.max("last").alias("last")))
+        full = got.where("k = n_makers").select("run_id", "state", "n", "last")
+        product = F.aggregate(F.collect_list(F.struct("n")), F.lit(1).cast(dec), lambda x, y: F.try_multiply(x, y["n"]).cast(dec))
+        done = needs.join(full, ["run_id", "state"]).groupBy("run_id", "action", "n_needs").agg(product.alias("n"), F.count("*").alias("k"), F.max("last").alias("last"))
+        fresh = save(done.where(F.expr("k = n_needs") & (F.col("last") == rounds)).select("run_id", "action", "n"))
+        settled = settled.unionByName(fresh)
+    counts = targets.join(settled.withColumnRenamed("action", "target"), ["run_id", "target"])
+    often = _stand_often(needs, makers.drop("n_makers"), settled, rounds, save)
+    if often is not None:
+        counts = counts.join(often.withColumnRenamed("action", "target"), ["run_id", "target"], "left_anti")
+    counts = save(counts)
+    rest = save(targets.join(counts.select("run_id", "target"), ["run_id", "target"], "left_anti"))
+    if not rest.isEmpty():
+        listed = enumerate_paths(own, rest, save=save).groupBy("run_id", "target").agg(F.count("*").cast(dec).alias("n"))
+        counts = counts.unionByName(listed)
+    return counts.where("n > 0 or n is null").select("run_id", "target", F.col("n").alias("n_paths"))
+
+
+def _stand_often(needs: DataFrame, makers: DataFrame, settled: DataFrame, rounds: int, save) -> DataFrame | None:
+    """(run_id, action) of settled actions in a path to which some action may stand more than ``REPEATS`` times; None if no action needs several states."""
+    joint = save(needs.where("n_needs > 1").select("run_id").distinct())
+    if joint.isEmpty():
+        return None
+    own = lambda df: df.join(joint, "run_id", "left_semi")
+    itself = save(own(settled).select("run_id", "action", F.col("action").alias("below"), F.lit(1).cast("long").alias("times")))
+    needs, makers, times = own(needs), own(makers), itself
+    for _ in range(rounds):
+        most = makers.join(times.withColumnRenamed("action", "producer"), ["run_id", "producer"]).groupBy("run_id", "state", "below").agg(F.max("times").alias("times"))
+        under = needs.join(most, ["run_id", "state"]).select("run_id", "action", "below", "times").join(itself.select("run_id", "action"), ["run_id", "action"], "left_semi")
+        times = save(under.unionByName(itself).groupBy("run_id", "action", "below").agg(F.least(F.sum("times"), F.lit(REPEATS + 1)).alias("times")))
+    return times.where(F.col("times") > REPEATS).select("run_id", "action").distinct()
+
+
 def step_channel(passage: str, index, total):
     """The channel of a step by passage: API, UI, MANUAL or null."""
     fixed = {"API": "API", "UI_FULL": "UI", "MANUAL_FULL": "MANUAL"}
@@ -136,9 +192,8 @@ def render_scenarios(paths: DataFrame, model: DataFrame, structure: str = "LEAF"
     return c.select("run_id", "scenario", "version", F.posexplode("lines").alias("line_no", "line"))
 
 
-def scenario_counts(paths: DataFrame, model: DataFrame, structure: str = "LEAF") -> DataFrame:
-    """Scenarios of each target: its final states for every path under LEAF, else its paths."""
-    n = paths.groupBy("run_id", "target").agg(F.count("*").alias("n_paths"))
+def scenario_counts(counted: DataFrame, model: DataFrame, structure: str = "LEAF") -> DataFrame:
+    """Scenarios of each target of (run_id, target, n_paths): its final states for every path under LEAF, else its paths."""
     finals = model.select("run_id", F.col("action").alias("target"), F.size("final_states").alias("n_finals"))
     each = F.col("n_finals") if structure == "LEAF" else F.lit(1)
-    return n.join(finals, ["run_id", "target"]).select("run_id", "target", "n_paths", (F.col("n_paths") * each).alias("n_scenarios"))
+    return counted.join(finals, ["run_id", "target"]).select("run_id", "target", "n_paths", (F.col("n_paths") * each).alias("n_scenarios"))

@@ -283,6 +283,11 @@ def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.model_from_actions(built(spark, sf_dir))
 
 
+def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model for queries that read it more than once."""
+    return staging.materialize(modelled(spark, sf_dir), "model")
+
+
 @query(f"WITH {_MODEL} SELECT run_id, action, array_to_string(init_states, '|') AS init_states, array_to_string(final_states, '|') AS final_states, b_value FROM model")
 def model_from_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modelled(spark, sf_dir).withColumns({c: joined(F.col(c)) for c in ("init_states", "final_states")})
@@ -296,30 +301,49 @@ def state_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_MODEL}, t AS (SELECT DISTINCT run_id, action, unnest(list_concat(init_states, final_states)) AS state FROM model), c AS (SELECT run_id, action FROM model WHERE starts_with(action, '1-'))
  SELECT DISTINCT t.run_id, t.action FROM t JOIN (SELECT DISTINCT run_id, state FROM t JOIN c USING (run_id, action)) s USING (run_id, state) UNION SELECT run_id, action FROM c""")
 def impact_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = modelled(spark, sf_dir)
+    m = stored_model(spark, sf_dir)
     return graph.impact_actions(m, m.where("startswith(action, '1-')"))
 
 
-@query(f"""WITH {_MODEL}, ids AS (SELECT *, 'a' || lpad(CAST(row_number() OVER (PARTITION BY run_id ORDER BY action) AS VARCHAR), 5, '0') AS action_id FROM model),
- st AS (SELECT run_id, state, 's' || lpad(CAST(row_number() OVER (PARTITION BY run_id ORDER BY state) AS VARCHAR), 5, '0') AS state_id FROM (SELECT DISTINCT run_id, unnest(list_concat(init_states, final_states)) AS state FROM model)),
- o AS (SELECT run_id, action_id, unnest(final_states) AS state FROM ids), i AS (SELECT run_id, action_id, unnest(init_states) AS state FROM ids)
- SELECT run_id, action_id AS connection_out, state_id AS connection_in FROM o JOIN st USING (run_id, state) UNION ALL SELECT run_id, state_id, action_id FROM i JOIN st USING (run_id, state)""")
+_V2 = f"""{_MODEL}, ids AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY action) AS nth FROM model),
+ u AS (SELECT run_id, nth, 0 AS side, unnest(init_states) AS state, generate_subscripts(init_states, 1) AS i FROM ids UNION ALL SELECT run_id, nth, 1, unnest(final_states), generate_subscripts(final_states, 1) FROM ids),
+ k AS (SELECT *, string_split(state, '__')[1] AS object_key FROM (SELECT DISTINCT run_id, state FROM u)),
+ st AS (SELECT run_id, 'o' || lpad(CAST(dense_rank() OVER (PARTITION BY run_id ORDER BY object_key) AS VARCHAR), 5, '0') AS object_id, 's' || lpad(CAST(row_number() OVER (PARTITION BY run_id, object_key ORDER BY state) AS VARCHAR), 5, '0') AS state_id, state AS state_name, object_key FROM k)"""
+
+
+@query(f"""WITH {_V2} SELECT u.run_id, row_number() OVER (PARTITION BY u.run_id ORDER BY nth, side, i) AS pos,
+ CASE side WHEN 1 THEN 'a' || lpad(CAST(nth AS VARCHAR), 5, '0') ELSE object_id || state_id END AS out_id, CASE side WHEN 0 THEN 'a' || lpad(CAST(nth AS VARCHAR), 5, '0') ELSE object_id || state_id END AS in_id FROM u JOIN st ON st.run_id = u.run_id AND st.state_name = u.state""")
 def model_v1_to_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.model_v1_to_v2(modelled(spark, sf_dir))[1]
+    return graph.model_v1_to_v2(stored_model(spark, sf_dir))[2]
+
+
+@query(f"WITH {_V2} SELECT run_id, object_id, state_id, state_name, object_key FROM st")
+def model_v2_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects and their states of the models as they are written."""
+    return graph.model_v1_to_v2(stored_model(spark, sf_dir))[1].drop("object_name")
+
+
+@query(f"WITH {_MODEL} SELECT run_id, action, array_to_string(init_states, '|') AS init_states, array_to_string(final_states, '|') AS final_states FROM model")
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of all runs, to ids and back; the ids of every run are the same."""
+    m = graph.model_v2_to_v1(*(staging.materialize(x, "v2") for x in graph.model_v1_to_v2(stored_model(spark, sf_dir))), keys=("run_id",))
+    return m.select("run_id", "action", *(joined(F.col(c)).alias(c) for c in ("init_states", "final_states")))
 
 
-_V2A = "SELECT concat('a', CAST(s_suppkey AS STRING)) AS action_id, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE concat('actor ', CAST(s_nationkey AS STRING)) END AS actor, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_name END AS action, '' AS place FROM {supplier}"
-_V2S = "SELECT concat('o', CAST(n_nationkey AS STRING)) AS object_id, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE n_name END AS object_name, concat('s', CAST(n_regionkey AS STRING)) AS state_id, CASE WHEN n_nationkey % 8 = 0 THEN '' ELSE concat('in ', CAST(n_regionkey AS STRING)) END AS state_name FROM {nation}"
-_V2C = "SELECT l_orderkey * 100000 + l_partkey AS pos, CASE WHEN l_linenumber % 2 = 0 THEN concat('a', CAST(l_suppkey AS STRING)) ELSE concat('o', CAST(l_partkey % 25 AS STRING), 's', CAST(l_partkey % 5 AS STRING)) END AS out_id, CASE WHEN l_linenumber % 2 = 1 THEN concat('a', CAST(l_suppkey AS STRING)) ELSE concat('o', CAST(l_partkey % 25 AS STRING), 's', CAST(l_partkey % 5 AS STRING)) END AS in_id FROM {lineitem}"
+#: Two models of equal ids and different names.
+_V2A = " UNION ALL ".join(f"SELECT '{m}' AS model, concat('a', CAST(s_suppkey AS STRING)) AS action_id, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE concat('actor {m} ', CAST(s_nationkey AS STRING)) END AS actor, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_name END AS action, '' AS place FROM {{supplier}}" for m in ("m0", "m1"))
+_V2S = " UNION ALL ".join(f"SELECT '{m}' AS model, concat('o', CAST(n_nationkey AS STRING)) AS object_id, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE {name} END AS object_name, concat('s', CAST(n_regionkey AS STRING)) AS state_id, CASE WHEN n_nationkey % 8 = 0 THEN '' ELSE concat('in ', CAST(n_regionkey AS STRING)) END AS state_name FROM {{nation}}" for m, name in (("m0", "n_name"), ("m1", "lower(n_name)")))
+_V2C = "SELECT concat('m', CAST(l_orderkey % 2 AS STRING)) AS model, l_orderkey * 100000 + l_partkey AS pos, CASE WHEN l_linenumber % 2 = 0 THEN concat('a', CAST(l_suppkey AS STRING)) ELSE concat('o', CAST(l_partkey % 25 AS STRING), 's', CAST(l_partkey % 5 AS STRING)) END AS out_id, CASE WHEN l_linenumber % 2 = 1 THEN concat('a', CAST(l_suppkey AS STRING)) ELSE concat('o', CAST(l_partkey % 25 AS STRING), 's', CAST(l_partkey % 5 AS STRING)) END AS in_id FROM {lineitem}"
 
 
-@query(f"""WITH a AS (SELECT action_id, coalesce(nullif(trim(concat_ws(' ', nullif(actor, ''), nullif(action, ''), nullif(place, ''))), ''), action_id) AS name FROM ({_V2A})),
- s AS (SELECT object_id || state_id AS k, coalesce(nullif(trim(concat_ws(' ', nullif(object_name, ''), nullif(state_name, ''))), ''), object_id || state_id) AS state FROM ({_V2S})),
- u AS (SELECT name, state, min(pos) AS pos, 'f' AS side FROM ({_V2C}) JOIN a ON out_id = action_id JOIN s ON in_id = k GROUP BY 1, 2 UNION ALL SELECT name, state, min(pos), 'i' FROM ({_V2C}) JOIN s ON out_id = k JOIN a ON in_id = action_id GROUP BY 1, 2),
- g AS (SELECT name, string_agg(state, '|' ORDER BY pos, state) FILTER (side = 'i') AS i, string_agg(state, '|' ORDER BY pos, state) FILTER (side = 'f') AS f FROM u GROUP BY 1)
- SELECT n.name AS action, coalesce(i, '') AS init_states, coalesce(f, '') AS final_states, 1 AS b_value FROM (SELECT DISTINCT name FROM a) n LEFT JOIN g USING (name)""")
+@query(f"""WITH a AS (SELECT model, action_id, coalesce(nullif(trim(concat_ws(' ', nullif(actor, ''), nullif(action, ''), nullif(place, ''))), ''), action_id) AS name FROM ({_V2A})),
+ s AS (SELECT model, object_id || state_id AS k, coalesce(nullif(trim(concat_ws(' ', nullif(object_name, ''), nullif(state_name, ''))), ''), object_id || state_id) AS state FROM ({_V2S})), c AS ({_V2C}),
+ u AS (SELECT c.model, name, state, min(pos) AS pos, 'f' AS side FROM c JOIN a ON out_id = action_id AND a.model = c.model JOIN s ON in_id = k AND s.model = c.model GROUP BY 1, 2, 3
+  UNION ALL SELECT c.model, name, state, min(pos), 'i' FROM c JOIN s ON out_id = k AND s.model = c.model JOIN a ON in_id = action_id AND a.model = c.model GROUP BY 1, 2, 3),
+ g AS (SELECT model, name, string_agg(state, '|' ORDER BY pos, state) FILTER (side = 'i') AS i, string_agg(state, '|' ORDER BY pos, state) FILTER (side = 'f') AS f FROM u GROUP BY 1, 2)
+ SELECT n.model, n.name AS action, coalesce(i, '') AS init_states, coalesce(f, '') AS final_states, 1 AS b_value FROM (SELECT DISTINCT model, name FROM a) n LEFT JOIN g ON g.model = n.model AND g.name = n.name""")
 def model_v2_to_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = graph.model_v2_to_v1(*(a.select(spark, sf_dir, x) for x in (_V2A, _V2S, _V2C)))
+    m = graph.model_v2_to_v1(*(a.select(spark, sf_dir, x) for x in (_V2A, _V2S, _V2C)), keys=("model",))
     return m.withColumns({c: joined(F.col(c)) for c in ("init_states", "final_states")})
 
 
@@ -362,14 +386,18 @@ def paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT run_id, action AS target, array_to_string(path, '>') AS path FROM p WHERE last_line""")
 def paths_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line needs the step before it and a check of its status, by either of two actions, none of them more than twice."""
+    found = paths.enumerate_paths(*joint_model(spark, sf_dir), save=staging.materialize)
+    return found.select("run_id", "target", joined(F.col("path"), ">").alias("path"))
+
+
+def joint_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(model, targets) of processes whose lines need a check besides the step before."""
     steps = staging.materialize(a.select(spark, sf_dir, _STEPS).join(a.select(spark, sf_dir, _STATUS), ["run_id", "action"]), "steps")
     ok = F.concat(F.lit("ok_"), F.col("status"))
     lines = steps.select("run_id", "action", F.when(F.col("line") == 1, F.array(ok)).otherwise(F.array(F.col("before_state"), ok)).alias("init_states"), F.array("after_state").alias("final_states"), "b_value")
     none = F.expr("cast(array() as array<string>)").alias("init_states")
     checks = [rows.select("run_id", F.concat(F.lit(kind), F.col("status")).alias("action"), none, F.array(ok).alias("final_states"), F.lit(1).alias("b_value")).distinct() for kind, rows in (("check_", steps), ("audit_", steps.where("audited")))]
-    targets = steps.where("last_line").select("run_id", F.col("action").alias("target"))
-    found = paths.enumerate_paths(lines.unionByName(checks[0]).unionByName(checks[1]), targets, save=staging.materialize)
-    return found.select("run_id", "target", joined(F.col("path"), ">").alias("path"))
+    return lines.unionByName(checks[0]).unionByName(checks[1]), steps.where("last_line").select("run_id", F.col("action").alias("target"))
 
 
 @query(f"{_BEST} SELECT run_id, target, array_to_string(path, '>') AS path FROM p WHERE done")
@@ -406,7 +434,9 @@ def render_scenarios_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_PATHS} SELECT run_id, target, count(*) AS n_paths, count(*) AS n_scenarios FROM p WHERE done GROUP BY 1, 2")
 def scenario_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = process_steps(spark, sf_dir)
-    return paths.scenario_counts(process_paths(steps, "ALL"), process_model(steps))
+    targets = steps.where("last_line").select("run_id", F.col("action").alias("target"))
+    out = paths.scenario_counts(paths.count_paths(process_model(steps), targets, staging.materialize), process_model(steps))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("n_paths", "n_scenarios")})
 
 
 @query(f"SELECT run_id, action, CASE WHEN last_line THEN 'UI' ELSE 'API' END AS channel FROM ({_STEPS})")
@@ -466,20 +496,22 @@ def read_raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(d.groupBy("lang").agg(F.count("*").alias("n_docs")), "lang")
 
 
-@query("SELECT n_name || ' ' || s_name AS action, n_name || ' supplied' AS final_states FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+_OF_REGION = "SELECT n_regionkey, n_name, s_name, 'a' || row_number() OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) AS action_id FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"
+
+
+@query(f"SELECT n_regionkey AS region, n_name || ' ' || s_name AS action, n_name || ' supplied' AS final_states FROM ({_OF_REGION})")
 def read_action_model_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model file a region: its suppliers' actions, its nations' states."""
+    """A model file a region: its suppliers' actions, its nations' states; ids begin anew in each file."""
     path = staging.folder(spark, "models")
-    n, s = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("nation", "supplier"))
-    action, state = F.concat(F.lit("a"), F.col("s_suppkey").cast("string")), F.concat(F.lit("o"), F.col("n_nationkey").cast("string"))
-    actions = F.array_sort(F.collect_list(F.struct(action.alias("action_id"), F.col("n_name").alias("action_actor"), F.col("s_name").alias("action_action"), F.lit("").alias("action_place"))))
-    links = F.array_sort(F.collect_list(F.struct(action.alias("connection_out"), F.concat(state, F.lit("s1")).alias("connection_in"))))
-    of_region = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(actions.alias("model_actions"), links.alias("model_connections"))
-    states = F.array(F.struct(F.lit("s1").alias("state_id"), F.lit("supplied").alias("state_name")))
-    objects = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(state.alias("object_id"), F.col("n_name").alias("object_name"), states.alias("resource_state")))).alias("model_objects"))
-    of_region.join(objects, "n_regionkey").write.partitionBy("n_regionkey").json(path)
-    m = graph.model_v2_to_v1(*ingest.read_action_model_v2(spark, path))
-    return m.select("action", joined(F.col("final_states")).alias("final_states"))
+    rows = a.select(spark, sf_dir, _OF_REGION)
+    nation = F.dense_rank().over(Window.partitionBy("n_regionkey").orderBy("n_name"))
+    rows = rows.withColumn("object_id", F.concat(F.lit("o"), nation.cast("string")))
+    actions = rows.select("n_regionkey", "action_id", F.col("n_name").alias("actor"), F.col("s_name").alias("action"), F.lit("").alias("place"))
+    states = rows.select("n_regionkey", "object_id", F.col("n_name").alias("object_name"), F.lit("s1").alias("state_id"), F.lit("supplied").alias("state_name")).distinct()
+    links = rows.select("n_regionkey", F.lit(1).alias("pos"), F.col("action_id").alias("out_id"), F.concat("object_id", F.lit("s1")).alias("in_id"))
+    graph.model_files(actions, states, links, ("n_regionkey",)).write.partitionBy("n_regionkey").json(path)
+    m = graph.model_v2_to_v1(*ingest.read_action_model_v2(spark, path), keys=("model",))
+    return m.select(F.regexp_extract("model", r"n_regionkey=(\d+)", 1).cast("int").alias("region"), "action", joined(F.col("final_states")).alias("final_states"))
 
 
 #: Answers made of events: valid lists, and each way to be wrong; with the verdict in SQL.
