@@ -417,7 +417,11 @@ def table_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COS = "list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-@query(f"SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON v.label = q.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5")
+#: Vectors that can be compared: finite and not zero.
+_FINE = "SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+
+@query(f"SELECT q.vec_id AS query_id, v.vec_id, round({_COS}, 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM ({_FINE}) q JOIN ({_FINE}) v ON v.label = q.label AND v.vec_id <> q.vec_id AND len(v.embedding) = len(q.embedding) WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5")
 def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     queries = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")  # the query set of the operator
