@@ -16,8 +16,8 @@ LETTERS = {
     "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
     "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
 }
-#: Blocks whose lower-case letters are spelt: Latin, Greek and Cyrillic; and the combining marks, which are left out.
-SCRIPTS = ((0xC0, 0x250), (0x370, 0x500), (0x1E00, 0x2000))
+#: Blocks whose lower-case letters are spelt: Latin, Greek, Cyrillic and wide Latin; and the combining marks, which are left out.
+SCRIPTS = ((0xC0, 0x250), (0x370, 0x500), (0x1E00, 0x2000), (0xFF41, 0xFF5B))
 MARKS = (0x300, 0x370)
 #: What counts as white space at the ends of a text.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,7 +28,7 @@ def _spellings() -> dict[str, str]:
     found = dict(LETTERS)
     for c in (chr(k) for block in SCRIPTS for k in range(*block)):
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if c not in found and c.lower() == c and c.isalpha() and base != c and all(x in LETTERS or x.isascii() for x in base):
+        if c not in found and c.lower() == c and c.isalpha() and base != c and base.isalnum() and all(x in LETTERS or x.isascii() for x in base):
             found[c] = "".join(LETTERS.get(x, x) for x in base)
     return found
 
@@ -50,12 +50,66 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text) == "", F.lit(True))
 
 
+#: Letters and vowel signs of this block are spelt by their Unicode names; Hangul syllables by their parts, of which the
+#: standard's formula tells which; what is left (ideographs, and all beyond) by its code point.
+NAMED = (0x80, 0x3200)
+HANGUL, PARTS = (0xAC00, 0xD7A4), (19, 21, 28)
+
+
+def _named(c: str) -> str:
+    """What a letter's name says after LETTER, SYLLABLE, CHARACTER or VOWEL SIGN, without marks: alef, ka, ko."""
+    name = unicodedata.name(c, "")
+    for word in ("VOWEL SIGN ", "SYLLABLE ", "LETTER ", "CHARACTER "):
+        if word in name:
+            rest = name.rpartition(word)[2].partition(" WITH ")[0].split()
+            rest = [x for x in rest if x not in ("SMALL", "CAPITAL", "FINAL", "INITIAL", "MEDIAL", "ISOLATED")] or rest
+            return "".join(x for x in "".join(rest).lower() if x.isascii() and x.isalnum())
+    return ""
+
+
+def _hangul_parts() -> list[list[str]]:
+    """Spellings of first consonants, vowels and last consonants (none first), as they stand in the names of syllables."""
+    spelt = lambda first, vowel, last: unicodedata.name(chr(HANGUL[0] + (first * PARTS[1] + vowel) * PARTS[2] + last)).split()[-1].lower()
+    vowels = [spelt(11, v, 0) for v in range(PARTS[1])]  # the twelfth consonant is silent
+    return [[spelt(f, 0, 0).removesuffix(vowels[0]) for f in range(PARTS[0])], vowels, [spelt(11, 0, x).removeprefix(vowels[0]) for x in range(PARTS[2])]]
+
+
+NAMES = [_named(chr(k)) for k in range(*NAMED)]
+HANGUL_PARTS = _hangul_parts()
+
+
+def _listed(items: list[str]) -> Column:
+    """A constant array, folded from one text, so that the plan holds one value however long the list is."""
+    return F.split(F.lit("|".join(items)), r"\|")
+
+
+def _spelt(char: Column) -> Column:
+    """A character of any script as ASCII; those that are no letters or marks as they are."""
+    code = F.ascii(char)
+    syllable = code - HANGUL[0]
+    part = lambda k, n: F.element_at(_listed(HANGUL_PARTS[k]), (n + 1).cast("int"))
+    hangul = F.concat(part(0, F.floor(syllable / (PARTS[1] * PARTS[2]))), part(1, F.floor(syllable / PARTS[2]) % PARTS[1]), part(2, syllable % PARTS[2]))
+    name = F.when((code >= NAMED[0]) & (code < NAMED[1]), F.nullif(F.element_at(_listed(NAMES), code - NAMED[0] + 1), F.lit("")))
+    point = F.when(F.rlike(char, F.lit(r"[\p{L}\p{Cn}]")), F.concat(F.lit("u"), F.lower(F.hex(code)))).otherwise(F.lit(""))
+    return F.when(code < 128, char).when((code >= HANGUL[0]) & (code < HANGUL[1]), hangul).when(F.rlike(char, F.lit(r"[\p{L}\p{M}\p{Cn}]")), F.coalesce(name, point)).otherwise(char)
+
+
 def transliterate(text: Column) -> Column:
-    """Lower-case letters of Latin, Greek and Cyrillic script as ASCII, without marks; texts that are ASCII pass by."""
-    plain_text = text
+    """Letters of any script as ASCII, without marks; texts that are ASCII pass by, null stays null.
+
+    Lower-case Latin, Greek and Cyrillic letters are spelt by a fixed table (of which hard and soft signs alone have no
+    letter); texts in which other letters are left go through a table by code point, character by character. So every
+    other letter becomes at least one ASCII letter or digit, and different ideographs stay different."""
+    known = text
     for char, plain in SEVERAL.items():
-        plain_text = F.replace(plain_text, F.lit(char), F.lit(plain))
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(plain_text, SIMPLE_FROM, SIMPLE_TO))
+        known = F.replace(known, F.lit(char), F.lit(plain))
+    known = F.translate(known, SIMPLE_FROM, SIMPLE_TO)
+    rest = F.rlike(text, F.lit(OTHERS))
+    return F.when(F.octet_length(text) == F.length(text), text).when(rest, F.array_join(F.transform(F.split(known, ""), _spelt), "")).otherwise(known)
+
+
+#: Letters and marks that the fixed table does not spell, and code points that are newer than the regular expressions.
+OTHERS = r"[[\p{L}\p{M}\p{Cn}]&&[^\p{ASCII}" + "".join(SPELLINGS) + rf"\x{{{MARKS[0]:x}}}-\x{{{MARKS[1] - 1:x}}}]]"
 
 
 def slugify(text: Column) -> Column:

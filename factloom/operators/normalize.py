@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources import staging
 
 FIELDS = ("verb", "primary_object", "primary_actor", "input_state", "output_state")
 KINDS = {"verb": "verb", "primary_object": "object", "primary_actor": "role", "input_state": "state", "output_state": "state"}
@@ -17,11 +18,15 @@ SUGGESTIONS = ("actor", "object", "verb", "state")
 
 @dataclass(frozen=True)
 class NormalizeConfig:
-    """Alias tables by kind (role, object, verb, state), reserved slugs and a version."""
+    """Alias tables by kind (role, object, verb, state), reserved slugs and a version.
+
+    ``aliases`` is small and goes into expressions; ``table``, rows of (kind, alias, canonical), may have any size and counts
+    where it is given."""
 
     aliases: dict[str, dict[str, str]] = field(default_factory=dict)
     reserved: frozenset[str] = frozenset()
     version: str = "v1"
+    table: DataFrame | None = None
 
 
 def resolve_aliases(slug: Column, table: dict[str, str]) -> Column:
@@ -32,6 +37,30 @@ def resolve_aliases(slug: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(pairs, slug), slug)
 
 
+#: Bytes of an alias table that may be sent to all tasks.
+BROADCAST_BYTES = 32 << 20
+
+
+def alias_table(aliases: DataFrame, kind: str | None = None) -> DataFrame:
+    """(alias, canonical) of a table (kind, alias, canonical), both as slugs: the least canonical of an alias counts; an empty one stands for the alias itself."""
+    own = aliases.where(F.col("kind") == kind) if kind is not None else aliases
+    slug = lambda c: t.slugify(t.transliterate(F.lower(F.coalesce(F.col(c), F.lit("")))))
+    rows = own.select(slug("alias").alias("alias"), slug("canonical").alias("canonical")).where("alias <> ''")
+    return rows.groupBy("alias").agg(F.min(F.coalesce(F.nullif("canonical", F.lit("")), "alias")).alias("canonical"))
+
+
+def resolve_by_table(rows: DataFrame, slug: str, table: DataFrame, to: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows with column ``to``: the canonical slug of column ``slug`` by an ``alias_table`` of any size, others unchanged.
+
+    The table's bytes are measured: within the bound it goes to all tasks, beyond it both sides are shuffled by slug, where
+    adaptive execution splits slugs that very many rows share. Null slugs stay null."""
+    size = table.agg(F.sum(F.octet_length("alias") + F.octet_length("canonical") + 64)).first()[0] or 0
+    held = table.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
+    held = F.broadcast(held) if size <= broadcast_bytes else held.hint("merge")
+    joined = rows.join(held, F.col(slug) == F.col("_alias"), "left")
+    return joined.withColumn(to, F.coalesce("_canonical", slug)).drop("_alias", "_canonical")
+
+
 def apply_reserved(slug: Column, reserved: frozenset[str]) -> Column:
     return slug.isin(*sorted(reserved)) if reserved else F.lit(False)
 
@@ -69,7 +98,12 @@ def normalize_drafts(drafts: DataFrame, config: NormalizeConfig | None = None) -
     """Drafts with keys, surface_forms, suggested_canonical, form_list (aliases), warnings and version."""
     config = config or NormalizeConfig()
     steps = t.once(drafts, {f"_slug_{n}": t.slugify(t.transliterate(F.lower(F.col(n)))) for n in FIELDS} | {f"_given_{n}": t.strip(F.col(n)) for n in (*FIELDS, "action_label")})
-    steps = steps.withColumns({f"_name_{n}": resolve_aliases(F.col(f"_slug_{n}"), config.aliases.get(KINDS[n], {})) for n in FIELDS})
+    if config.table is not None:
+        tables = {kind: staging.materialize(alias_table(config.table, kind), "aliases") for kind in sorted(set(KINDS.values()))}
+        for n in FIELDS:
+            steps = resolve_by_table(steps, f"_slug_{n}", tables[KINDS[n]], f"_name_{n}")
+    else:
+        steps = steps.withColumns({f"_name_{n}": resolve_aliases(F.col(f"_slug_{n}"), config.aliases.get(KINDS[n], {})) for n in FIELDS})
     settled = {n: settle_field(F.col(f"_given_{n}"), F.col(f"_slug_{n}"), F.col(f"_name_{n}"), n, config) for n in FIELDS}
     steps = t.once(steps, {f"_{what}_{n}": settled[n][k] for n in FIELDS for k, what in enumerate(("key", "note"))})
     keys = build_keys(*(F.col(f"_key_{n}") for n in FIELDS))

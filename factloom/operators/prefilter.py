@@ -5,12 +5,16 @@ are projections; TF-IDF counts within a run, and the gray policy is a window ove
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources import staging
 from ..sources.terms import DEFAULT_TERMS, SEEDED_QUERIES
 
 #: Path words of sections with little to extract.
@@ -58,8 +62,50 @@ def structural_score(chunks: DataFrame, w: Weights | None = None) -> DataFrame:
     })
 
 
-def lexicon_match(chunks: DataFrame, w: Weights | None = None) -> DataFrame:
-    """matched_terms and their number by category; a phrase counts once, as a substring, in its first category."""
+#: Beyond so many terms an automaton looks for all of them at once.
+LISTED_TERMS = 200
+_automata: dict[str, tuple] = {}
+
+
+def _automaton(key: str, terms: list[tuple[int, str]]):
+    """The automaton of numbered terms, made once a worker."""
+    if key not in _automata:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for n, (_, term) in enumerate(terms):
+            if term:
+                made.add_word(term, n)
+        made.make_automaton()
+        _automata.clear()
+        _automata[key] = (made, [n for n, (_, term) in enumerate(terms) if not term])
+    return _automata[key]
+
+
+def _found_at_once(own: dict[str, list[str]], chunks: DataFrame) -> Callable[[Column], Column]:
+    """A column function: terms found in a text, in order, and the number of each one's category. The plan holds no term."""
+    listed = [(k, x) for k, terms in enumerate(own.values()) for x in terms]
+    key = hashlib.sha256(repr(listed).encode()).hexdigest()
+    sent = chunks.sparkSession.sparkContext.broadcast(listed)
+
+    @F.pandas_udf("terms array<string>, kinds array<int>")
+    def look(text: pd.Series) -> pd.DataFrame:
+        terms = sent.value
+        automaton, empty = _automaton(key, terms)
+        rows = []
+        for x in text:
+            hits = sorted({n for _, n in automaton.iter(x)} | set(empty)) if x is not None and len(automaton) else sorted(empty)
+            rows.append(([terms[n][1] for n in hits], [terms[n][0] for n in hits]))
+        return pd.DataFrame(rows, columns=["terms", "kinds"])
+
+    return look
+
+
+def lexicon_match(chunks: DataFrame, w: Weights | None = None, listed_terms: int = LISTED_TERMS) -> DataFrame:
+    """matched_terms and their number by category; a phrase counts once, as a substring, in its first category.
+
+    Up to ``listed_terms`` terms are looked up by expressions, more by one automaton a worker, which passes over a text once
+    however many terms there are; the result is the same. Null texts and paths count as empty."""
     w = w or Weights()
     text = F.regexp_replace(F.lower(F.concat_ws(" ", F.array_join("section_path", " "), "chunk_text")), r"(?U)\s+", " ")
     seen: set[str] = set()
@@ -67,10 +113,18 @@ def lexicon_match(chunks: DataFrame, w: Weights | None = None) -> DataFrame:
     for category, terms in w.terms.items():
         own[category] = [x for x in dict.fromkeys(terms) if x not in seen]
         seen.update(own[category])
-    c = chunks.withColumn("_text", text)
-    hits = {k: F.filter(F.array(*(F.lit(x) for x in v)), lambda x: F.contains(F.col("_text"), x)) if v else F.expr("cast(array() as array<string>)") for k, v in own.items()}
-    counts = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.size(h).alias("n")) for k, h in hits.items())), lambda x: x["n"] > 0))
-    return c.withColumns({"matched_terms": F.concat(*hits.values()), "match_counts": counts}).drop("_text")
+    none = F.expr("cast(array() as array<string>)")
+    if len(seen) > listed_terms:
+        c = chunks.withColumn("_found", _found_at_once(own, chunks)(text))
+        of = lambda n: F.size(F.filter("_found.kinds", lambda x: x == n))
+        sizes = {k: of(n) for n, k in enumerate(own)}
+        matched = F.col("_found.terms")
+    else:
+        c = chunks.withColumn("_text", text)
+        hits = {k: F.filter(F.array(*(F.lit(x) for x in v)), lambda x: F.contains(F.col("_text"), x)) if v else none for k, v in own.items()}
+        sizes, matched = {k: F.size(h) for k, h in hits.items()}, F.concat(*hits.values()) if hits else none
+    counts = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), n.alias("n")) for k, n in sizes.items())), lambda x: x["n"] > 0)) if sizes else F.expr("cast(map() as map<string,int>)")
+    return c.withColumns({"matched_terms": matched, "match_counts": counts}).drop("_text", "_found")
 
 
 def token_patterns(chunks: DataFrame) -> DataFrame:
@@ -114,30 +168,44 @@ def context_cooccurrence(chunks: DataFrame, w: Weights | None = None, width: int
     return c.withColumn("context_boost", F.when(n > 1, F.least(scale * hits / (n - 1), F.lit(1.0))).otherwise(0.0)).drop("_m")
 
 
+#: What counts as a word for TF-IDF.
+WORD = r"[\p{L}\p{N}_]{2,}"
+
+
 def tfidf_relevance(chunks: DataFrame, w: Weights | None = None, vocabulary: int = 5000) -> DataFrame:
     """(run_id, chunk_index, lexical_score): greatest cosine of a chunk with the seeded queries, within its run.
 
-    Term counts are aggregated before anything else; only query terms join for the product, all for the norms. Scores are
-    rounded to nine digits, so that the order in which terms are added cannot part equal chunks."""
+    The queries are documents of every run besides its chunks. Term counts are written once; document frequencies, ranks and
+    the queries' norms are summed from them by run and term, and one aggregate by chunk gives its norm and its product with
+    every query. The queries' own counts are a small table, sent to all tasks. Scores are rounded to nine digits, so that the
+    order in which terms are added cannot part equal chunks. Null texts have no words and score 0; rows that repeat a chunk
+    add up."""
     w = w or Weights()
-    spark = chunks.sparkSession
-    asked = spark.createDataFrame([(-k - 1, q) for k, q in enumerate(w.queries)], "chunk_index int, chunk_text string")
-    runs = chunks.select("run_id").distinct()
-    texts = chunks.select("run_id", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_text").unionByName(runs.crossJoin(F.broadcast(asked)))  # the queries are a parameter of fixed size
-    tokens = texts.select("run_id", "chunk_index", F.explode(F.regexp_extract_all(F.lower(F.coalesce("chunk_text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
-    tf = tokens.groupBy("run_id", "term", "chunk_index").agg(F.count("*").alias("tf"))
+    spark, n_queries = chunks.sparkSession, len(w.queries)
+    keys = chunks.select("run_id", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_text")
+    words = lambda rows, *c: rows.select(*c, F.explode(F.regexp_extract_all(F.lower(F.coalesce("chunk_text", F.lit(""))), F.lit(WORD), F.lit(0))).alias("term"))
+    tf = staging.materialize(words(keys, "run_id", "chunk_index").groupBy("run_id", "term", "chunk_index").agg(F.count("*").alias("tf")), "term-counts")
+    runs = staging.materialize(keys.groupBy("run_id").agg((F.count("*") + n_queries).alias("n")), "run-sizes")
+    asked = words(spark.createDataFrame([(k, q) for k, q in enumerate(w.queries)], "query int, chunk_text string"), "query")
+    asked = asked.groupBy("term").agg(*(F.count_if(F.col("query") == k).alias(f"q{k}") for k in range(n_queries)), F.count("*").alias("q_total"), F.count_distinct("query").alias("q_df"))
+    asked = [tuple(r) for r in asked.collect()]  # the terms of the queries, a parameter
+    known = spark.createDataFrame(asked, ", ".join(["term string", *(f"q{k} long" for k in range(n_queries)), "q_total long", "q_df long"]))
+    of_queries = F.explode(F.array(*(F.struct(F.lit(r[0]).alias("term"), F.lit(r[-2]).alias("total"), F.lit(r[-1]).alias("df")) for r in asked))) if asked else None
     by_term = tf.groupBy("run_id", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    if of_queries is not None:
+        by_term = by_term.unionByName(runs.select("run_id", of_queries.alias("x")).select("run_id", "x.*")).groupBy("run_id", "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("total"), "term"))
-    size = texts.groupBy("run_id").agg(F.count("*").alias("n"))
-    vocab = by_term.withColumn("rank", rank).where(F.col("rank") <= vocabulary).join(size, "run_id").select("run_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = tf.join(vocab, ["run_id", "term"]).select("run_id", "term", "chunk_index", (F.col("tf") * F.col("idf")).alias("x"))
-    norms = weight.groupBy("run_id", "chunk_index").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    q = weight.where("chunk_index < 0").withColumnsRenamed({"chunk_index": "query", "x": "qx"})
-    dots = weight.where("chunk_index >= 0").join(q, ["run_id", "term"]).groupBy("run_id", "chunk_index", "query").agg(F.sum(F.col("x") * F.col("qx")).alias("dot"))
-    qn = norms.where("chunk_index < 0").select("run_id", F.col("chunk_index").alias("query"), F.col("norm").alias("q_norm"))
-    best = dots.join(norms, ["run_id", "chunk_index"]).join(qn, ["run_id", "query"]).groupBy("run_id", "chunk_index").agg(F.max(F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("best"))
-    keys = chunks.select("run_id", F.col("chunk_index").cast("int").alias("chunk_index"))
-    return keys.join(best, ["run_id", "chunk_index"], "left").select("run_id", "chunk_index", F.round(F.least(F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 9).alias("lexical_score"))
+    vocab = by_term.withColumn("rank", rank).where(F.col("rank") <= vocabulary).join(runs, "run_id")
+    vocab = vocab.select("run_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).join(F.broadcast(known), "term", "left").fillna(0, [f"q{k}" for k in range(n_queries)])
+    vocab = staging.materialize(vocab.drop("q_total", "q_df"), "vocabulary")
+    x = F.col("tf") * F.col("idf")
+    q = [F.col(f"q{k}") * F.col("idf") for k in range(n_queries)]
+    norms = vocab.where(" + ".join(f"q{k}" for k in range(n_queries)) + " > 0" if n_queries else "false").groupBy("run_id").agg(F.count("*").alias("_"), *(F.sqrt(F.sum(y * y)).alias(f"norm{k}") for k, y in enumerate(q))).drop("_")
+    sums = tf.join(vocab, ["run_id", "term"]).groupBy("run_id", "chunk_index").agg(F.sqrt(F.sum(x * x)).alias("norm"), *(F.sum(x * y).alias(f"dot{k}") for k, y in enumerate(q)))
+    cosines = [F.when(F.col(f"norm{k}") > 0, F.col(f"dot{k}") / (F.col("norm") * F.col(f"norm{k}"))) for k in range(n_queries)]
+    best = F.greatest(F.lit(0.0), F.lit(0.0), *cosines)
+    scores = sums.join(norms, "run_id").select("run_id", "chunk_index", F.round(F.least(best, F.lit(1.0)), 9).alias("best"))
+    return keys.select("run_id", "chunk_index").join(scores, ["run_id", "chunk_index"], "left").select("run_id", "chunk_index", F.coalesce("best", F.lit(0.0)).alias("lexical_score"))
 
 
 def weighted_score(chunks: DataFrame, w: Weights | None = None) -> DataFrame:

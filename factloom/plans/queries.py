@@ -455,6 +455,20 @@ def resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", normalize.resolve_aliases(t.slugify(F.col("p_name")), a.ALIASES["object"]).alias("canonical"))
 
 
+#: An alias for every part's name: its brand and the name's first word.
+_ALIAS_ROWS = "SELECT DISTINCT 'object' AS kind, p_name AS alias, concat(p_brand, ' ', substring(p_name, 1, 3)) AS canonical FROM {part} WHERE p_partkey % 3 = 0"
+
+
+@query(f"""WITH t AS (SELECT alias, min(canonical) AS canonical FROM (SELECT {_slug('alias')} AS alias, {_slug('canonical')} AS canonical FROM ({_ALIAS_ROWS})) GROUP BY 1)
+ SELECT l_orderkey, l_linenumber, p_partkey, coalesce(canonical, {_slug('p_name')}) AS canonical FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN t ON alias = {_slug('p_name')}""")
+def resolve_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object of every line by a table of aliases."""
+    rows = a.select(spark, sf_dir, "SELECT l_orderkey, l_linenumber, p_partkey, p_name FROM {lineitem} JOIN {part} ON p_partkey = l_partkey")
+    table = staging.materialize(normalize.alias_table(a.select(spark, sf_dir, _ALIAS_ROWS), "object"), "aliases")
+    out = normalize.resolve_by_table(rows.withColumn("slug", t.slugify(F.col("p_name"))), "slug", table, "canonical")
+    return out.select("l_orderkey", "l_linenumber", "p_partkey", "canonical")
+
+
 _HELD = "lower(c_mktsegment) IN ('machinery', 'widget')"
 
 
