@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -94,26 +95,54 @@ def cache_lookup(batches: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return hits, misses
 
 
-def extract_batches(prompts: DataFrame, call: Callable[[str, str], str], concurrency: int = 8, retries: int = 2, delay: float = 15.0, transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), key: str = "cache_key") -> DataFrame:
-    """Answers of ``call(system, user)``: transient errors are tried again after ``delay`` seconds, a batch that still fails has error_kind.
+@dataclass(frozen=True)
+class Answer:
+    """What a call returns besides plain text: the tokens it took, as its provider counts them."""
 
-    As many tasks run as calls are allowed at once. Write the result before using it: a task that runs again calls again."""
+    text: str | None
+    input_tokens: int | None = None
+    output_tokens: int | None = None
+    status_code: int | None = None
+
+
+#: Columns of a call beside its key and response.
+CALL = "error_kind string, retry_count int, latency_ms long, input_tokens long, output_tokens long, status_code int, estimated_cost_usd double, model string, cache_hit boolean"
+
+
+def extract_batches(prompts: DataFrame, call: Callable[[str, str], str | Answer | None], concurrency: int = 8, retries: int = 2, delay: float = 15.0, transient: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), key: str = "cache_key", model: str | None = None, prices: tuple[float, float] | None = None) -> DataFrame:
+    """Answers of ``call(system, user)`` with what each call took: key, response and the columns of ``CALL``.
+
+    Transient errors are tried again after ``delay`` seconds, a batch that still fails has error_kind. Latency is that of the
+    last try. Tokens are what an ``Answer`` says, else a quarter of the characters; ``prices`` are dollars for a million of
+    input and of output tokens. As many tasks run as calls are allowed at once. Write the result before using it: a task that
+    runs again calls again."""
     kind = prompts.schema[key].dataType.simpleString()
+    rough = lambda *texts: max(1, sum(len(x or "") for x in texts) // 4)
+
+    def one(system: str, user: str) -> tuple:
+        answer, error, used, took = None, None, 0, 0
+        for used in range(retries + 1):
+            began = time.monotonic()
+            try:
+                answer, error = call(system, user), None
+                took = time.monotonic() - began
+                break
+            except transient as e:
+                error, took = type(e).__name__, time.monotonic() - began
+                if used < retries:
+                    time.sleep(delay)
+        if answer is not None and not isinstance(answer, Answer):
+            answer = Answer(answer)
+        tokens = (None, None)
+        if answer is not None:
+            tokens = (rough(system, user) if answer.input_tokens is None else answer.input_tokens, rough(answer.text) if answer.output_tokens is None else answer.output_tokens)
+        cost = None if prices is None or answer is None else (tokens[0] * prices[0] + tokens[1] * prices[1]) / 1e6
+        return (answer and answer.text, error, used, int(took * 1000), *tokens, answer and answer.status_code, cost, model, False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [key, "response", *(x.split()[0] for x in CALL.split(", "))]
         for pdf in batches:
-            rows = []
-            for k, system, user in zip(pdf[key], pdf.system_text, pdf.user_text, strict=True):
-                answer, error, used = None, None, 0
-                for used in range(retries + 1):
-                    try:
-                        answer, error = call(system, user), None
-                        break
-                    except transient as e:
-                        error = type(e).__name__
-                        if used < retries:
-                            time.sleep(delay)
-                rows.append((k, answer, error, used))
-            yield pd.DataFrame(rows, columns=[key, "response", "error_kind", "retry_count"])
-
-    return prompts.select(key, "system_text", "user_text").repartition(concurrency).mapInPandas(run, f"{key} {kind}, response string, error_kind string, retry_count int")
+            rows = [(k, *one(system, user)) for k, system, user in zip(pdf[key], pdf.system_text, pdf.user_text, strict=True)]
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("input_tokens", "output_tokens", "status_code")})
+
+    return prompts.select(key, "system_text", "user_text").repartition(concurrency).mapInPandas(run, f"{key} {kind}, response string, {CALL}")

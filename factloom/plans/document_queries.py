@@ -384,12 +384,19 @@ def parse_fallback_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.with_fallback(parsed, d).select("doc_id", "text", "block_type")
 
 
-@query("SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) - 1 AS unit_index, 'part/' || (turn % 2) || '/' || role AS path, turn FROM conversations")
+@query("SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) - 1 AS unit_index, 'part/' || (dense_rank() OVER (PARTITION BY conv_id ORDER BY turn % 2) - 1) || '/' || role AS path, turn FROM conversations")
 def merge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), (F.col("turn") % 2).alias("part"), F.col("turn").alias("unit_index"), "turn", F.array("role").alias("section_path"))
     return parsing.merge_parts(c).select("doc_id", F.col("unit_index").cast("long").alias("unit_index"), joined(F.col("section_path"), "/").alias("path"), "turn")
 
 
+@query("SELECT doc_id - doc_id % 4 AS doc_id, count(*) AS n_parts, arg_min(lang || ' ' || source, doc_id) AS title, CASE WHEN count(*) > 1 THEN 'multi' ELSE min(lang) END AS source_format FROM documents GROUP BY 1")
+def merged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four neighbouring documents are the parts of one."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return parsing.merged_documents(d.select((F.col("doc_id") - F.col("doc_id") % 4).alias("doc_id"), F.col("doc_id").alias("part"), F.concat_ws(" ", "lang", "source").alias("title"), F.col("lang").alias("source_format")))
+
+
 @query(f"{_R}{a.UNITS_SQL} SELECT doc_id, sha256('{{\"title\":\"doc\",\"source_format\":\"text\",\"blocks\":[' || string_agg('{{\"type\":\"' || block_type || '\",\"n\":' || CASE WHEN length(text) > 500 THEN 503 ELSE length(text) END || '}}', ',' ORDER BY unit_index) || '],\"n_tables\":' || count(*) FILTER (block_type = 'table') || ',\"n_lists\":' || count(*) FILTER (block_type = 'list') || '}}') AS json_sha FROM units GROUP BY 1")
 def write_parse_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = units(spark, sf_dir)

@@ -184,16 +184,17 @@ def test_documents_of_several_micro_batches(spark, tmp_path):
     for k, rows in enumerate([[("a", "h", 1, 1)], [("a", "h", 2, 2), ("b", "g", 1, 3)], [("c", "g", 1, 4)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     docs = streams.read_stream(spark, f"{tmp_path}/in", schema, files_per_trigger=1)
-    streams.stream_documents(docs, lambda batch: batch, streams.upsert_snapshots(f"{tmp_path}/out", records.upsert_chunks), f"{tmp_path}/check").awaitTermination()
-    got = {(r.run_id, r.chunk_hash): (r.id, r.seq) for r in streams.latest_snapshot(spark, f"{tmp_path}/out").collect()}
-    assert set(got) == {("a", "h"), ("b", "g"), ("c", "g")} and (tmp_path / "out" / "v=2").exists()
+    table = streams.BucketedTable(spark, f"{tmp_path}/out", ["run_id", "chunk_hash"], 4)
+    streams.stream_documents(docs, lambda batch: batch, streams.upsert_buckets(table, records.upsert_chunks), f"{tmp_path}/check").awaitTermination()
+    got = {(r.run_id, r.chunk_hash): (r.id, r.seq) for r in table.read().collect()}
+    assert set(got) == {("a", "h"), ("b", "g"), ("c", "g")} and (tmp_path / "out" / "data" / "v=2").exists()
 
 
 def test_markdown_and_html_paths(spark):
     md = "# A\ntext\n## B\n- item\n| c |\n# D\nmore"
     b = parsing.parse_markdown_blocks(spark.createDataFrame([(1, md), (2, None), (3, "")], "doc_id long, text string")).orderBy("unit_index").collect()
     assert [(r.block_type, r.section_path) for r in b] == [("heading", ["A"]), ("paragraph", ["A"]), ("heading", ["A", "B"]), ("list", ["A", "B"]), ("table", ["A", "B"]), ("heading", ["D"]), ("paragraph", ["D"])]
-    assert parsing.html_blocks("<h1>T &amp; U</h1><p>one<br>two<table><tr><td>x</td></tr></table><script>no()</script>") == [("heading", 1, "T & U"), ("paragraph", 0, "one two"), ("table", 0, "| x")]
+    assert parsing.html_blocks("<h1>T &amp; U</h1><p>one<br>two<table><tr><td>x</td></tr></table><script>no()</script>") == [("heading", 1, "T & U"), ("paragraph", 0, "one two"), ("table", 0, "| x |\n| --- |")]
 
 
 def test_uploads(spark):
