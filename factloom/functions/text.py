@@ -117,6 +117,14 @@ def slugify(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column's name has, for columns that stand beside a caller's."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """The frame with columns that are computed once a row.
 

@@ -95,18 +95,21 @@ def build_keys(verb: Column, object_: Column, actor: Column, input_state: Column
 
 
 def normalize_drafts(drafts: DataFrame, config: NormalizeConfig | None = None) -> DataFrame:
-    """Drafts with keys, surface_forms, suggested_canonical, form_list (aliases), warnings and version."""
-    config = config or NormalizeConfig()
-    steps = t.once(drafts, {f"_slug_{n}": t.slugify(t.transliterate(F.lower(F.col(n)))) for n in FIELDS} | {f"_given_{n}": t.strip(F.col(n)) for n in (*FIELDS, "action_label")})
+    """Drafts with keys, surface_forms, suggested_canonical, form_list (aliases), warnings and version.
+
+    Null and blank fields get their fallbacks with a warning. Columns of these names that the drafts have already are
+    replaced, all others are kept, whatever their names; rows that repeat are drafts of their own."""
+    config, p = config or NormalizeConfig(), t.free_prefix(drafts)
+    steps = t.once(drafts, {f"{p}slug_{n}": t.slugify(t.transliterate(F.lower(F.col(n)))) for n in FIELDS} | {f"{p}given_{n}": t.strip(F.col(n)) for n in (*FIELDS, "action_label")})
     if config.table is not None:
         tables = {kind: staging.materialize(alias_table(config.table, kind), "aliases") for kind in sorted(set(KINDS.values()))}
         for n in FIELDS:
-            steps = resolve_by_table(steps, f"_slug_{n}", tables[KINDS[n]], f"_name_{n}")
+            steps = resolve_by_table(steps, f"{p}slug_{n}", tables[KINDS[n]], f"{p}name_{n}")
     else:
-        steps = steps.withColumns({f"_name_{n}": resolve_aliases(F.col(f"_slug_{n}"), config.aliases.get(KINDS[n], {})) for n in FIELDS})
-    settled = {n: settle_field(F.col(f"_given_{n}"), F.col(f"_slug_{n}"), F.col(f"_name_{n}"), n, config) for n in FIELDS}
-    steps = t.once(steps, {f"_{what}_{n}": settled[n][k] for n in FIELDS for k, what in enumerate(("key", "note"))})
-    keys = build_keys(*(F.col(f"_key_{n}") for n in FIELDS))
+        steps = steps.withColumns({f"{p}name_{n}": resolve_aliases(F.col(f"{p}slug_{n}"), config.aliases.get(KINDS[n], {})) for n in FIELDS})
+    settled = {n: settle_field(F.col(f"{p}given_{n}"), F.col(f"{p}slug_{n}"), F.col(f"{p}name_{n}"), n, config) for n in FIELDS}
+    steps = t.once(steps, {f"{p}{what}_{n}": settled[n][k] for n in FIELDS for k, what in enumerate(("key", "note"))})
+    keys = build_keys(*(F.col(f"{p}key_{n}") for n in FIELDS))
 
     def filled(pairs: list[Column]) -> Column:
         return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["v"].isNotNull()))
@@ -115,17 +118,17 @@ def normalize_drafts(drafts: DataFrame, config: NormalizeConfig | None = None) -
         return F.struct(F.lit(name).alias("k"), value.alias("v"))
 
     def given(name: str) -> Column:
-        return F.nullif(F.col(f"_given_{name}"), F.lit(""))
+        return F.nullif(F.col(f"{p}given_{name}"), F.lit(""))
 
-    label = F.when(F.coalesce(F.col("action_label"), F.lit("")) != "", F.col("_given_action_label"))
+    label = F.when(F.coalesce(F.col("action_label"), F.lit("")) != "", F.col(f"{p}given_action_label"))
     forms = filled([*(pair(n, given(n)) for n in FIELDS), pair("action_label", label)])
     hinted = [n for n in SUGGESTIONS if f"suggested_{n}_canonical" in drafts.columns]
     hints = [pair(n, F.when(F.coalesce(F.col(f"suggested_{n}_canonical"), F.lit("")) != "", t.strip(F.col(f"suggested_{n}_canonical")))) for n in hinted]
     suggested = filled(hints) if hints else F.expr("cast(map() as map<string,string>)")
     listed = F.array_compact(F.array(*(given(n) for n in ("input_state", "output_state", "verb", "primary_object", "primary_actor"))))
-    warnings = F.array_compact(F.array(*(F.col(f"_note_{n}") for n in FIELDS)))
+    warnings = F.array_compact(F.array(*(F.col(f"{p}note_{n}") for n in FIELDS)))
     made = {**keys, "surface_forms": forms, "suggested_canonical": suggested, "form_list": listed, "warnings": warnings, "normalization_version": F.lit(config.version)}
-    return steps.select(*drafts.columns, *(c.alias(k) for k, c in made.items()))
+    return steps.select(*(c for c in drafts.columns if c not in made), *(c.alias(k) for k, c in made.items()))
 
 
 def action_collisions(records: DataFrame) -> DataFrame:

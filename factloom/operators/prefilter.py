@@ -13,14 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as t
 from ..sources import staging
 from ..sources.terms import DEFAULT_TERMS, SEEDED_QUERIES
+from .tagger import Tagger, default_tagger, first_verbs
 
 #: Path words of sections with little to extract.
 NOISE = ("appendix", "appendices", "glossary", "introduction", "overview", "table of contents")
-#: Words after must or may that are no verbs; the rest counts as one.
-NOT_VERBS = ("not", "the", "a", "an", "this", "that", "it", "be", "and", "or", "of", "to", "in", "on", "for")
 ROLES, MODALS = ("user", "admin", "system", "administrator"), ("may", "must", "shall", "can")
 
 
@@ -127,16 +125,22 @@ def lexicon_match(chunks: DataFrame, w: Weights | None = None, listed_terms: int
     return c.withColumns({"matched_terms": matched, "match_counts": counts}).drop("_text", "_found")
 
 
-def token_patterns(chunks: DataFrame) -> DataFrame:
-    """Names of the word patterns in a text, ordered by where they first fire."""
-    text = F.lower("chunk_text")
-    verb = rf"(?!(?:{'|'.join(NOT_VERBS)})\b)\p{{L}}+"
-    rules = {
-        "obligation_must_verb": rf"\bmust\s+{verb}", "permission_may_verb": rf"\bmay\s+{verb}", "prohibition_shall_not": r"\b(?:shall|must)\s+not\b",
-        "condition_if_when": r"\b(?:if|when|unless)\b", "role_modal": rf"\b(?:{'|'.join(ROLES)})\s+(?:{'|'.join(MODALS)})\b",
-    }
-    found = [F.struct(F.regexp_instr(text, F.lit("(?U)" + r)).alias("at"), F.lit(k).alias("name")) for k, r in rules.items()]
-    return chunks.withColumn("patterns", F.transform(F.array_sort(F.filter(F.array(*found), lambda x: x["at"] > 0)), lambda x: x["name"]))
+def token_patterns(chunks: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """Names of the word patterns in a text, ordered by where they first fire; none for a null text.
+
+    What follows ``must`` or ``may`` is tagged in its sentence (``tagger``, by default the one of this package), and counts
+    where it is a verb. Texts without these words pass the tagger as nulls."""
+    text, tagger = F.lower("chunk_text"), tagger or default_tagger()
+    rules = {"prohibition_shall_not": r"\b(?:shall|must)\s+not\b", "condition_if_when": r"\b(?:if|when|unless)\b", "role_modal": rf"\b(?:{'|'.join(ROLES)})\s+(?:{'|'.join(MODALS)})\b"}
+
+    @F.pandas_udf("must int, may int")
+    def verbs(shown: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([first_verbs(tagger, x, ("must", "may")) if x is not None else [0, 0] for x in shown], columns=["must", "may"])
+
+    c = chunks.withColumn("_verbs", verbs(F.when(F.rlike(text, F.lit(r"(?U)\b(?:must|may)\b")), F.col("chunk_text"))))
+    found = [F.struct(F.col("_verbs.must").alias("at"), F.lit("obligation_must_verb").alias("name")), F.struct(F.col("_verbs.may").alias("at"), F.lit("permission_may_verb").alias("name"))]
+    found += [F.struct(F.regexp_instr(text, F.lit("(?U)" + r)).alias("at"), F.lit(k).alias("name")) for k, r in rules.items()]
+    return c.withColumn("patterns", F.transform(F.array_sort(F.filter(F.array(*found), lambda x: x["at"] > 0)), lambda x: x["name"])).drop("_verbs")
 
 
 def context_cooccurrence(chunks: DataFrame, w: Weights | None = None, width: int = 10, scale: float = 3.0) -> DataFrame:

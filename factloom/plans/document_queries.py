@@ -136,23 +136,19 @@ def lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("run_id", "chunk_index", joined(F.col("matched_terms")).alias("matched_terms"), F.size("matched_terms").cast("long").alias("n"))
 
 
-_NOT_VERB = f"(?:{'|'.join(prefilter.NOT_VERBS)})"
-
-
 def _patterns(source: str) -> str:
-    """Names of patterns by place, over rows with chunk_text. A modal before no verb is spelt otherwise, of the same length."""
-    must = rf"regexp_replace(lower(chunk_text), '\bmust(\s+{_NOT_VERB}\b)', 'mus_\1', 'g')"
-    may = rf"regexp_replace(lower(chunk_text), '\bmay(\s+{_NOT_VERB}\b)', 'ma_\1', 'g')"
+    """Names of patterns by place, over rows with chunk_text whose only verbs after must and may are those of ``_MODAL_TURNS``."""
     rules = {
-        "obligation_must_verb": (must, r"\bmust\s+\p{L}"), "permission_may_verb": (may, r"\bmay\s+\p{L}"), "prohibition_shall_not": ("lower(chunk_text)", r"\b(?:shall|must)\s+not\b"),
-        "condition_if_when": ("lower(chunk_text)", r"\b(?:if|when|unless)\b"), "role_modal": ("lower(chunk_text)", rf"\b(?:{'|'.join(prefilter.ROLES)})\s+(?:{'|'.join(prefilter.MODALS)})\b"),
+        "obligation_must_verb": r"\bmust\s+submit\b", "permission_may_verb": r"\bmay\s+delete\b", "prohibition_shall_not": r"\b(?:shall|must)\s+not\b",
+        "condition_if_when": r"\b(?:if|when|unless)\b", "role_modal": rf"\b(?:{'|'.join(prefilter.ROLES)})\s+(?:{'|'.join(prefilter.MODALS)})\b",
     }
-    found = ", ".join(f"{{place: CASE WHEN regexp_matches({text}, '{rule}') THEN length(regexp_extract({text}, '(?s)^(.*?){rule}', 1)) ELSE -1 END, name: '{name}'}}" for name, (text, rule) in rules.items())
+    text = "lower(chunk_text)"
+    found = ", ".join(f"{{place: CASE WHEN regexp_matches({text}, '{rule}') THEN length(regexp_extract({text}, '(?s)^(.*?){rule}', 1)) ELSE -1 END, name: '{name}'}}" for name, rule in rules.items())
     return f"SELECT run_id, chunk_index, list_transform(list_sort(list_filter([{found}], lambda x: x.place >= 0)), lambda x: x.name) AS patterns FROM ({source})"
 
 
-#: Turns with words that the patterns look for in the place of frequent ones.
-_MODAL_TURNS = f"SELECT run_id, chunk_index, replace(replace(replace(chunk_text, ' the ', ' user must '), ' la ', ' may '), ' of ', ' if not ') AS chunk_text FROM ({_TURNS})"
+#: Turns with what the patterns look for in the place of frequent words: modals before verbs, and before other words.
+_MODAL_TURNS = f"SELECT run_id, chunk_index, replace(replace(replace(replace(chunk_text, ' the ', ' user must submit the '), ' la ', ' we may delete the '), ' of ', ' if not '), ' der ', ' must the ') AS chunk_text FROM ({_TURNS})"
 
 
 @query(f"SELECT run_id, chunk_index, array_to_string(patterns, '|') AS patterns FROM ({_patterns(a.duck(_MODAL_TURNS))})")
@@ -461,7 +457,9 @@ def stream_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS window_start, step, count(*) AS n_events, round(sum(value), 2) AS total_value FROM ({a.EVENTS}) GROUP BY 1, 2")
 def stream_step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(streams.stream_step_metrics(event_stream(spark, sf_dir)), "complete").withColumn("total_value", F.round("total_value", 2))
+    path = folder(spark, "stream")
+    streams.write_batches(streams.stream_step_metrics(event_stream(spark, sf_dir)), path, "update", f"{path}-checkpoint").awaitTermination()
+    return streams.last_updates(spark, path, ["window_start", "step"]).withColumn("total_value", F.round("total_value", 2))
 
 
 @query(f"SELECT run_id, step, event_type FROM ({a.EVENTS}) GROUP BY 1, 2, 3")

@@ -87,7 +87,8 @@ def stream_run_state(events: DataFrame) -> DataFrame:
 
 
 def stream_step_metrics(events: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Events of each step in tumbling windows of event time."""
+    """Events of each step in tumbling windows of event time, for update or append mode, in which windows that the watermark
+    has passed leave the state (complete mode would keep all)."""
     w = events.withWatermark("created_at", delay).groupBy(F.window("created_at", width), "step")
     return w.agg(F.count("*").alias("n_events"), F.sum("value").alias("total_value")).select(F.col("window.start").alias("window_start"), "step", "n_events", "total_value")
 
@@ -113,6 +114,13 @@ def write_batches(stream: DataFrame, path: str, mode: str, checkpoint: str) -> S
     return stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def last_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What a stream in update mode wrote under ``path``, by the last micro-batch that has a row of the keys."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "v")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "v").alias("_last")).select(*keys, "_last.*")
+
+
 class BucketedTable:
     """A table by key in hash buckets, of which an upsert rewrites only those its rows fall into.
 

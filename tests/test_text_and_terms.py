@@ -52,6 +52,13 @@ def test_drafts_by_table_equal_drafts_by_map(spark):
     assert sorted(map(tuple, one.select(*key).collect())) == sorted(map(tuple, two.select(*key).collect())) and one.columns == two.columns
 
 
+def test_drafts_keep_columns_of_any_name(spark):
+    rows = [("r", 1, "Submit", "form", None, None, None, None, "mine", "own", 5)]
+    d = spark.createDataFrame(rows, "run_id string, seq long, verb string, primary_object string, primary_actor string, input_state string, output_state string, action_label string, _slug_verb string, action_canonical string, _row int")
+    r = normalize.normalize_drafts(d).first()
+    assert (r.action_canonical, r._slug_verb, r._row, r.primary_actor_key) == ("submit_form", "mine", 5, "unknown_actor")
+
+
 def test_an_automaton_equals_the_list(spark):
     rng = np.random.default_rng(4)
     letters = np.array(list("abcdeé"))
