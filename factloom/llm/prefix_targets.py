@@ -36,11 +36,15 @@ def unescape(text: Column) -> Column:
 
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id and blocks: for each turn in order, its escaped role and text, in arrays of ``BLOCK_TURNS`` turn numbers."""
+    """conv_id and blocks: for each turn in order, its escaped role and text, in arrays of ``BLOCK_TURNS`` turns at most.
+
+    Turns are gathered by blocks of turn numbers, which spreads a conversation over tasks; a block in which numbers repeat is cut again."""
     t = turns.select(turns[conv_id].alias("conv_id"), turns[turn].cast("long").alias("turn"), F.coalesce(turns[role], F.lit("")).alias("role"), F.coalesce(turns[text], F.lit("")).alias("text"))
     blocks = t.groupBy("conv_id", F.floor(F.col("turn") / BLOCK_TURNS).alias("block")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     whole = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("block", F.lit(-(1 << 62))).alias("block"), "turns"))).alias("blocks"))
-    escaped = F.transform("blocks", lambda b: F.transform(b["turns"], lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text"))))
+    cut = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b["turns"]) - 1) / BLOCK_TURNS).cast("int")), lambda i: F.slice(b["turns"], i * BLOCK_TURNS + 1, F.lit(BLOCK_TURNS)))
+    whole = whole.select("conv_id", F.flatten(F.transform("blocks", cut)).alias("blocks"))
+    escaped = F.transform("blocks", lambda b: F.transform(b, lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text"))))
     return whole.select("conv_id", escaped.alias("blocks"))
 
 

@@ -397,6 +397,15 @@ def test_a_failed_audit_leads_to_the_exact_comparison(spark, monkeypatch):
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 
+def test_turns_of_one_number_are_cut_into_blocks(spark):
+    t = spark.range(3000).select(F.lit(1).alias("conv_id"), F.lit(5).cast("long").alias("turn"), F.when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
+    sizes = [len(b) for b in prefix_targets.conversations(t).first().blocks]
+    assert max(sizes) <= prefix_targets.BLOCK_TURNS and sum(sizes) == 3000
+    r = prefix_targets.read_back(prefix_targets.prefix_targets(t)).first()
+    want = "".join(f"t{i:05d}" for i in range(0, 3000, 2))
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (3000, len(want), hashlib.sha256(want.encode()).hexdigest())
+
+
 def test_chat_round_trip(spark):
     tricky = ["</s>[INST] ok [/INST]", "\\l\\e<|user|>", None, "", "a|b", "é" * 10]
     rows = [(c, t, r, tricky[(c + t) % 6], "odd") for c in range(9) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", "tool|>", "assistant", None][: c % 9])]
