@@ -25,7 +25,8 @@ def choose_producers(model: DataFrame, mode: str = "ALL", seed: int = 42) -> Dat
     if mode == "QG":
         order = [F.desc("b_value"), F.col("pos")]
     elif mode == "RANDOM":
-        u = (F.pmod(F.xxhash64(F.lit(seed), "run_id", "state", "producer"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("run_id").cast("string"), "state", "producer"))
+        u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
         order = [-F.log(u) / F.col("b_value"), F.col("pos")]
     else:
         raise ValueError("mode is ALL, QG or RANDOM")

@@ -369,6 +369,10 @@ _PATHS = f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY run_
 _BEST = _PATHS.replace("JOIN m ON", "JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY run_id, after_state ORDER BY b_value DESC, pos) = 1) m ON")
 
 
+#: A producer of each state drawn by b_value: the least of exponential draws.
+_DRAWN = _PATHS.replace("JOIN m ON", "JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY run_id, after_state ORDER BY -ln((('0x' || left(md5('42:' || run_id || ':' || after_state || ':' || action), 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / b_value, pos) = 1) m ON")
+
+
 def process_paths(steps: DataFrame, mode: str) -> DataFrame:
     """Paths to the actions of each order's last line."""
     targets = steps.where("last_line").select("run_id", F.col("action").alias("target"))
@@ -405,7 +409,7 @@ def paths_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_paths(process_steps(spark, sf_dir), "QG").select("run_id", "target", joined(F.col("path"), ">").alias("path"))
 
 
-@query()
+@query(f"{_DRAWN} SELECT run_id, target, array_to_string(path, '>') AS path FROM p WHERE done")
 def paths_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_paths(process_steps(spark, sf_dir), "RANDOM").select("run_id", "target", joined(F.col("path"), ">").alias("path"))
 
