@@ -1,6 +1,6 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-Vectors are compared only within a label. Vectors are brought to unit length; equal ones form a class. Classes are dealt to overlapping cluster shards of
+Vectors are compared only within a label. Vectors are scaled by powers of two; equal ones form a class. Classes are dealt to overlapping cluster shards of
 bounded size: a group above the bound is split around pivots drawn from it, and a class between two pivots goes to both,
 until every group fits. A group above the bound whose pivots are all near each other, or that splitting hardly made
 smaller, is dense: splitting it would part neighbours, so all its pairs are compared, in blocks of bounded size spread over
@@ -47,18 +47,18 @@ WALK = 0.04  # guests also pass through nodes so little out of range
 
 
 def classes_of(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """(valid rows as vec_id, grp, v; classes as id, grp, v, n). ``v`` is the vector in double precision, at unit length.
+    """(valid rows as vec_id, grp, v; classes as id, grp, v, n). ``v`` is the vector in double precision, scaled.
 
-    Vectors are divided by their greatest component before they are squared, so that neither very small nor very large ones
-    are lost; a generator keeps Spark from working that out again for every component."""
+    Scaling is by the power of two that brings the greatest component near one: it changes no cosine, loses no bit, and keeps
+    squares of very small and very large vectors in range. A generator keeps Spark from working the factor out again for
+    every component."""
     e = F.transform(embedding, lambda x: x.cast("double"))
     fine = F.col(label).isNotNull() & F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()
     rows = vectors.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.struct(F.col(label).alias("label"), F.size(embedding).alias("dim")).alias("grp"), e.alias("v"))
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
-    rows = _once(rows, peak=F.array_max(F.transform("v", F.abs)))
-    rows = _once(rows, scaled=F.transform("v", lambda x: x / F.col("peak")))
-    rows = _once(rows, norm=F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)))
-    rows = rows.select("vec_id", "grp", F.transform("scaled", lambda x: x / F.col("norm")).alias("v"))
+    size = F.log2(F.array_max(F.transform("v", F.abs)))
+    rows = _once(rows, factor=F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(size).cast("double")))))
+    rows = rows.select("vec_id", "grp", F.transform("v", lambda x: x * F.col("factor")).alias("v"))
     classes = rows.groupBy("grp", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     return rows, store.materialize(classes.select("id", F.xxhash64("grp").alias("grp"), "v", "n"), "graph-classes")
 
