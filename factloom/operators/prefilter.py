@@ -172,6 +172,9 @@ def context_cooccurrence(chunks: DataFrame, w: Weights | None = None, width: int
     return c.withColumn("context_boost", F.when(n > 1, F.least(scale * hits / (n - 1), F.lit(1.0))).otherwise(0.0)).drop("_m")
 
 
+#: Parts in which a run's terms are ranked before its vocabulary is.
+VOCABULARY_PARTS = 64
+
 #: What counts as a word for TF-IDF.
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -198,8 +201,11 @@ def tfidf_relevance(chunks: DataFrame, w: Weights | None = None, vocabulary: int
     by_term = tf.groupBy("run_id", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if of_queries is not None:
         by_term = by_term.unionByName(runs.select("run_id", of_queries.alias("x")).select("run_id", "x.*")).groupBy("run_id", "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("total"), "term"))
-    vocab = by_term.withColumn("rank", rank).where(F.col("rank") <= vocabulary).join(runs, "run_id")
+    # a run's terms are ranked in parts first, so that its last ranking takes VOCABULARY_PARTS x vocabulary rows at most
+    for part in (F.pmod(F.xxhash64("term"), F.lit(VOCABULARY_PARTS)), F.lit(0)):
+        rank = F.row_number().over(Window.partitionBy("run_id", "part").orderBy(F.desc("total"), "term"))
+        by_term = by_term.withColumn("part", part).withColumn("rank", rank).where(F.col("rank") <= vocabulary)
+    vocab = by_term.join(runs, "run_id")
     vocab = vocab.select("run_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).join(F.broadcast(known), "term", "left").fillna(0, [f"q{k}" for k in range(n_queries)])
     vocab = staging.materialize(vocab.drop("q_total", "q_df"), "vocabulary")
     x = F.col("tf") * F.col("idf")

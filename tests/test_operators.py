@@ -109,6 +109,36 @@ def test_batches_hold_what_is_available(spark):
     assert len({(r.run_id, r.batch_index) for r in alone}) == 90
 
 
+@pytest.mark.parametrize(("bits", "available"), [(0, 50), (2, 7), (2, 300), (3, 40), (14, 60), (2, 0)])
+def test_batches_of_a_hot_run_do_not_depend_on_its_blocks(spark, monkeypatch, bits, available):
+    monkeypatch.setattr(batching, "BLOCK_BITS", bits)
+    rng = random.Random(bits + available)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), k, rng.choice([None, 0, 0, 1, rng.randint(0, 30), rng.randint(0, 90)]), {"k": k}) for k in range(200)]
+    rows += [("hot", None, 5, None), ("b", 1, 10, None), ("zero", 1, 0, None), ("zero", 2, None, None)]
+    want, state = {}, {}
+    for run, k, tokens, _ in sorted(rows, key=lambda r: (r[0] or "", r[1] is not None, r[1] or 0)):
+        tokens = tokens or 0
+        if run not in state:
+            state[run] = (0, tokens)
+        elif available <= 0 or state[run][1] + tokens > available:
+            state[run] = (state[run][0] + 1, tokens)
+        else:
+            state[run] = (state[run][0], state[run][1] + tokens)
+        want[run, k] = state[run][0]
+    c = spark.createDataFrame(rows, "run_id string, chunk_index int, estimated_tokens int, m map<string,int>").repartition(5)
+    got = batching.pack_token_batches(c, available + 100)
+    assert got.columns == [*c.columns, "batch_index"]
+    assert {(r.run_id, r.chunk_index): r.batch_index for r in got.collect()} == want and got.count() == len(rows)
+
+
+def test_batches_of_repeated_chunks_and_of_none(spark):
+    rows = [("r", 1, 30), ("r", 2, 30), ("r", 2, 30), ("r", 3, 30), (None, None, None)]
+    c = spark.createDataFrame(rows, "run_id string, chunk_index int, estimated_tokens int").withColumn("batch_index", F.lit(9))
+    got = sorted((r.run_id or "", r.chunk_index or 0, r.batch_index) for r in batching.pack_token_batches(c, 170).collect())
+    assert got == [("", 0, 0), ("r", 1, 0), ("r", 2, 1), ("r", 2, 1), ("r", 3, 2)]
+    assert batching.pack_token_batches(c.limit(0), 170).count() == 0
+
+
 def test_calls_are_retried_only_when_transient(spark):
     rows = spark.createDataFrame([("a", "s", "ok"), ("b", "s", "down")], "cache_key string, system_text string, user_text string")
 
