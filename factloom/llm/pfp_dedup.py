@@ -16,7 +16,9 @@ among phrases with the same trigger:
 
 A trigger that stands often in a slice is hot: its phrases are dealt by phrase instead of by trigger, and one row a slice
 tells the trigger's own place. Triggers with more than ``HOT_PHRASES`` dictionary phrases are cut into their strings, which
-are dealt by content, so that no task holds all phrases of a trigger. Whether a trigger is hot changes only where its rows
+are dealt by content, so that no task holds all phrases of a trigger. Of strings that a task sent lately it sends only the
+starts of those that stand later in the corpus, and a range that is held is thinned to the first of each string, so that a
+string that stands everywhere is a row a task and few bytes where it is settled. Whether a trigger is hot changes only where its rows
 meet. Phrases count as equal when trigger and phrase agree in 64-bit hashes each and in 17 bits of a third; strings of
 different phrases are compared by their bytes.
 
@@ -42,6 +44,8 @@ from .marks import marked
 TRIGGER = 32
 HOT_IN_SLICE = 16
 HOT_PHRASES = 2000
+KNOWN_STRINGS = 1 << 16  # strings of hot triggers that a task remembers to have sent
+HELD_ROWS = 8000  # rows of one range held before they are thinned
 PARSE_BYTES = 1 << 19  # the hashes of a slice take about a hundred times its bytes
 _LOW = 14  # bits of a place below the start: trigger and last string, 7 bits each
 _START = 31
@@ -204,6 +208,7 @@ def _open_phrases(keyed: DataFrame, scanned: DataFrame, length: int) -> DataFram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = "p d th place body from"
+        known: dict[bytes, tuple[int, int, int]] = {}  # strings sent and where they stand
         for batch in batches:
             data, offsets = tb.text_column(batch.column(2))
             counts = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
@@ -236,8 +241,23 @@ def _open_phrases(keyed: DataFrame, scanned: DataFrame, length: int) -> DataFram
                 _, rank = suffix_order(body, begin, length)
                 order = np.lexsort((start, th[row], d[row], rank))
                 same = np.concatenate([[False], rank[order[1:]] == rank[order[:-1]]])
+                d_, th_ = d[row], th[row]
+                one = np.concatenate([[False], (d_[order[1:]] == d_[order[:-1]]) & (th_[order[1:]] == th_[order[:-1]]) & (start[order[1:]] == start[order[:-1]])])
+                order, same = order[~(same & one)], same[~(same & one)]  # rows that repeat an id and text are one document
                 place = pack_place(np.zeros(len(row), np.int64), start, start, start)
-                again, fresh = order[same], order[~same]
+                fresh = order[~same]
+                strings = body[tb.ragged(begin[fresh], np.full(len(fresh), length))].tobytes()
+                later = np.zeros(len(fresh), bool)
+                for m, at_ in enumerate(zip(d_[fresh].tolist(), th_[fresh].tolist(), start[fresh].tolist(), strict=True)):
+                    string = strings[m * length : (m + 1) * length]
+                    sent = known.get(string)
+                    if sent is not None and sent < at_:
+                        later[m] = True
+                    else:
+                        if len(known) >= KNOWN_STRINGS:
+                            known.clear()
+                        known[string] = at_
+                again, fresh = np.concatenate([order[same], fresh[later]]), fresh[~later]
                 p = tb.span_hashes(body, begin, begin + length).view(np.int64)
                 for own, bare in ((fresh, False), (again, True)):
                     if bare:
@@ -277,6 +297,19 @@ def suffix_order(data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.n
     return np.argsort(rank, kind="stable"), rank
 
 
+def thinned(range_: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """(a range's rows without the strings that stand alone in a row and in an earlier one, runs of those); rows are in corpus order."""
+    first, _, last = unpack_place(range_.column(3).to_numpy(zero_copy_only=False))
+    seen: set[bytes] = set()
+    gone = np.zeros(range_.num_rows, bool)
+    alone = np.flatnonzero(first == last)
+    for k, body in zip(alone.tolist(), range_.column(4).take(pa.array(alone)).to_pylist(), strict=True):
+        gone[k] = body in seen
+        seen.add(body)
+    d, th = (range_.column(i).to_numpy(zero_copy_only=False)[gone] for i in (1, 2))
+    return range_.filter(pa.array(~gone)), _batch([d, th, first[gone], first[gone]], "d th from to")
+
+
 def _settle_strings(phrases: DataFrame, length: int) -> DataFrame:
     """d, th, from and to: runs of starts of repeated strings."""
 
@@ -313,6 +346,7 @@ def _settle_strings(phrases: DataFrame, length: int) -> DataFrame:
                 at = k
 
         prior: tuple | None = None
+        limit = HELD_ROWS
         for batch in batches:
             settled = batch.column(4).is_null().to_numpy(zero_copy_only=False)
             if settled.any():
@@ -336,7 +370,12 @@ def _settle_strings(phrases: DataFrame, length: int) -> DataFrame:
             cut = len(p) - int(np.argmax(p[::-1] != p[-1])) if (p != p[-1]).any() else 0
             if cut:
                 yield from repeats(whole.slice(0, cut))
+                limit = HELD_ROWS
             held = [whole.slice(cut)]
+            if held[0].num_rows > limit:
+                kept, gone = thinned(held[0])
+                yield gone
+                held, limit = [kept], max(HELD_ROWS, 2 * kept.num_rows)
         if held:
             yield from repeats(held[0])
 

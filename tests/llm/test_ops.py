@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from factloom.llm import chosen_path, components, crf_quality, elias_fano, flat_graph, hilbert_pack, media_tar, pareto_mix, pfp_dedup, prefix_targets, registry, store, textbytes, token_counts, tokenids
@@ -548,6 +549,28 @@ def test_repeats_against_brute_force(docs, none, texts, spark, monkeypatch, hot,
     assert pfp_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("known", [1 << 16, 40])
+def test_strings_of_hot_triggers_and_repeated_rows(spark, monkeypatch, known):
+    monkeypatch.setattr(pfp_dedup, "HOT_PHRASES", 1)
+    monkeypatch.setattr(pfp_dedup, "KNOWN_STRINGS", known)
+    monkeypatch.setattr(pfp_dedup, "PARSE_BYTES", 3000)
+    monkeypatch.setattr(pfp_dedup, "HELD_ROWS", 20)
+    shared = prose(np.random.default_rng(19), 40)
+    rows = [(i // 2, f"{prose(np.random.default_rng(i // 2), 3)} {shared} {prose(np.random.default_rng(500 + i // 2), 3)}") for i in range(400)]
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+
+
+def test_held_strings_are_thinned_to_their_first():
+    same, other = b"a" * 100, b"b" * 100
+    rows = [(5, 1, 0, 0, same), (5, 1, 0, 3, other), (5, 2, 0, 0, same), (5, 2, 0, 1, same + b"c"), (5, 3, 0, 9, other)]
+    spans = np.array([0, 0, 0, 1, 0])
+    place = pfp_dedup.pack_place(np.zeros(5, np.int64), np.array([r[3] for r in rows]), np.array([r[3] for r in rows]), np.array([r[3] for r in rows]) + spans)
+    table = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array(place), pa.array([r[4] for r in rows])], names=["p", "d", "th", "place", "body"])
+    kept, gone = pfp_dedup.thinned(table)
+    assert [(r["d"], r["body"]) for r in kept.to_pylist()] == [(1, same), (1, other), (2, same + b"c")]
+    assert gone.to_pydict() == {"d": [2, 3], "th": [0, 0], "from": [0, 9], "to": [0, 9]}
+
+
 @pytest.mark.parametrize("one_id", [None, 7])
 def test_repeats_of_very_many_rows_of_one_id(spark, one_id):
     rng = np.random.default_rng(5)
