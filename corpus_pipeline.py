@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from factloom.llm import chosen_path, crf_quality, hilbert_pack, pareto_mix, pfp_dedup, store
 
+#: Arrow batches of the first two stages: executor and workers hold several of them, whose memory the JVM keeps.
+BATCH = "2m"
 #: No stage but the mix can be said in SQL.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier does not reject."""
-    store.small_batches(spark)
+    store.small_batches(spark, BATCH)
     model = crf_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = crf_quality.score(docs, model, keep=tuple(docs.columns))
     return scored.where("score >= 0.3").select(*docs.columns)
@@ -27,11 +29,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    store.small_batches(spark, BATCH)
     return chosen_path.deduplicate(docs, words=5, percent=80)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 100 bytes that stand earlier in the corpus; cut characters stay whole."""
+    store.small_batches(spark)
     out = pfp_dedup.remove_repeats(docs, 100, whole_characters=True)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept").cast("string"))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}

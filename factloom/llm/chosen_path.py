@@ -40,7 +40,7 @@ LEAF = 64
 BLOCK = 2048  # classes of a large node compared in one task
 DEEPER = 3  # levels below the starting depth, each of which makes a class's rows in large nodes 2.5 times as many
 NODE_BLOCKS = 256  # pairs of blocks of one large node; beyond, it branches first
-COLUMNS = 8192
+COLUMNS = 1024  # shared elements counted at a time, for up to two blocks of classes
 MATCHES = 36  # of 64; at similarity 0.8 54 agree on average, with a deviation under 3
 _AGAIN = tb.seeds(2, 37)  # a node that branches below the starting depth does so twice
 _EVEN = 0x5555555555555555
@@ -145,7 +145,7 @@ def _sketch(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.text_column(batch.column(1))
-            for i, j in tb.slices(offsets):
+            for i, j in tb.slices(offsets, tb.SHORT_SLICE):
                 h, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 key, sig, bits = signatures(h, sizes)
                 blob = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((np.arange(j - i + 1) * 4 * POSITIONS).astype(np.int32)), pa.py_buffer(sig.tobytes())])
@@ -174,6 +174,7 @@ def _nodes(classes: DataFrame, depth: int, trees: int) -> DataFrame:
                     keys, row = branch(keys, row, part)
                 pick = pa.array(row + k)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pick) for c in range(3))], names=["node", "id", "s0", "s1"])
+        tb.release()
 
     return classes.select("id", "s0", "s1", "sig").mapInArrow(run, "node long, id long, s0 long, s1 long")
 
@@ -235,6 +236,7 @@ def _compare(nodes: DataFrame) -> DataFrame:
             done &= np.repeat(sizes <= LEAF, sizes)
             yield from small(rows[done])
         yield from small(kept)
+        tb.release()
 
     spread = nodes.withColumn("order", F.xxhash64("id")).repartition("node").sortWithinPartitions("node", "order").select("node", "id", "s0", "s1")
     return spread.mapInArrow(run, "a long, b long, kind long")
@@ -251,7 +253,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text
             data, offsets = tb.text_column(batch.column(3))
             k0 = batch.column(1).to_numpy(zero_copy_only=False)
             k1 = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j in tb.slices(offsets):
+            for i, j in tb.slices(offsets, tb.SHORT_SLICE):
                 h, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 key = signatures(h, sizes)[0].view(np.int64) if j > i else np.zeros((0, 2), np.int64)
                 at = np.concatenate([[0], np.cumsum(sizes)])
@@ -283,6 +285,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 else:
                     good.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        tb.release()
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
@@ -328,11 +331,13 @@ def similar_rows(p: list[np.ndarray], q: list[np.ndarray], percent: int) -> np.n
     in_q[in_q] = shared[at_q[in_q]] == flat_q[in_q]
     row_p, row_q = np.repeat(np.arange(len(p)), size_p)[in_p], np.repeat(np.arange(len(q)), size_q)[in_q]
     at_p, at_q = at_p[in_p], at_q[in_q]
+    by_p, by_q = np.argsort(at_p), np.argsort(at_q)
+    at_p, row_p, at_q, row_q = at_p[by_p], row_p[by_p], at_q[by_q], row_q[by_q]
     for k in range(0, len(shared), COLUMNS):
         one, two = np.zeros((len(p), COLUMNS), np.float32), np.zeros((len(q), COLUMNS), np.float32)
-        own = (at_p >= k) & (at_p < k + COLUMNS)
+        own = slice(*np.searchsorted(at_p, [k, k + COLUMNS]))
         one[row_p[own], at_p[own] - k] = 1
-        own = (at_q >= k) & (at_q < k + COLUMNS)
+        own = slice(*np.searchsorted(at_q, [k, k + COLUMNS]))
         two[row_q[own], at_q[own] - k] = 1
         both += one @ two.T
     n = both.astype(np.int64)
@@ -357,6 +362,8 @@ def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
                 at = k
         if held:
             yield work(pa.Table.from_batches(held))
+            held = []
+        tb.release()
 
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
 
@@ -371,8 +378,8 @@ def _involved(blocks: DataFrame) -> DataFrame:
     def work(table: pa.Table) -> pa.RecordBatch:
         w, ids, part = _words(table), table.column("id").to_numpy(), table.column("component").to_numpy()
         seek, hit = np.flatnonzero(table.column("seeks").to_numpy(zero_copy_only=False)), np.zeros(len(ids), bool)
-        for k in range(0, len(seek), 256):
-            s = seek[k : k + 256]
+        for k in range(0, len(seek), 64):
+            s = seek[k : k + 64]
             ok = _may_match(w[s], w) & (part[s][:, None] != part[None, :])
             hit |= ok.any(0)
             hit[s] |= ok.any(1)

@@ -273,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, doc_id:
         for batch in batches:
             data, offsets = tb.text_column(batch.column(2))
             y, ids = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in tb.slices(offsets):
+            for i, j in tb.slices(offsets, tb.SHORT_SLICE):
                 x, d, size = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][d].astype(np.int64)), pa.array(np.arange(len(d))), pa.array(y[i:j][d].astype(np.int64)), pa.array(size), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "line", "y", "size", "x"])
 
@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: LineCrf, text: str = "text", keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.text_column(batch.column(batch.num_columns - 1))
-            for i, j in tb.slices(offsets):
+            for i, j in tb.slices(offsets, tb.SHORT_SLICE):
                 x, d, size = line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 p = np.full(len(d), model.prior) if flat else model.marginals(x, d)
                 weight = np.bincount(d, weights=size, minlength=j - i)

@@ -15,6 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15 | 1)
 SLICE_BYTES = 1 << 20
+SHORT_SLICE = 1 << 18  # where a byte takes many words of work space
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -43,7 +44,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, SHORT_SLICE + 1 if len(_powers[0]) == 1 else 2 * len(_powers[0]))
         tables = []
         for base in (_BASE, _INVERSE):
             t = np.full(size, base, U64)

@@ -1,12 +1,13 @@
 """Stages of the pipeline over a small corpus: what each must take out goes, clean documents stay."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import corpus_pipeline
 import numpy as np
 import pytest
-from factloom.llm import crf_quality, hilbert_pack, pfp_dedup, store
+from factloom.llm import chosen_path, crf_quality, hilbert_pack, pfp_dedup, store
 from pyspark.sql import functions as F
 from test_ops import library_ids, plain_line_features, removed_marks, shingles
 
@@ -158,3 +159,35 @@ def test_run_against_brute_force(spark, sf, tmp_path):
     rows = plain_mix(plain_repeats(rows))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, base).select(columns).collect()) == sorted(plain_pieces(rows))
+
+
+def test_batches_of_near_duplicates_are_bounded(spark, sf):
+    """Also when the stage runs alone, and the stage after it gets its own bound."""
+    docs, bound = spark.read.parquet(f"{sf}/documents.parquet").limit(20), "spark.sql.execution.arrow.maxBytesPerBatch"
+    stages = dict(corpus_pipeline.STAGES)
+    spark.conf.set(bound, "64m")
+    out = store.materialize(stages["near_duplicates"](spark, docs, sf), "test-bound")
+    assert spark.conf.get(bound) == "2m" and out.count() > 0
+    stages["repeated_strings"](spark, out, sf)
+    assert spark.conf.get(bound) == "8m"
+
+
+def test_blocks_of_near_duplicates_take_little_memory():
+    """Two full blocks on full sets, exact, in a few tens of MB."""
+    draw = np.random.default_rng(7)
+    stock = np.unique(draw.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    q = [np.sort(draw.choice(stock, 200, replace=False)) for _ in range(chosen_path.BLOCK)]
+    p = [np.union1d(x[:-4], stock[k : k + 4]) for k, x in enumerate(q[:128])] + [np.zeros(0, np.uint64)]
+    tracemalloc.start()
+    try:
+        got = chosen_path.similar_rows(p, q, 80)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    near = draw.choice(len(q), 40, replace=False)
+    for a in [*range(0, 129, 16), 128]:
+        for b in {*near.tolist(), a}:
+            both = len(np.intersect1d(p[a], q[b]))
+            assert got[a, b] == (100 * both >= 80 * (len(p[a]) + len(q[b]) - both))
+    assert got.any() and not got[128].any()
+    assert peak < 45 << 20, peak
