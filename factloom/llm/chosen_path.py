@@ -262,7 +262,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(keep)), pa.array(sets, pa.binary())], names=["id", "set"])
 
     source = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("digest"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("b"))
-    source = source.where(marked(wanted, "doc_id", "digest")(source)).toDF("d", "h", "b")
+    source = marked(source, wanted, "doc_id", "digest").where("hit").drop("hit").toDF("d", "h", "b")
     joined = source.join(wanted, source["d"].eqNullSafe(wanted["doc_id"]) & (source["h"] == wanted["digest"])).select("id", "k0", "k1", "b")
     return store.materialize(joined.mapInArrow(run, "id long, set binary").dropDuplicates(["id"]), "path-sets")
 
@@ -476,13 +476,13 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
     verdict = found.groupBy("doc_id", "digest").agg(F.sum(F.col("kept").cast("int")).alias("keep"), F.count("*").alias("n")).where("keep < n")
     verdict = store.materialize(verdict.select(F.col("doc_id").alias("v_id"), F.col("digest").alias("v_digest"), "keep"), "path-dropped")
     keyed = docs.select(docs[doc_id].alias("v_id"), F.xxhash64(docs[text]).alias("v_digest"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
-    hit = marked(verdict, "v_id", "v_digest")(keyed)
+    keyed = marked(keyed, verdict, "v_id", "v_digest")
     v = verdict.toDF("d_id", "d_digest", "keep")
-    touched = keyed.where(hit).join(v, keyed["v_id"].eqNullSafe(v["d_id"]) & (keyed["v_digest"] == v["d_digest"]), "left")
+    touched = keyed.where("hit").join(v, keyed["v_id"].eqNullSafe(v["d_id"]) & (keyed["v_digest"] == v["d_digest"]), "left")
     # a row whose equals in id and text are kept fewer times than they occur stays that often
     again = F.row_number().over(Window.partitionBy("v_id", "v_digest").orderBy(F.lit(0)))
     stays = touched.where("keep is null or keep > 0").withColumn("nth", again).where("keep is null or nth <= keep")
-    return stays.select("doc.*").unionByName(keyed.where(~hit).select("doc.*"))
+    return stays.select("doc.*").unionByName(keyed.where("not hit").select("doc.*"))
 
 
 def _branch_on(members: DataFrame) -> DataFrame:

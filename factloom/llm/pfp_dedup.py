@@ -45,8 +45,11 @@ TRIGGER = 32
 HOT_IN_SLICE = 16
 HOT_PHRASES = 2000
 KNOWN_STRINGS = 1 << 16  # strings of hot triggers that a task remembers to have sent
+PART_ROWS = 2000  # rows whose strings are ordered at a time, whole ranges each
 HELD_ROWS = 8000  # rows of one range held before they are thinned
-PARSE_BYTES = 1 << 19  # the hashes of a slice take about a hundred times its bytes
+BATCH = "2m"  # Arrow batches until the runs are written
+PARSE_BYTES = 1 << 18  # the hashes of a slice take about a hundred times its bytes
+KEEP_BYTES = 1 << 20  # texts sent back at a time
 _LOW = 14  # bits of a place below the start: trigger and last string, 7 bits each
 _START = 31
 _PLACE = (1 << (_START + _LOW)) - 1
@@ -268,10 +271,10 @@ def _open_phrases(keyed: DataFrame, scanned: DataFrame, length: int) -> DataFram
 
     open_ = scanned.where(F.col("kind") == OPEN)
     crowded = store.materialize(open_.groupBy("g").count().where(F.col("count") > HOT_PHRASES).select("g"), "pfp-hot")
-    split = marked(crowded, "g")(open_)
-    wanted = open_.select("d", "th", F.struct("place", split.alias("hot")).alias("phrase")).groupBy("d", "th").agg(F.collect_set("phrase").alias("phrases"))
+    split = marked(open_, crowded, "g", hit="hot")
+    wanted = split.select("d", "th", F.struct("place", "hot").alias("phrase")).groupBy("d", "th").agg(F.collect_set("phrase").alias("phrases"))
     wanted = store.materialize(wanted, "pfp-open")
-    texts = keyed.select("d", "th", "b").where(marked(wanted, "d", "th")(keyed))
+    texts = marked(keyed.select("d", "th", "b"), wanted, "d", "th").where("hit")
     joined = texts.join(wanted, ["d", "th"]).select("d", "th", "b", "phrases")
     return joined.mapInArrow(cut, "p long, d long, th long, place long, body binary, from long")
 
@@ -334,8 +337,9 @@ def _settle_strings(phrases: DataFrame, length: int) -> DataFrame:
                 head = np.flatnonzero(seen & np.concatenate([[True], ~seen[:-1] | (row[1:] != row[:-1])]))
                 tail = np.flatnonzero(seen & np.concatenate([~seen[1:] | (row[1:] != row[:-1]), [True]]))
                 yield _batch([d[row[head]], th[row[head]], start[head], start[tail]], "d th from to")
+            tb.release()
 
-        def parts(table: pa.RecordBatch, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+        def parts(table: pa.RecordBatch, rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
             """The rows in parts of about ``rows``, whole ranges each."""
             p = table.column(0).to_numpy(zero_copy_only=False)
             ends = np.append(np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)) if len(p) else np.zeros(0, np.int64)
@@ -420,31 +424,37 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     keyed = _keyed(docs, doc_id, text)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tb.text_column(batch.column(1))
-            lists, counts = batch.column(2), batch.column(2).fill_null([]).value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten()
-            begin, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)) if len(flat) else (np.zeros(0, np.int64),) * 2
-            at = np.concatenate([[0], np.cumsum(counts)])
-            removed, spans, kept = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
-            for k in range(batch.num_rows):
-                body = data[offsets[k] : offsets[k + 1]]
-                start, stop = covered(len(body), begin[at[k] : at[k + 1]], end[at[k] : at[k + 1]] + length)
-                if whole_characters and len(start):
-                    start, stop = _whole_characters(body, start, stop)
-                removed[k], spans[k] = (stop - start).sum(), len(start)
-                if len(start):
-                    edge = np.zeros(len(body) + 1, np.int8)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, stop, -1)
-                    body = body[np.cumsum(edge[:-1]) == 0]
-                kept.append(body.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    runs = repeated_runs(keyed, length)
-    hit = marked(runs, "d", "th")(keyed)
-    touched = keyed.where(hit).join(runs, ["d", "th"], "left").select("row", "b", "runs")
-    clean = keyed.where(~hit).select("row", "b", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+        for whole in batches:
+            sizes = tb.text_column(whole.column(1))[1]
+            for i, j in tb.slices(sizes, KEEP_BYTES):
+                yield keep(whole.slice(i, j - i))
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = tb.text_column(batch.column(1))
+        lists, counts = batch.column(2), batch.column(2).fill_null([]).value_lengths().to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        begin, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)) if len(flat) else (np.zeros(0, np.int64),) * 2
+        at = np.concatenate([[0], np.cumsum(counts)])
+        removed, spans, kept = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
+        for k in range(batch.num_rows):
+            body = data[offsets[k] : offsets[k + 1]]
+            start, stop = covered(len(body), begin[at[k] : at[k + 1]], end[at[k] : at[k + 1]] + length)
+            if whole_characters and len(start):
+                start, stop = _whole_characters(body, start, stop)
+            removed[k], spans[k] = (stop - start).sum(), len(start)
+            if len(start):
+                edge = np.zeros(len(body) + 1, np.int8)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, stop, -1)
+                body = body[np.cumsum(edge[:-1]) == 0]
+            kept.append(body.tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    with store.batches(docs.sparkSession, BATCH):
+        runs = repeated_runs(keyed, length)
+        seen = marked(keyed, runs, "d", "th")
+    touched = seen.where("hit").join(runs, ["d", "th"], "left").select("row", "b", "runs")
+    clean = seen.where("not hit").select("row", "b", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
     schema = f"row {keyed.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     return touched.mapInArrow(finish, schema).unionByName(clean.mapInArrow(finish, schema))
 

@@ -7,7 +7,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
-from factloom.llm import chosen_path, crf_quality, hilbert_pack, pfp_dedup, store
+from factloom.llm import chosen_path, crf_quality, hilbert_pack, marks, pfp_dedup, store
 from pyspark.sql import functions as F
 from test_ops import library_ids, plain_line_features, removed_marks, shingles
 
@@ -191,3 +191,34 @@ def test_blocks_of_near_duplicates_take_little_memory():
             assert got[a, b] == (100 * both >= 80 * (len(p[a]) + len(q[b]) - both))
     assert got.any() and not got[128].any()
     assert peak < 45 << 20, peak
+
+
+def test_repeated_strings_start_one_worker_a_task(spark, sf, monkeypatch):
+    """The bitmap is looked up without Python, and Arrow batches are small until the runs are written."""
+    docs, bound = spark.read.parquet(f"{sf}/documents.parquet"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    written, bounds = store.materialize, {}
+
+    def noted(df, name):
+        bounds[name] = spark.conf.get(bound), "EvalPython" in df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(store, "materialize", noted)
+    for stage in ("near_duplicates", "repeated_strings"):
+        out = dict(corpus_pipeline.STAGES)[stage](spark, docs, sf)
+        assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {name for name in bounds if name.startswith("pfp-")} == {"pfp-phrases", "pfp-hot", "pfp-open", "pfp-runs"}
+    assert set(bounds.values()) == {("2m", False)}
+    assert spark.conf.get(bound) == "8m"
+
+
+def test_marked_rows(spark):
+    """Every row that could match a key is marked, null ids too, and few others."""
+    keys = spark.createDataFrame([(k if k % 7 else None, k * k) for k in range(0, 3000, 3)], "a long, b long")
+    rows = [(k if k % 7 else None, k * k) for k in range(3000)]
+    frame = spark.createDataFrame(rows + rows[:50], "a long, b long")
+    got = marks.marked(frame, keys, "a", "b")
+    assert got.columns == ["a", "b", "hit"] and sorted(map(str, got.drop("hit").collect())) == sorted(map(str, frame.collect()))
+    hit = {(r.a, r.b) for r in got.where("hit").collect()}
+    assert {tuple(r) for r in keys.collect()} <= hit and len(hit) < 1050
+    assert got.where("hit is null").count() == 0
+    assert marks.marked(frame, keys.limit(0), "a", "b").where("not hit").count() == 3050
