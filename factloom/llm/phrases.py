@@ -9,8 +9,10 @@ tasks as a bitmap of fixed size; phrases that only share a bit with one, or only
 their exact count. The last pass counts all candidates over the whole corpus by their words; in tasks by 128 bits of hash.
 
 Scores are computed with decimals of 38 digits, exact below 10^16 occurrences. Null texts hold no words; repeated rows
-count again; an empty table gives no rows; only lang, text and (to deal shards) doc_id are read. Long texts go through in one
-row; sums of a task are sent on whenever they pass ``HELD`` keys, so memory does not follow the corpus.
+count again; an empty table gives no rows; only lang, text and (to deal shards) doc_id are read. Long texts are cut behind
+the ends of pieces, which no phrase reaches over; sums of a task are sent on whenever they pass ``HELD`` keys or
+``HELD_BYTES`` of words, and Spark sums a task's keys before they are shuffled. So work space does not follow the corpus, only
+an Arrow batch, which holds whole texts, and the longest piece.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from .textbytes import U64, mix64
 
 SUPPORT, SHARDS, TOP, COVER_PERCENT = 10, 3, 2000, 50
 MARK_BITS = 1 << 24
-HELD = 1 << 20
+HELD, HELD_BYTES = 1 << 17, 1 << 23
+#: Arrow batches that go into Python: bytes.
+BATCH = "2m"
 #: A lang's best rows are found among those of this many parts first.
 PARTS = 16
 #: Bytes that end pieces, and bytes between words.
@@ -95,19 +99,38 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(chars)))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array]]:
-    """Words of bounded parts of the batches (lang, shard, text), with the lang of each row."""
+def _cut(data: np.ndarray, offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of parts, the row of each): texts over ``limit`` bytes are cut behind ends of pieces, a longer piece stands alone."""
+    cuts = []
+    for row in np.flatnonzero(np.diff(offsets) > limit):
+        at, end = int(offsets[row]), int(offsets[row + 1])
+        ends = np.flatnonzero(_kind[data[at:end]] == 2) + at + 1
+        while end - at > limit and len(ends) and at < ends[-1]:
+            k = int(np.searchsorted(ends, at + limit, side="right")) - 1
+            if k < 0 or ends[k] <= at:
+                k += 1
+            at = int(ends[k])
+            cuts.append(at)
+    if not cuts:
+        return offsets, np.arange(len(offsets) - 1)
+    parts = np.sort(np.concatenate([offsets, cuts]))
+    return parts, np.minimum(np.searchsorted(offsets[1:], parts[:-1], side="right"), len(offsets) - 2)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """Words of bounded parts of the batches (lang, shard, text)."""
     for batch in batches:
         data, offsets = textbytes.text_column(batch.column(2))
-        langs, shard = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-        codes = langs.dictionary_encode()
+        shard = batch.column(1).to_numpy(zero_copy_only=False)
+        codes = batch.column(0).dictionary_encode()
         names = codes.dictionary.to_pylist()
         hashes = np.array([int.from_bytes(_blake(x), "little") for x in names], U64) if names else np.zeros(0, U64)
         own = hashes[codes.indices.to_numpy(zero_copy_only=False)] if len(batch) else hashes
-        for i, j in textbytes.slices(offsets):
-            words = Words(data, offsets[i : j + 1], own[i:j], shard[i:j])
+        parts, rows = _cut(data, offsets, textbytes.SHORT_SLICE)
+        for i, j in textbytes.slices(parts, textbytes.SHORT_SLICE):
+            words = Words(data, parts[i : j + 1], own[rows[i:j]], shard[rows[i:j]])
             words.names = dict(zip(hashes.tolist(), names, strict=True))
-            yield words, langs
+            yield words
 
 
 def _blake(name: str) -> bytes:
@@ -135,11 +158,13 @@ def _mined(inputs: DataFrame, words: int, may: Callable[[Words, np.ndarray], np.
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts, _ = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+            held.clear()
+            keys, counts, _ = _summed(keys, counts)
             for i in range(0, len(keys), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)].view(np.int64)), pa.array(counts[i : i + (1 << 18)])], names=["code", "n"])
 
-        for w, _ in _slices(batches):
+        for w in _slices(batches):
             at = w.starts(words)
             at = at[may(w, at)]
             keys, counts, _ = _summed((w.keys(at, words) & ~U64(3)) | w.shard[at], np.ones(len(at), np.int64))
@@ -147,7 +172,7 @@ def _mined(inputs: DataFrame, words: int, may: Callable[[Words, np.ndarray], np.
             size += len(keys)
             if size > HELD:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield from flush()
         textbytes.release()
@@ -161,13 +186,14 @@ def _counted(inputs: DataFrame, sizes: tuple[int, ...], may: Callable[[Words, np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size = chars = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, second, counts = (np.concatenate([x[k] for x in held]) for k in range(3))
             names = pa.concat_arrays([x[3] for x in held])
             number = np.concatenate([x[4] for x in held])
             phrases = pa.concat_arrays([x[5] for x in held])
+            held.clear()
             for found in _exact(keys, second):
                 distinct, sums, place = _summed(keys[found], counts[found])
                 take = found[place]
@@ -175,7 +201,7 @@ def _counted(inputs: DataFrame, sizes: tuple[int, ...], may: Callable[[Words, np
                     own = pa.array(take[i : i + (1 << 17)])
                     yield pa.RecordBatch.from_arrays([names.take(own).cast(pa.string()), pa.array(number[take[i : i + (1 << 17)]]), phrases.take(own).cast(pa.string()), pa.array(sums[i : i + (1 << 17)])], names=["lang", "words", "phrase", "n"])
 
-        for w, _ in _slices(batches):
+        for w in _slices(batches):
             other = w.second()
             listed = list(w.names)
             for words in sizes:
@@ -188,9 +214,10 @@ def _counted(inputs: DataFrame, sizes: tuple[int, ...], may: Callable[[Words, np
                     name = pa.array([w.names[x] for x in listed], pa.large_string()).take(pa.array(_index(np.array(listed, U64), w.lang[own])))
                     held.append((keys, two[found[place]], counts, name, np.full(len(own), words, np.int32), w.texts(own, words)))
                     size += len(own)
-            if size > HELD:
+                    chars += held[-1][5].nbytes
+            if size > HELD or chars > HELD_BYTES:
                 yield from flush()
-                held, size = [], 0
+                size = chars = 0
         if held:
             yield from flush()
         textbytes.release()
@@ -249,7 +276,12 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     """((lang, words, phrase, n) of all phrases of 1 to 3 words with n >= support, (lang, n) with the number of all words)."""
     if not 1 <= shards <= 4:
         raise ValueError("shards is 1 to 4: their support is a whole number of occurrences")
-    spark, inputs = docs.sparkSession, _inputs(docs, shards, doc_id, lang, text)
+    with store.batches(docs.sparkSession, BATCH):
+        return _frequent(_inputs(docs, shards, doc_id, lang, text), support, shards)
+
+
+def _frequent(inputs: DataFrame, support: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    spark = inputs.sparkSession
     sizes = store.materialize(_counted(inputs, (1,), lambda w, at, words: np.ones(len(at), bool)), "words")
     totals = sizes.groupBy("lang").agg(F.sum("n").alias("n"))
     words = sizes.where(F.col("n") >= support)

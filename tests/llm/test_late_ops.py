@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from factloom.llm import fim_frames, line_runs, phrases, textbytes
 
@@ -196,3 +198,59 @@ def test_hashes_of_both_kinds_differ():
     w = phrases.Words(np.frombuffer(b"ab ba ab", np.uint8), np.array([0, 8]), np.array([1], np.uint64), np.array([0]))
     assert w.hash[0] == w.hash[2] != w.hash[1] and w.second()[0] == w.second()[2] != w.second()[1] and w.hash[0] != w.second()[0]
     assert textbytes.U64 is np.uint64
+
+
+def sums_of_a_task(plan, texts):
+    """Sums by key of what a task sends on for one batch of texts, and the most bytes that it held in numpy at once."""
+
+    class Inputs:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def groupBy(self, *columns):
+            return self
+
+        agg = groupBy
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(np.zeros(len(texts), np.int32)), pa.array(texts)], names=["lang", "shard", "text"])
+    task = plan(Inputs()).run
+    tracemalloc.start()
+    try:
+        sent = [(out.schema, out.serialize()) for out in task(iter([batch]))]  # copies, in Arrow's memory
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = Counter()
+    for schema, out in sent:
+        *key, n = (column.to_pylist() for column in pa.ipc.read_record_batch(out, schema).columns)
+        for k, x in zip(zip(*key, strict=True), n, strict=True):
+            got[k] += x
+    return got, most
+
+
+def test_phrases_of_a_task_stay_small_and_whole(spark):
+    rng = np.random.default_rng(4)
+    word = [f"w{i:07d}" for i in range(300_000)]
+    texts = [" ".join(word[i] for i in rng.integers(0, len(word), 250)) for _ in range(2500)]
+    got, most = sums_of_a_task(lambda x: phrases._counted(x, (1,), lambda w, at, words: np.ones(len(at), bool)), texts)
+    assert {k[2]: n for k, n in got.items()} == Counter(w for t in texts for w in t.split(" "))
+    assert most < 40 << 20
+    got, most = sums_of_a_task(lambda x: phrases._mined(x, 2, lambda w, at: np.ones(len(at), bool)), texts)
+    assert sum(got.values()) == 249 * len(texts) and most < 25 << 20
+
+
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(textbytes, "SHORT_SLICE", 100)
+    long = "one two three. four five; six seven eight nine\n" * 40 + "last words"
+    texts = ["", long, "short text", None, "unbroken " * 50 + "end. " + "a b c, " * 30, long + ".", "", "x" * 300, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abcdefgha")), pa.array(np.arange(9) % 3), pa.array(["skipped", *texts]).slice(1)], names=["lang", "shard", "text"])
+    parts = list(phrases._slices(iter([batch])))
+    assert max(len(w.data) for w in parts) == 454 and sorted(len(w.data) for w in parts)[-3] <= 100
+    got = Counter((w.names[lang], int(w.shard[at]), words, p) for w in parts for words in (1, 2, 3) for at, lang, p in ((a, int(w.lang[a]), w.texts(np.array([a]), words)[0].as_py()) for a in w.starts(words)))
+    want = Counter()
+    for k, t in enumerate(texts):
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", t or ""):
+            w = piece.split()
+            want.update(("abcdefgha"[k], k % 3, n, " ".join(w[i : i + n])) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    assert got == want
