@@ -23,7 +23,7 @@ def folder(tmp_path_factory):
     return str(sf), con
 
 
-@pytest.mark.parametrize("name", ["context_cooccurrence", "score_chunks"])
+@pytest.mark.parametrize("name", ["context_cooccurrence", "score_chunks", "weighted_score"])
 def test_halves(spark, folder, name):
     sf, con = folder
     df = document_queries.QUERIES[name](spark, sf)
