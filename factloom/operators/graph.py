@@ -56,14 +56,15 @@ def model_v2_to_v1(actions: DataFrame, states: DataFrame, connections: DataFrame
     c = connections.select(*keys, "pos", "out_id", "in_id")
 
     def linked(action_side: str, state_side: str, side: str) -> DataFrame:
-        found = c.join(a.withColumnRenamed("own_id", action_side), [*keys, action_side]).join(s.withColumnRenamed("state_key", state_side), [*keys, state_side])
+        # shuffled whatever their files' size: ids and names that repeat take a few bytes a row there, and many times as much in a driver that broadcasts them
+        found = c.join(a.withColumnRenamed("own_id", action_side).hint("merge"), [*keys, action_side]).join(s.withColumnRenamed("state_key", state_side).hint("merge"), [*keys, state_side])
         return found.select(*keys, "name", "state", "pos", F.lit(side).alias("side"))
 
     first = linked("out_id", "in_id", "f").unionByName(linked("in_id", "out_id", "i")).groupBy(*keys, "name", "state", "side").agg(F.min("pos").alias("pos"))
     ordered = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "state")))), lambda x: x["state"])
     sides = first.groupBy(*keys, "name").agg(ordered("i").alias("init_states"), ordered("f").alias("final_states"))
     none = F.expr("cast(array() as array<string>)")
-    return a.select(*keys, "name").distinct().join(sides, [*keys, "name"], "left").select(*keys, F.col("name").alias("action"), F.coalesce("init_states", none).alias("init_states"), F.coalesce("final_states", none).alias("final_states"), F.lit(1).alias("b_value"))
+    return a.select(*keys, "name").distinct().join(sides.hint("merge"), [*keys, "name"], "left").select(*keys, F.col("name").alias("action"), F.coalesce("init_states", none).alias("init_states"), F.coalesce("final_states", none).alias("final_states"), F.lit(1).alias("b_value"))
 
 
 #: Stands between the object and the state of a key; digits of an id.
