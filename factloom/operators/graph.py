@@ -82,16 +82,17 @@ def model_v1_to_v2(model: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> tup
     label = lambda letter, n: F.concat(F.lit(letter), F.lpad(n.cast("string"), DIGITS, "0"))
     m = model.select(*keys, "action", "init_states", "final_states", nth("action").alias("n"))
     actions = m.select(*keys, label("a", F.col("n")).alias("action_id"), F.lit("").alias("actor"), "action", F.lit("").alias("place"))
-    sides = [m.select(*keys, "n", F.lit(k).alias("side"), F.posexplode(c).alias("at", "state")) for k, c in enumerate(("init_states", "final_states"))]
-    used = sides[0].unionByName(sides[1])
+    side = lambda k, c: F.transform(c, lambda state, at: F.struct(F.lit(k).alias("side"), at.alias("at"), state.alias("state")))
     object_key = F.when(F.contains("state", F.lit(DIVIDER)), F.substring_index("state", DIVIDER, 1)).otherwise(F.lit(""))
-    distinct = used.select(*keys, "state").distinct().withColumn("object_key", object_key)
+    used = m.select(*keys, "n", F.inline(F.concat(side(0, "init_states"), side(1, "final_states")))).withColumn("object_key", object_key)
+    # a state's ranks are taken where it is used, so that a model's rows are shuffled once and not joined with its states
+    within = F.dense_rank().over(Window.partitionBy(*keys, "object_key").orderBy("state"))
     objects = F.dense_rank().over(Window.partitionBy(*keys).orderBy("object_key"))
-    within = F.row_number().over(Window.partitionBy(*keys, "object_key").orderBy("state"))
-    states = distinct.select(*keys, label("o", objects).alias("object_id"), F.lit("").alias("object_name"), label("s", within).alias("state_id"), F.col("state").alias("state_name"), "object_key")
-    named = used.join(states.select(*keys, F.concat("object_id", "state_id").alias("state_key"), F.col("state_name").alias("state")), [*keys, "state"])
+    used = used.withColumn("state_id", label("s", within)).withColumn("object_id", label("o", objects))
+    states = used.select(*keys, "object_id", F.lit("").alias("object_name"), "state_id", F.col("state").alias("state_name"), "object_key").distinct()
+    linked = used.dropna(subset=[*keys, "state"]).select(*keys, "n", "side", "at", F.concat("object_id", "state_id").alias("state_key"))
     action_id, out = label("a", F.col("n")), F.col("side") == 1
-    connections = named.select(*keys, nth("n", "side", "at").cast("long").alias("pos"), F.when(out, action_id).otherwise(F.col("state_key")).alias("out_id"), F.when(out, F.col("state_key")).otherwise(action_id).alias("in_id"))
+    connections = linked.select(*keys, nth("n", "side", "at").cast("long").alias("pos"), F.when(out, action_id).otherwise(F.col("state_key")).alias("out_id"), F.when(out, F.col("state_key")).otherwise(action_id).alias("in_id"))
     return actions, states, connections
 
 
