@@ -134,11 +134,17 @@ def normalize_drafts(drafts: DataFrame, config: NormalizeConfig | None = None) -
 def action_collisions(records: DataFrame) -> DataFrame:
     """Action keys with several records in a run: their surface forms in order of first use, never merged.
 
-    The forms of a key are reduced to one row each before they are gathered, so a key of very many records stays small."""
+    Keys that stand once, most of them, are told by the hash of the key, before their forms become rows. The forms of a key
+    are reduced to one row each before they are gathered, so a key of very many records stays small."""
+    key = F.xxhash64("run_id", "action_canonical").alias("_key")
     own = F.concat("form_list", F.array_compact(F.array(F.element_at("surface_forms", "action_label"))))
-    counted = records.groupBy("run_id", "action_canonical").agg(F.count("*").alias("n_records")).where("n_records > 1")
-    used = records.select("run_id", "action_canonical", "seq", F.posexplode(own).alias("i", "form"))
-    first = used.groupBy("run_id", "action_canonical", "form").agg(F.min(F.struct("seq", "i")).alias("at"))
-    forms = first.groupBy("run_id", "action_canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "form"))), lambda x: x["form"]).alias("forms"))
-    joined = counted.join(forms, ["run_id", "action_canonical"], "left")
-    return joined.select("run_id", "action_canonical", "n_records", F.coalesce("forms", F.array_repeat("action_canonical", F.col("n_records").cast("int"))).alias("surface_forms"), F.lit(False).alias("merged"))
+    several = records.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    near = records.select(key, "run_id", "action_canonical", "seq", own.alias("own")).join(several.hint("merge"), "_key", "left_semi")
+    # of each record a row that counts it (at place 0), and one for each of its forms
+    none = F.expr("cast(array() as array<string>)")
+    used = near.select("run_id", "action_canonical", "seq", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("own", none))).alias("i", "form"))
+    first = used.groupBy("run_id", "action_canonical", "form", (F.col("i") == 0).alias("counts")).agg(F.min(F.struct("seq", "i")).alias("at"), F.count("*").alias("n"))
+    forms = F.transform(F.array_sort(F.collect_list(F.when(~F.col("counts"), F.struct("at", "form")))), lambda x: x["form"])
+    joined = first.groupBy("run_id", "action_canonical").agg(F.max(F.when(F.col("counts"), F.col("n"))).alias("n_records"), forms.alias("forms")).where("n_records > 1")
+    repeated = F.array_repeat("action_canonical", F.col("n_records").cast("int"))
+    return joined.select("run_id", "action_canonical", "n_records", F.when(F.size("forms") > 0, F.col("forms")).otherwise(repeated).alias("surface_forms"), F.lit(False).alias("merged"))
